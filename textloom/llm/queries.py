@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("split", "pack", "leak")
+MODULES = ("split", "unify", "pack", "leak")
 
 
 def _all(attribute: str) -> dict:
