@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("encoding", "split", "unify", "pack", "leak")
+MODULES = ("encoding", "spans", "split", "unify", "pack", "leak")
 
 
 def _all(attribute: str) -> dict:
