@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("encoding", "spans", "split", "unify", "pack", "leak", "truncation")
+MODULES = ("encoding", "spans", "split", "bitext", "unify", "pack", "leak", "truncation")
 
 
 def _all(attribute: str) -> dict:
