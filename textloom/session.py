@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -19,7 +21,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give CPU-heavy Arrow stages enough partitions.
 
     A scan that already has as many partitions as the cluster has cores is left alone (at scale no shuffle is added);
-    a small input is dealt round-robin over ``per_core`` partitions per core.
+    a small input is dealt round-robin over ``per_core`` partitions per core. ``df`` must be a scan without exchanges.
     """
     want = max(2, df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want * per_core)
@@ -42,9 +44,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage ends, executors may be lost.
+
+    Parquet takes a fraction of an RDD checkpoint's space. The tables of a process are removed when it ends.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, at))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove() -> None:
+    for spark, at in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session is gone, and its folder with it or kept for inspection
+            return
 
 
 def keep(df: DataFrame) -> DataFrame:
