@@ -6,7 +6,8 @@ is a 64-bit hash of what it stands for, so every executor gives equal content th
 exchange; they run over Arrow batches of many texts at once. Symbols above a round's cap rest, so after ``CAPS`` no
 symbol is longer than ``LONGEST`` and a round can change at most one symbol at either end of a shared span. Two equal
 spans of ``span`` characters therefore have equal interior symbols for at least ``span - 2 * MARGIN`` characters, and
-share a window of consecutive symbols of at least ``window(span)`` characters.
+share windows of consecutive symbols that cover at least ``WINDOW`` characters; of neighbouring windows only the least
+by hash is kept, such that one stays in common.
 
 Windows that occur in more than one group (case) mark the places where a long repeat can be. There, and only there,
 every stretch of ``span`` characters is named by a hash; stretches found in more than one group are the repeats, exactly.
@@ -23,15 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from textloom.llm.common import arrow_rows, cut, read_table, spread
 
 SPAN = 150
-CAPS = (1, 1, 1, 1, 2, 2, 2, 4, 4, 8)
-LONGEST = 16
-SHORT_RUN = 8
+CAPS = (1, 1, 1, 2, 2, 4)
+LONGEST = 8
+WINDOW = 50
+SHORT_RUN = 4
 MARGIN = sum(CAPS) + SHORT_RUN
 PER_TASK = 1000
 
@@ -40,12 +46,16 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def window(span: int) -> int:
-    """Characters that windows cover at least, such that equal spans must share one."""
-    w = span - 2 * MARGIN - (LONGEST - 1)
-    if w < LONGEST:
-        raise ValueError(f"spans below {2 * MARGIN + 2 * LONGEST - 1} characters need smaller caps")
-    return w
+def reach(span: int) -> int:
+    """Characters over which windows can be thinned out such that equal spans still keep one in common.
+
+    Equal spans have ``span - 2 * MARGIN`` equal characters in whole symbols; a window takes ``WINDOW + LONGEST - 1`` of
+    them at most, so of the windows that begin within the rest the least by hash is the same in both.
+    """
+    r = span - 2 * MARGIN - (WINDOW + LONGEST - 1)
+    if r < 0:
+        raise ValueError(f"spans below {2 * MARGIN + WINDOW + LONGEST - 1} characters need smaller windows")
+    return r
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,58 +113,69 @@ def recompress(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return names, start, start + size, np.searchsorted(ends_of, start)
 
 
-def windows(texts: list[str], covering: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, first and last character (within the text) of every window of consecutive symbols."""
+def windows(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and first character (within the text) of the kept windows of consecutive symbols."""
     names, start, end, text = recompress(texts)
     n = len(names)
     none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none
     offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    last = np.searchsorted(end, start + covering)
+    last = np.searchsorted(end, start + WINDOW)
     ok = np.flatnonzero(last < n)
     ok = ok[text[last[ok]] == text[ok]]
+    if not len(ok):
+        return np.zeros(0, np.uint64), none, none
     stop = last[ok]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(names) * _powers(_INVERSE, n), dtype=np.uint64)])
     value = _mix((sums[stop + 1] - sums[ok]) * _powers(_BASE, n)[ok] + (stop - ok).astype(np.uint64))
-    at = text[ok]
-    return value, at, start[ok] - offset[at], end[stop] - offset[at]
-
-
-def _batches(rows: Iterator[dict], chars: int = 300_000) -> Iterator[list[dict]]:
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += len(r["value"])
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def marked(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """(h, rid, grp, lo, hi): the symbol windows of every record, each once per record."""
-    covering = window(span)
-
-    def run(rows: Iterator[dict]) -> Iterator[tuple]:
-        for batch in _batches(rows):
-            value, at, lo, hi = windows([r["value"] for r in batch], covering)
-            field = np.array([r["field"] for r in batch], np.uint64)
-            value = (value ^ _mix(field[at] + np.uint64(77))).view(np.int64)
-            order = np.lexsort((lo, value, at))
-            value, at, lo, hi = value[order], at[order], lo[order], hi[order]
-            for h, k, a, b in zip(value.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
-                yield h, batch[k]["rid"], batch[k]["grp"], a, b
-
-    return arrow_rows(spread(records), run, "h long, rid long, grp long, lo int, hi int", flush=50_000)
+    at, first = text[ok], start[ok]
+    kept = _least(value, np.minimum(np.searchsorted(first, first + reach(span), "right"), np.searchsorted(at, at, "right")))
+    return value[kept], at[kept], first[kept] - offset[at[kept]]
+
+
+def _least(value: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Indices that hold the least value of some range [i, stop[i]) (the first of equals), by doubling tables."""
+    n = len(value)
+    table = [np.arange(n)]
+    while (1 << len(table)) <= int((stop - np.arange(n)).max()):
+        prior, step = table[-1], 1 << (len(table) - 1)
+        other = prior[np.minimum(np.arange(n) + step, n - 1)]
+        table.append(np.where(value[other] < value[prior], other, prior))
+    length = stop - np.arange(n)
+    level = np.log2(length).astype(np.int64)
+    stacked = np.stack(table)
+    a = stacked[level, np.arange(n)]
+    b = stacked[level, stop - (1 << level)]
+    return np.unique(np.where(value[b] < value[a], b, a))
+
+
+def marked(records: DataFrame, span: int = SPAN, chars: int = 300_000) -> DataFrame:
+    """(h, rid, grp, lo): the kept symbol windows of every record and where each begins."""
+    schema = "h long, rid long, grp long, lo int"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            field, rid, grp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("field", "rid", "grp"))
+            ends = np.cumsum(pc.utf8_length(b.column("value")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chars, "right")))
+                value, at, first = windows(b.column("value").slice(lo, hi - lo).to_pylist(), span)
+                at += lo
+                h = (value ^ _mix(field[at].astype(np.uint64) + np.uint64(77))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[at]), pa.array(grp[at]), pa.array(first.astype(np.int32))], schema=arrow)
+                lo = hi
+
+    return spread(records.select("field", "rid", "grp", "value")).mapInArrow(run, schema)
 
 
 def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
     """(k, rid, grp, pos, prev): every stretch of ``span`` characters at ``pos`` that holds a window shared by two groups."""
     marks = cut(marked(records, span))
     shared = marks.groupBy("h").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("h")
-    places = marks.join(shared, "h").groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("places"))  # bounded by the text
+    places = marks.join(shared, "h").groupBy("rid").agg(F.collect_list("lo").alias("places"))  # bounded by the text
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         import xxhash
@@ -163,8 +184,8 @@ def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
             text, n = r["value"], len(r["value"])
             data = memoryview(text.encode("utf-32-le", "surrogatepass"))
             done = 0
-            for p in sorted(r["places"], key=lambda x: x["lo"]):
-                first, last = max(done, p["hi"] - span, 0), min(p["lo"], n - span)
+            for lo in sorted(r["places"]):
+                first, last = max(done, lo + WINDOW - span, 0), min(lo, n - span)
                 for pos in range(first, last + 1):
                     h = xxhash.xxh3_64_intdigest(data[4 * pos : 4 * (pos + span)], seed=r["field"])
                     yield h - (1 << 63), r["rid"], r["grp"], pos, ord(text[pos - 1]) if pos else -1
@@ -195,11 +216,14 @@ def _name(code: Column) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str, span: int = SPAN) -> DataFrame:
-    """(rid, field, id, grp, value): witness texts and base readings long enough to share a span, each id once."""
+    """(rid, field, id, grp, value): witness texts and base readings long enough to share a span.
+
+    A record delivered repeatedly stands here repeatedly; that adds no pair.
+    """
     witness = read_table(spark, sf_dir, "witness").select(F.lit(0).alias("field"), F.col("witness_id").alias("id"), F.col("case_id").alias("grp"), F.col("text").alias("value"))
     variation = read_table(spark, sf_dir, "variation").select(F.lit(1).alias("field"), F.col("variation_id").alias("id"), F.col("case_id").alias("grp"), F.col("base_reading").alias("value"))
     both = witness.union(variation).where((F.char_length("value") >= span) & F.col("id").isNotNull() & F.col("grp").isNotNull())
-    return both.withColumn("rid", F.col("id") * 2 + F.col("field")).dropDuplicates(["rid"])
+    return both.withColumn("rid", F.col("id") * 2 + F.col("field"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +245,7 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda acc: acc["sum"],
     )
     sums = stretch.join(common, "k").groupBy("rid").agg(F.collect_set("pos").alias("starts")).select("rid", covered.alias("shared_chars"))
-    chars = rec.select("rid", "field", "id", F.char_length("value").alias("chars"))
+    chars = rec.select("rid", "field", "id", F.char_length("value").alias("chars")).distinct()
     shared = F.coalesce(F.col("shared_chars"), F.lit(0))
     return chars.join(sums, "rid", "left").select(_name(F.col("field")).alias("field"), F.col("id").alias("record_id"), "chars", shared.alias("shared_chars"), F.round(shared / F.col("chars"), 6).alias("share"))
 
