@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Column functions: folding, offsets, citations and formatting, all inside whole-stage code."""

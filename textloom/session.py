@@ -14,9 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data directory ``sf_dir`` (one Parquet file or a folder of them)."""
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies for the driver, whatever their working directory."""
+    root = str(Path(__file__).resolve().parents[1])
+    path = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, path)))
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give CPU-heavy Arrow stages enough partitions.
 
