@@ -40,6 +40,7 @@ WINDOW = 50
 SHORT_RUN = 4
 MARGIN = sum(CAPS) + SHORT_RUN
 PER_TASK = 1000
+SENT_ROWS = 500_000  # left ends of repeats; some 12 MB
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -196,12 +197,14 @@ def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
 
 def pairs(stretch: DataFrame) -> DataFrame:
     """(a, b), a < b: records of different groups that share a stretch; made at the left ends of the shared spans."""
-    ends = (
+    ends = cut(
         stretch.groupBy("k")
         .agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.count_if(F.col("prev") < 0).alias("begins"), F.count(F.lit(1)).alias("n"))
         .where("g0 <> g1 AND (p0 <> p1 OR begins > 1)")
         .select("k", F.ceil(F.col("n") / PER_TASK).cast("int").alias("parts"))
     )
+    if ends.count() <= SENT_ROWS:  # else both sides are exchanged
+        ends = F.broadcast(ends)
     held = stretch.join(ends, "k")
     left = held.withColumn("part", F.pmod(F.xxhash64("rid", "pos"), F.col("parts")).cast("int")).select("k", "part", F.col("rid").alias("a"), F.col("grp").alias("ga"), F.col("prev").alias("pa"))
     right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "part", F.col("rid").alias("b"), F.col("grp").alias("gb"), F.col("prev").alias("pb"))
