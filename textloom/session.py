@@ -63,7 +63,17 @@ def cut(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove)
     _written.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table._cut_at = at
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table written by ``cut`` once nothing reads it any more."""
+    at = getattr(table, "_cut_at", None)
+    for entry in [x for x in _written if x[1] == at]:
+        _written.remove(entry)
+        _delete(*entry)
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -72,13 +82,16 @@ _written: list[tuple[SparkSession, str]] = []
 def _remove() -> None:
     for spark, at in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, at)
         except Exception:  # noqa: BLE001 - the session is gone, and its folder with it or kept for inspection
             return
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist with spill to disk, for results used by more than one branch of a plan."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
