@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from textloom.session import cut, keep, read_table, spread
+from textloom.session import cut, discard, keep, read_table, spread
 
-__all__ = ["arrow_rows", "cut", "keep", "read_table", "spread"]
+__all__ = ["arrow_rows", "cut", "discard", "keep", "read_table", "spread"]
 
 
 def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str, flush: int = 4096) -> DataFrame:

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from textloom.llm.common import arrow_rows, cut, read_table, spread
+from textloom.llm.common import arrow_rows, cut, discard, read_table, spread
 
 SPAN = 150
 CAPS = (1, 1, 1, 2, 2, 4)
 LONGEST = 8
-WINDOW = 50
+WINDOW = 60
 SHORT_RUN = 4
 MARGIN = sum(CAPS) + SHORT_RUN
 PER_TASK = 1000
@@ -192,7 +192,9 @@ def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
                     yield h - (1 << 63), r["rid"], r["grp"], pos, ord(text[pos - 1]) if pos else -1
                 done = max(done, last + 1)
 
-    return arrow_rows(records.join(places, "rid"), run, "k long, rid long, grp long, pos int, prev int", flush=20_000)
+    result = cut(arrow_rows(records.join(places, "rid"), run, "k long, rid long, grp long, pos int, prev int", flush=20_000))
+    discard(marks)
+    return result
 
 
 def pairs(stretch: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def records(spark: SparkSession, sf_dir: str, span: int = SPAN) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs(cut(stretches(records(spark, sf_dir))))
+    found = pairs(stretches(records(spark, sf_dir)))
     code = F.pmod("a", F.lit(2))
     return found.select(_name(code).alias("field"), F.floor(F.col("a") / 2).cast("long").alias("id_a"), F.floor(F.col("b") / 2).cast("long").alias("id_b"))
 
@@ -238,7 +240,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each record long enough, how many of its characters stand in a span shared with another case, and their share."""
     rec = records(spark, sf_dir)
-    stretch = cut(stretches(rec))
+    stretch = stretches(rec)
     common = stretch.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("k")
     at = F.col("starts")
     covered = F.aggregate(
