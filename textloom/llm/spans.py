@@ -36,7 +36,7 @@ from textloom.llm.common import arrow_rows, cut, discard, read_table, spread
 SPAN = 150
 CAPS = (1, 1, 1, 2, 2, 4)
 LONGEST = 8
-WINDOW = 60
+WINDOW = 44
 SHORT_RUN = 4
 MARGIN = sum(CAPS) + SHORT_RUN
 PER_TASK = 1000
