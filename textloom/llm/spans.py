@@ -36,7 +36,7 @@ from textloom.llm.common import arrow_rows, cut, discard, read_table, spread
 SPAN = 150
 CAPS = (1, 1, 1, 2, 2, 4)
 LONGEST = 8
-WINDOW = 44
+WINDOW = 60
 SHORT_RUN = 4
 MARGIN = sum(CAPS) + SHORT_RUN
 PER_TASK = 1000
@@ -173,7 +173,10 @@ def marked(records: DataFrame, span: int = SPAN, chars: int = 300_000) -> DataFr
 
 
 def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """(k, rid, grp, pos, prev): every stretch of ``span`` characters at ``pos`` that holds a window shared by two groups."""
+    """(k, rid, grp, pos, prev): every stretch of ``span`` characters at ``pos`` that holds a window shared by two groups.
+
+    ``prev`` is the character before it; a text's beginning has a negative number that tells records apart.
+    """
     marks = cut(marked(records, span))
     shared = marks.groupBy("h").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("h")
     places = marks.join(shared, "h").groupBy("rid").agg(F.collect_list("lo").alias("places"))  # bounded by the text
@@ -189,28 +192,25 @@ def stretches(records: DataFrame, span: int = SPAN) -> DataFrame:
                 first, last = max(done, lo + WINDOW - span, 0), min(lo, n - span)
                 for pos in range(first, last + 1):
                     h = xxhash.xxh3_64_intdigest(data[4 * pos : 4 * (pos + span)], seed=r["field"])
-                    yield h - (1 << 63), r["rid"], r["grp"], pos, ord(text[pos - 1]) if pos else -1
+                    yield h - (1 << 63), r["rid"], r["grp"], pos, ord(text[pos - 1]) if pos else -1 - r["rid"]
                 done = max(done, last + 1)
 
-    result = cut(arrow_rows(records.join(places, "rid"), run, "k long, rid long, grp long, pos int, prev int", flush=20_000))
+    result = cut(arrow_rows(records.join(places, "rid"), run, "k long, rid long, grp long, pos int, prev long", flush=20_000))
     discard(marks)
     return result
 
 
 def pairs(stretch: DataFrame) -> DataFrame:
     """(a, b), a < b: records of different groups that share a stretch; made at the left ends of the shared spans."""
-    ends = cut(
-        stretch.groupBy("k")
-        .agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.count_if(F.col("prev") < 0).alias("begins"), F.count(F.lit(1)).alias("n"))
-        .where("g0 <> g1 AND (p0 <> p1 OR begins > 1)")
-        .select("k", F.ceil(F.col("n") / PER_TASK).cast("int").alias("parts"))
-    )
+    ends = cut(stretch.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("prev").alias("p0"), F.max("prev").alias("p1")).where("g0 <> g1 AND p0 <> p1").select("k"))
     if ends.count() <= SENT_ROWS:  # else both sides are exchanged
         ends = F.broadcast(ends)
-    held = stretch.join(ends, "k")
+    held = cut(stretch.join(ends, "k"))
+    parts = held.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
+    held = held.join(parts, "k")
     left = held.withColumn("part", F.pmod(F.xxhash64("rid", "pos"), F.col("parts")).cast("int")).select("k", "part", F.col("rid").alias("a"), F.col("grp").alias("ga"), F.col("prev").alias("pa"))
     right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "part", F.col("rid").alias("b"), F.col("grp").alias("gb"), F.col("prev").alias("pb"))
-    return left.join(right, ["k", "part"]).where("a < b AND ga <> gb AND (pa <> pb OR pa < 0)").select("a", "b").distinct()
+    return left.join(right, ["k", "part"]).where("a < b AND ga <> gb AND pa <> pb").select("a", "b").distinct()
 
 
 FIELDS = ("text", "base_reading")
