@@ -74,8 +74,9 @@ def from_table(witness: DataFrame, monolingual: DataFrame | None = None) -> Data
 
 def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
     """(grp, form): one group per line, comma-separated, ``#`` begins a comment."""
-    lines = spark.read.text(os.path.expanduser(path)).withColumn("line", F.regexp_replace(F.element_at(F.split("value", "#"), 1), "\r", ""))
-    return lines.select(F.monotonically_increasing_id().alias("grp"), F.explode(F.split("line", ",")).alias("form"))
+    lines = spark.read.text(os.path.expanduser(path)).withColumn("line", F.regexp_replace(F.element_at(F.split("value", "#"), 1), "\r", "")).withColumn("forms", F.split("line", ","))
+    grouped = lines.select(F.xxhash64("forms").alias("grp"), "forms").distinct()  # equal lines are one group
+    return grouped.select("grp", F.explode("forms").alias("form"))
 
 
 def lexicon(groups: DataFrame) -> DataFrame:
