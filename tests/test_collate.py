@@ -20,6 +20,7 @@ CASES = [
     ("the well-known author", "the author is well known", Config(), [("insertion", "", "is"), ("transposition", "author", "author")]),
     ("she slept indeed, but woke", "she slept indeed but woke", Config(record_punctuation=True), [("variantSpelling", ",", "∅")]),
     ("it was in vain: it was dark", "it was in vain; it was dark", Config(record_punctuation=True), [("variantSpelling", ":", ";")]),
+    ("le bon été", "le bon e\u0301te\u0301", Config(normalizer=DIPLOMATIC), []),
     ("", "all of it", Config(), [("insertion", "", "all of it")]),
     ("all of it", None, Config(), [("deletion", "all of it", "")]),
 ]
@@ -63,6 +64,15 @@ def test_lexicon_pairs_translations(spark):
     assert v == []
 
 
+def test_each_case_by_its_own_settings(spark):
+    schema = sources.SCHEMA + ", normalizer string, lines_per_page int, continuous boolean, record_accidentals boolean, record_punctuation boolean"
+    settings = {"plain": (" Substantive", None, None, None, False), "exact": ("diplomatic", None, False, False, False), "gb": ("gbUS", 1, False, False, None), "case": (None, None, True, True, False)}
+    texts = {"plain": ("The grey\nEnd, now", "the gray\nend now"), "exact": ("the End", "the end"), "gb": ("a b\nthe grey end", "a b\nthe gray last"), "case": ("a\n\f\nthe End", "a\n\f\nthe end")}
+    rows = [(w, "AB"[i], i, t, *settings[w]) for w, ts in texts.items() for i, t in enumerate(ts)]
+    found = sorted((v.work_id, v.variation_type, v.base_reading, v.base_location.page, v.base_location.line) for v in collate.by_case(spark.createDataFrame(rows, schema)).collect())
+    assert found == [("case", "variantSpelling", "End", 1, 1), ("exact", "substitution", "End", 0, 0), ("gb", "substitution", "end", 1, 0), ("plain", "substitution", "grey", 0, 0)]
+
+
 def test_tallies_keep_equal_pairs(spark):
     w = witnesses(spark, "same text", "same text", "other text")
     rows = {r.compared: r for r in collate.tallies(collate.successive_pairs(w), collate.variations(w)).collect()}

@@ -7,6 +7,7 @@ Arrow row in and its operations out, so pairs run in parallel and no token is sh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,10 +35,10 @@ def pivoted(token: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     return token.join(table, F.lower("normalized") == F.col("_form"), "left").withColumn("key", F.coalesce("_pivot", "normalized")).drop("_form", "_pivot")
 
 
-def witness_rows(witness: DataFrame, config: Config, lexicon: DataFrame | None = None) -> DataFrame:
+def witness_rows(witness: DataFrame, config: Config, lexicon: DataFrame | None = None, by_row: bool = False) -> DataFrame:
     """One row per witness: its tokens as an array, in order. Witnesses without tokens keep an empty array."""
     find_package(witness.sparkSession)
-    token = pivoted(tokens(witness, config.normalizer, config.pagination), lexicon)
+    token = pivoted(tokens(witness, config.normalizer, config.pagination, by_row), lexicon)
     fields = ["surface", "normalized", "key", "is_word", "char_from", "char_to", "line", "page", "word_index"]
     rows = token.groupBy("work_id", "siglum").agg(F.sort_array(F.collect_list(F.struct("tok", *fields))).alias("t"))
     listed = rows.select("work_id", "siglum", F.transform("t", lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias("tokens"))
@@ -62,7 +63,10 @@ OPS = "work_id {kind}, base string, compared string, len_a int, len_b int, seg i
 
 
 def operations(pairs: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
-    """Alignment operations of every pair; ``a`` and ``b`` are indices into all tokens of either witness."""
+    """Alignment operations of every pair; ``a`` and ``b`` are indices into all tokens of either witness.
+
+    Keys are compared in composed form, so differently composed accents are no difference.
+    """
     slim = F.struct(F.transform("tokens", lambda t: t["key"]).alias("keys"), F.transform("tokens", lambda t: t["page"]).alias("pages"), F.transform("tokens", lambda t: t["normalized"] != "").alias("held"))
     side = rows.select("work_id", "siglum", slim.alias("side"))
     joined = pairs.join(side.withColumnsRenamed({"siglum": "base", "side": "x"}), ["work_id", "base"]).join(side.withColumnsRenamed({"siglum": "compared", "side": "y"}), ["work_id", "compared"])
@@ -76,7 +80,8 @@ def operations(pairs: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
                 at = [i for i, held in enumerate(r["x"]["held"]) if held]
                 bt = [i for i, held in enumerate(r["y"]["held"]) if held]
                 pick = lambda side, field, where: [side[field][i] for i in where]
-                found = kernels.align(pick(r["x"], "keys", at), pick(r["y"], "keys", bt), length, scores, pick(r["x"], "pages", at), pick(r["y"], "pages", bt))
+                key = lambda side, where: [k if k.isascii() else normalize("NFC", k) for k in pick(side, "keys", where)]
+                found = kernels.align(key(r["x"], at), key(r["y"], bt), length, scores, pick(r["x"], "pages", at), pick(r["y"], "pages", bt))
                 out = [(k, s.move is not None, n, o, at[i] if i >= 0 else None, bt[j] if j >= 0 else None) for k, s in enumerate(found) for n, (o, i, j) in enumerate(s.ops)]
                 if out:
                     head = [[r[c]] * len(out) for c in BY] + [[len(at)] * len(out), [len(bt)] * len(out)]
@@ -106,7 +111,7 @@ def _reading(tokens_: Column, lo: Column, hi: Column) -> Column:
     return F.when(lo.isNotNull(), joined).otherwise("")
 
 
-def _raw(ops: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
+def _raw(ops: DataFrame, rows: DataFrame, config: Config, recorded: DataFrame | None = None) -> DataFrame:
     """Variations before recovery: runs of operations that aren't matches, whole moves, and the overlays asked for.
 
     Rows: pair, v (order), type, a_lo, a_hi, b_lo, b_hi (token ranges), within, anchor, certain.
@@ -171,6 +176,8 @@ def _raw(ops: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
         F.col("o.a").alias("a_lo"), (F.col("o.a") + 1).alias("a_hi"), F.col("o.b").alias("b_lo"), (F.col("o.b") + 1).alias("b_hi"),
         F.col("o.within").alias("within"), none.alias("anchor"), F.lit(True).alias("certain"), F.col("o.r").alias("base_shown"), F.col("o.s").alias("compared_shown"),
     )
+    if recorded is not None:
+        spelled = spelled.join(recorded, "work_id").where(F.when(F.col("layer") == 1, F.col("record_punctuation")).otherwise(F.col("record_accidentals"))).drop("record_punctuation", "record_accidentals")
     return found.unionByName(spelled, allowMissingColumns=True)
 
 
@@ -235,15 +242,16 @@ def recover(raw: DataFrame, rows: DataFrame) -> DataFrame:
     return kept.unionByName(moved, allowMissingColumns=True).withColumn("v_no", F.row_number().over(order)).drop("v", "recovered")
 
 
-def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, pairs: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, pairs: DataFrame | None = None, rows: DataFrame | None = None, recorded: DataFrame | None = None) -> DataFrame:
     """Located variations of every pair (successive witnesses by default), numbered ``v_no`` in their order.
 
     ``witness`` is (work_id, siglum, ordinal, text), (work_id, siglum) unique. Null texts count as empty; an empty
-    witness gives one insertion or deletion of the other's whole text; equal witnesses give no row.
+    witness gives one insertion or deletion of the other's whole text; equal witnesses give no row. ``recorded`` may
+    say per work which overlays stay (``by_case``).
     """
     rows = cut(witness_rows(witness, config, lexicon)) if rows is None else rows
     pairs = successive_pairs(witness) if pairs is None else pairs
-    found = recover(_raw(cut(operations(pairs, rows, config)), rows, config), rows)
+    found = recover(_raw(cut(operations(pairs, rows, config)), rows, config, recorded), rows)
     if "base_shown" not in found.columns:
         found = found.withColumn("base_shown", F.lit(None).cast("string")).withColumn("compared_shown", F.lit(None).cast("string"))
     side = rows.select("work_id", "siglum", "tokens")
@@ -276,6 +284,19 @@ def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame
     return both.select(*BY, F.explode(F.transform("v", told)).alias("t")).select(*BY, "t.*")
 
 
+def by_case(witness: DataFrame) -> DataFrame:
+    """Variations of successive witnesses, every work by its own settings.
+
+    ``witness`` has, besides the usual columns, ``normalizer``, ``lines_per_page``, ``continuous``,
+    ``record_accidentals`` and ``record_punctuation``; the same for all witnesses of a work, nulls standing for defaults.
+    """
+    config = Config(record_accidentals=True, record_punctuation=True)
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    recorded = cut(witness.groupBy("work_id").agg(flag("record_accidentals"), flag("record_punctuation")))
+    rows = cut(witness_rows(witness, config, None, by_row=True))
+    return variations(witness, config, None, None, rows, recorded)
+
+
 def tallies(pairs: DataFrame, variation: DataFrame) -> DataFrame:
     """Counts of each type for every pair, pairs without variations included."""
     counts = variation.groupBy(*BY).agg(*[F.count_if(F.col("variation_type") == t).alias(f"n_{_snake(t)}") for t in TYPES])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.config import SUBSTANTIVE, Normalizer, Pagination
+from textloom.config import NORMALIZERS, SUBSTANTIVE, Normalizer, Pagination
 from textloom.functions.text import normalize_word, utf16_len
 
 WORD = r"\p{L}\p{M}\p{N}'’-"
@@ -39,49 +39,67 @@ def _kind(piece: Column) -> Column:
     )
 
 
-def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination: Pagination = Pagination()) -> DataFrame:
+def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination: Pagination = Pagination(), by_row: bool = False) -> DataFrame:
     """Tokens of ``witness(work_id, siglum, ordinal, text)``, in order ``tok`` per witness.
 
     ``char_from`` and ``char_to`` count UTF-16 units of the text as it stands; ``cidx`` numbers the comparable tokens
     (those with a non-empty normal form) and is null on the others. Null and blank texts have no tokens; a byte order
     mark at the start is skipped. Witnesses are told apart by (work_id, siglum), which must be unique.
+
+    With ``by_row`` the columns ``normalizer`` (a preset's name), ``lines_per_page`` (or null) and ``continuous`` of each
+    witness take the place of the arguments.
     """
     text = F.regexp_replace("text", "^﻿", " ")
     pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    if normalizer.split_hyphens:
+    presets = [(F.lit(True), normalizer)]
+    settings = []
+    if by_row:
+        name = F.lower(F.trim(F.coalesce("normalizer", F.lit(""))))
+        presets = [(F.col("_normalizer") == n, p) for n, p in NORMALIZERS.items() if p != SUBSTANTIVE] + [(F.lit(True), SUBSTANTIVE)]
+        settings = [name.alias("_normalizer"), F.col("lines_per_page").alias("_lines"), F.coalesce("continuous", F.lit(False)).alias("_continuous")]
+        witness = witness.select("work_id", "siglum", "ordinal", "text", *settings)
+        settings = ["_normalizer", "_lines", "_continuous"]
+    if any(p.split_hyphens for _, p in presets):
+        whole = pieces
         hyphened = lambda p: p.rlike(f"^[{WORD}]+$") & p.rlike("^.+-.+$") & ~p.rlike("^-+$")
         pieces = F.flatten(F.transform(pieces, lambda p: F.when(hyphened(p), F.regexp_extract_all(p, F.lit(UNITS), F.lit(0))).otherwise(F.array(p))))
+        if by_row:
+            pieces = F.when(F.col("_normalizer") == "diplomatic", whole).otherwise(pieces)
     by = ["work_id", "siglum"]
     order = Window.partitionBy(*by).orderBy("p")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    cut = witness.where(F.col("text").isNotNull()).select(*by, "ordinal", F.posexplode(pieces).alias("p", "piece")).withColumn("kind", _kind(F.col("piece")))
+    cut = witness.where(F.col("text").isNotNull()).select(*by, "ordinal", *settings, F.posexplode(pieces).alias("p", "piece")).withColumn("kind", _kind(F.col("piece")))
     alone = (F.coalesce(F.lag("kind").over(order), F.lit("newline")) == "newline") & (F.coalesce(F.lead("kind").over(order), F.lit("newline")) == "newline")
     cut = cut.withColumn("char_from", F.coalesce(F.sum(utf16_len(F.col("piece"))).over(before), F.lit(0)).cast("int")).withColumn(
         "kind", F.when(F.col("kind") == "rule", F.when(alone, "break").otherwise("word")).otherwise(F.col("kind"))
     )
     held = cut.where("kind <> 'blank'")
-    markers = pagination.lines_per_page is None and pagination.offsets is None
+    markers = F.col("_lines").isNull() if by_row else F.lit(pagination.lines_per_page is None and pagination.offsets is None)
     is_token = F.col("kind").isin("word", "punctuation")
     ends_paragraph = (F.col("kind") == "newline") & (F.lead("kind").over(order) == "newline") & F.lag("kind").over(order).isin("word", "punctuation")
     numbered = (
         held.withColumn("ends", F.coalesce(ends_paragraph, F.lit(False)))
         .withColumn("group", F.count_if(~is_token).over(upto))
         .withColumn("paragraph", F.count_if("ends").over(upto).cast("int"))
-        .withColumn("page", (F.count_if(F.col("kind") == "break").over(upto) if markers else F.lit(0)).cast("int"))
+        .withColumn("page", F.when(markers, F.count_if(F.col("kind") == "break").over(upto)).otherwise(0).cast("int"))
         .where(is_token)
     )
-    if pagination.offsets is not None:
+    if pagination.offsets is not None and not by_row:
         starts = F.array(*[F.lit(o) for o in sorted(pagination.offsets)]) if pagination.offsets else F.array().cast("array<int>")
         numbered = numbered.withColumn("page", F.size(F.filter(starts, lambda o: (o > 0) & (o <= F.col("char_from")))))
     by_group = Window.partitionBy(*by).orderBy("group", "page")
-    if pagination.lines_per_page is not None:
-        n = max(1, pagination.lines_per_page)
-        numbered = numbered.withColumn("text_line", F.dense_rank().over(by_group) - 1).withColumn("page", F.floor(F.col("text_line") / n).cast("int"))
-    line = F.dense_rank().over(by_group if pagination.continuous else Window.partitionBy(*by, "page").orderBy("group")) - 1
+    lines = F.col("_lines") if by_row else F.lit(pagination.lines_per_page).cast("int")
+    if by_row or pagination.lines_per_page is not None:
+        numbered = numbered.withColumn("text_line", F.dense_rank().over(by_group) - 1).withColumn("page", F.when(lines.isNotNull(), F.floor(F.col("text_line") / F.greatest(lines, F.lit(1))).cast("int")).otherwise(F.col("page")))
+    through, within = F.dense_rank().over(by_group) - 1, F.dense_rank().over(Window.partitionBy(*by, "page").orderBy("group")) - 1
+    line = F.when(F.col("_continuous"), through).otherwise(within) if by_row else through if pagination.continuous else within
     word = F.row_number().over(Window.partitionBy(*by, "group", "page").orderBy("p")) - 1
     punctuation = (F.col("kind") == "punctuation") | (F.col("piece") == "-")
-    plain = F.when(punctuation, F.lit("") if normalizer.drop_punctuation else F.col("piece")).otherwise(normalize_word(F.col("piece"), normalizer))
+    forms = [F.when(punctuation, F.lit("") if p.drop_punctuation else F.col("piece")).otherwise(normalize_word(F.col("piece"), p)) for _, p in presets]
+    plain = forms[-1]
+    for (applies, _), form in zip(presets[:-1], forms[:-1]):
+        plain = F.when(applies, form).otherwise(plain)
     result = (
         numbered.withColumn("line", line.cast("int"))
         .withColumn("word_index", word.cast("int"))

@@ -238,6 +238,14 @@ def collate_variations(spark: SparkSession, d: str) -> DataFrame:
     return collate.variations(cases(spark, d))
 
 
+def collate_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The monolingual cases, each by the settings that its row in ``case_meta`` names."""
+    meta = read_table(spark, d, "case_meta").groupBy(F.col("case_id").alias("work_id")).agg(*[F.max(c).alias(c) for c in ("normalizer", "pagination", "record_accidentals", "record_punctuation")])
+    lines = F.try_element_at(F.split("pagination", ":"), F.lit(2)).cast("int")
+    settings = meta.select("work_id", "normalizer", "record_accidentals", "record_punctuation", F.when(F.col("pagination").startswith("linesPerPage"), lines).alias("lines_per_page"), (F.col("pagination") == "throughNumbered").alias("continuous"))
+    return collate.by_case(cases(spark, d).join(settings, "work_id"))
+
+
 def collate_accidentals(spark: SparkSession, d: str) -> DataFrame:
     return collate.variations(cases(spark, d), Config(record_accidentals=True, record_punctuation=True))
 
@@ -291,7 +299,7 @@ def queries() -> dict[str, Query]:
     named: dict[str, Query] = {f.__name__: f for f in (
         token_words, token_places, token_offsets, normal_forms, spelling_folds, comparable_tokens, key_frequency, successive_pairs, base_pairs, promoted_order, anchor_pins, plausible_pins, anchor_density,
         lexicon_pivots, pivoted_keys, pair_check, displaced_words, shared_insertions, moved_deviation, cites, csv_rows, csv_lines, pairwise_apparatus, report_entries, narratives, cross_page, perspective, escaped,
-        collate_variations, collate_accidentals, collate_bilingual, collate_tallies, graph_edges, apparatus_lines, synopsis_rows, interchange, self_collation,
+        collate_variations, collate_cases, collate_accidentals, collate_bilingual, collate_tallies, graph_edges, apparatus_lines, synopsis_rows, interchange, self_collation,
     )}
     named |= {f"unique_{name}": unique_grams(n) for n, name in ((2, "bigrams"), (3, "trigrams"))}
     named |= {name: of_facts(op) for name, op in (
