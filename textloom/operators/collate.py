@@ -19,7 +19,7 @@ from textloom.config import LIMITS, Config
 from textloom.functions.text import cite
 from textloom.operators import kernels
 from textloom.operators.lexer import tokens
-from textloom.session import cut, find_package
+from textloom.session import cut, dealt, find_package
 
 TOKEN = "struct<surface:string,normalized:string,key:string,is_word:boolean,char_from:int,char_to:int,line:int,page:int,word_index:int>"
 INSERTION, DELETION, SUBSTITUTION, MOVE, SPELLING = "insertion", "deletion", "substitution", "transposition", "variantSpelling"
@@ -59,20 +59,33 @@ def base_pairs(witness: DataFrame) -> DataFrame:
     return witness.select("work_id", F.first("siglum").over(w).alias("base"), F.col("siglum").alias("compared")).where("base <> compared")
 
 
+def with_sides(df: DataFrame, side: DataFrame) -> DataFrame:
+    """``df`` with the tokens of either witness of its pair, ``x`` of the base and ``y`` of the compared one."""
+    x = side.select("work_id", F.col("siglum").alias("base"), F.col("tokens").alias("x"))
+    y = side.select("work_id", F.col("siglum").alias("compared"), F.col("tokens").alias("y"))
+    return dealt(dealt(df, "work_id", "base").join(x, ["work_id", "base"]), "work_id", "compared").join(y, ["work_id", "compared"])
+
+
 OPS = "work_id {kind}, base string, compared string, len_a int, len_b int, seg int, is_move boolean, op_no int, op string, a int, b int"
 
 
 def operations(pairs: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
     """Alignment operations of every pair; ``a`` and ``b`` are indices into all tokens of either witness.
 
-    Keys are compared in composed form, so differently composed accents are no difference.
+    Runs of matches outside moves leave their last operation only, unless overlays are asked for. Keys are compared in
+    composed form, so differently composed accents are no difference.
     """
     slim = F.struct(F.transform("tokens", lambda t: t["key"]).alias("keys"), F.transform("tokens", lambda t: t["page"]).alias("pages"), F.transform("tokens", lambda t: t["normalized"] != "").alias("held"))
-    side = rows.select("work_id", "siglum", slim.alias("side"))
-    joined = pairs.join(side.withColumnsRenamed({"siglum": "base", "side": "x"}), ["work_id", "base"]).join(side.withColumnsRenamed({"siglum": "compared", "side": "y"}), ["work_id", "compared"])
+    side = rows.select("work_id", "siglum", slim.alias("tokens"))
+    joined = with_sides(pairs, side)
     schema = OPS.format(kind=pairs.schema["work_id"].dataType.simpleString())
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     length, scores = config.anchor_length, config.scores
+    every = config.record_accidentals or config.record_punctuation
+
+    def needed(s: kernels.Segment, n: int) -> bool:
+        """Of a run of matches outside moves only the last matters, unless overlays look at each."""
+        return every or s.move is not None or s.ops[n][0] != "match" or n + 1 == len(s.ops) or s.ops[n + 1][0] != "match"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +95,7 @@ def operations(pairs: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
                 pick = lambda side, field, where: [side[field][i] for i in where]
                 key = lambda side, where: [k if k.isascii() else normalize("NFC", k) for k in pick(side, "keys", where)]
                 found = kernels.align(key(r["x"], at), key(r["y"], bt), length, scores, pick(r["x"], "pages", at), pick(r["y"], "pages", bt))
-                out = [(k, s.move is not None, n, o, at[i] if i >= 0 else None, bt[j] if j >= 0 else None) for k, s in enumerate(found) for n, (o, i, j) in enumerate(s.ops)]
+                out = [(k, s.move is not None, n, o, at[i] if i >= 0 else None, bt[j] if j >= 0 else None) for k, s in enumerate(found) for n, (o, i, j) in enumerate(s.ops) if needed(s, n)]
                 if out:
                     head = [[r[c]] * len(out) for c in BY] + [[len(at)] * len(out), [len(bt)] * len(out)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(head + list(zip(*out)), arrow)], schema=arrow)
@@ -151,13 +164,7 @@ def _raw(ops: DataFrame, rows: DataFrame, config: Config, recorded: DataFrame |
     if not (config.record_accidentals or config.record_punctuation):
         return found
     side = rows.select("work_id", "siglum", "tokens")
-    at = (
-        marked.where(match)
-        .groupBy(*BY)
-        .agg(F.collect_list(F.struct("seg", "op_no", "is_move", "a", "b", "prev_a", "prev_b")).alias("m"))
-        .join(side.withColumnsRenamed({"siglum": "base", "tokens": "x"}), ["work_id", "base"])
-        .join(side.withColumnsRenamed({"siglum": "compared", "tokens": "y"}), ["work_id", "compared"])
-    )
+    at = with_sides(marked.where(match).groupBy(*BY).agg(F.collect_list(F.struct("seg", "op_no", "is_move", "a", "b", "prev_a", "prev_b")).alias("m")), side)
     between = lambda t, lo, hi: F.transform(F.filter(F.slice(t, lo + 2, F.greatest(F.lit(0), hi - lo - 1)), lambda z: ~z["is_word"]), lambda z: z["surface"])
 
     def overlay(m: Column) -> Column:
@@ -191,7 +198,7 @@ def recover(raw: DataFrame, rows: DataFrame) -> DataFrame:
     side = rows.select("work_id", "siglum", "tokens")
     gone = v.where((F.col("type").isin(DELETION, INSERTION)) & ~F.col("within"))
     cuts = gone.groupBy(*BY).agg(F.collect_list(F.struct("v", "type", "a_lo", "a_hi", "b_lo", "b_hi")).alias("cuts"))
-    both = cuts.join(side.withColumnsRenamed({"siglum": "base", "tokens": "x"}), ["work_id", "base"]).join(side.withColumnsRenamed({"siglum": "compared", "tokens": "y"}), ["work_id", "compared"])
+    both = with_sides(cuts, side)
 
     def words(cut: Column) -> Column:
         deleted = cut["type"] == DELETION
@@ -209,13 +216,13 @@ def recover(raw: DataFrame, rows: DataFrame) -> DataFrame:
     )
     deviation = F.abs(F.col("si") - F.floor(F.col("di") * F.col("ny") / F.col("nx") + 0.5)).cast("int")
     tolerance = F.least(F.lit(LIMITS.max_move), F.greatest(F.lit(LIMITS.min_move), F.floor(F.greatest("nx", "ny") * LIMITS.move_fraction)))
-    times = side.select("work_id", "siglum", F.explode("tokens").alias("t")).where("t.is_word AND t.normalized <> ''").groupBy("work_id", "siglum", F.lower("t.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    near = single.withColumn("deviation", deviation).where(F.col("deviation") <= LIMITS.max_move)
+    asked = near.groupBy(*BY).agg(F.collect_list(F.struct("key", "di", "dv", "si", "sv", "nx", "ny", "deviation")).alias("asked"))  # bounded by the pair's own words
+    times = lambda tokens_, key: F.size(F.filter(tokens_, lambda t: (F.lower(t["key"]) == key) & t["is_word"] & (t["normalized"] != "")))
     placed = (
-        single.withColumn("deviation", deviation)
-        .where(F.col("deviation") <= LIMITS.max_move)
-        .join(times.withColumnsRenamed({"siglum": "base", "n": "times_a"}), ["work_id", "base", "key"])
-        .join(times.withColumnsRenamed({"siglum": "compared", "n": "times_b"}), ["work_id", "compared", "key"])
-        .withColumn("unique", (F.col("times_a") == 1) & (F.col("times_b") == 1))
+        with_sides(asked, side)
+        .select(*BY, F.explode(F.transform("asked", lambda q: F.struct(q.alias("q"), ((times(F.col("x"), q["key"]) == 1) & (times(F.col("y"), q["key"]) == 1)).alias("unique")))).alias("e"))
+        .select(*BY, "e.q.*", "e.unique")
         .withColumn("sure", F.col("unique") & (F.col("deviation") <= tolerance))
     )
     line = Window.partitionBy(*BY).orderBy("di")
@@ -256,12 +263,7 @@ def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame
         found = found.withColumn("base_shown", F.lit(None).cast("string")).withColumn("compared_shown", F.lit(None).cast("string"))
     side = rows.select("work_id", "siglum", "tokens")
     fields = ["v_no", "type", "a_lo", "a_hi", "b_lo", "b_hi", "within", "anchor", "certain", "base_shown", "compared_shown"]
-    both = (
-        found.groupBy(*BY)
-        .agg(F.collect_list(F.struct(*fields)).alias("v"))
-        .join(side.withColumnsRenamed({"siglum": "base", "tokens": "x"}), ["work_id", "base"])
-        .join(side.withColumnsRenamed({"siglum": "compared", "tokens": "y"}), ["work_id", "compared"])
-    )
+    both = with_sides(found.groupBy(*BY).agg(F.collect_list(F.struct(*fields)).alias("v")), side)
 
     def told(v: Column) -> Column:
         base, compared = _located(F.col("x"), v["a_lo"], v["a_hi"]), _located(F.col("y"), v["b_lo"], v["b_hi"])

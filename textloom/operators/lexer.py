@@ -1,6 +1,7 @@
 """Tokens with citations, as a relational plan.
 
-One regular expression whose alternatives cover every character cuts a text into pieces; running sums over the pieces of
+One regular expression whose alternatives cover every character cuts a text into pieces (a blank after a word belongs to
+its piece, which halves the rows); running sums over the pieces of
 a witness give offsets, pages, lines, words and paragraphs. The only exchange is by witness, and all numbering shares it.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import NORMALIZERS, SUBSTANTIVE, Normalizer, Pagination
 from textloom.functions.text import normalize_word, utf16_len
+from textloom.session import dealt
 
 WORD = r"\p{L}\p{M}\p{N}'’-"
 BLANK = r"\s\p{Z}\x{0085}"
@@ -20,8 +22,8 @@ PIECES = "|".join((
     rf"(?s:{REGION}.*?(?:-->|\z))",
     rf"\f|{PAGE_COMMENT}|(?m:^[ \t]*---[ \t]*$)",
     r"\n",
-    rf"[{WORD}]+",
-    rf"(?:(?!{REGION}|{PAGE_COMMENT})[^{BLANK}{WORD}])+",
+    rf"[{WORD}]+ ?",
+    rf"(?:(?!{REGION}|{PAGE_COMMENT})[^{BLANK}{WORD}])+ ?",
     r"[\s\S]",
 ))
 UNITS = r"(?:^-+)?[^-]+(?:-$)?|-+"
@@ -29,7 +31,8 @@ UNITS = r"(?:^-+)?[^-]+(?:-$)?|-+"
 
 def _kind(piece: Column) -> Column:
     return (
-        F.when(piece == "\n", "newline")
+        F.when(piece.rlike("^[A-Za-z]"), "word")
+        .when(piece == "\n", "newline")
         .when(piece.rlike(f"^(?:{REGION})"), "region")
         .when(piece.rlike(rf"^(?:\f|{PAGE_COMMENT})$"), "break")
         .when(piece.rlike(r"^[ \t]*---[ \t]*$"), "rule")
@@ -61,17 +64,21 @@ def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination:
         settings = ["_normalizer", "_lines", "_continuous"]
     if any(p.split_hyphens for _, p in presets):
         whole = pieces
-        hyphened = lambda p: p.rlike(f"^[{WORD}]+$") & p.rlike("^.+-.+$") & ~p.rlike("^-+$")
-        pieces = F.flatten(F.transform(pieces, lambda p: F.when(hyphened(p), F.regexp_extract_all(p, F.lit(UNITS), F.lit(0))).otherwise(F.array(p))))
+        hyphened = lambda p: p.contains("-") & p.rlike(f"^[{WORD}]+ ?$") & p.rlike("^.+-[^ ]") & ~p.rlike("^-+ ?$")
+        units = lambda p: F.concat(F.regexp_extract_all(F.rtrim(p), F.lit(UNITS), F.lit(0)), F.when(p.endswith(" "), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(hyphened(p), units(p)).otherwise(F.array(p))))
         if by_row:
             pieces = F.when(F.col("_normalizer") == "diplomatic", whole).otherwise(pieces)
     by = ["work_id", "siglum"]
     order = Window.partitionBy(*by).orderBy("p")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    cut = witness.where(F.col("text").isNotNull()).select(*by, "ordinal", *settings, F.posexplode(pieces).alias("p", "piece")).withColumn("kind", _kind(F.col("piece")))
+    # texts are exchanged rather than their tokens; all windows below keep to this partitioning
+    held = dealt(witness.where(F.col("text").isNotNull()), *by).withColumn("wide", F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]"))  # before the explode, once per text
+    cut = held.select(*by, "ordinal", *settings, "wide", F.posexplode(pieces).alias("p", "piece")).withColumn("kind", _kind(F.col("piece")))
+    length = lambda c: F.when(F.col("wide"), utf16_len(c)).otherwise(F.char_length(c))
     alone = (F.coalesce(F.lag("kind").over(order), F.lit("newline")) == "newline") & (F.coalesce(F.lead("kind").over(order), F.lit("newline")) == "newline")
-    cut = cut.withColumn("char_from", F.coalesce(F.sum(utf16_len(F.col("piece"))).over(before), F.lit(0)).cast("int")).withColumn(
+    cut = cut.withColumn("char_from", F.coalesce(F.sum(length(F.col("piece"))).over(before), F.lit(0)).cast("int")).withColumn(
         "kind", F.when(F.col("kind") == "rule", F.when(alone, "break").otherwise("word")).otherwise(F.col("kind"))
     )
     held = cut.where("kind <> 'blank'")
@@ -84,6 +91,7 @@ def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination:
         .withColumn("paragraph", F.count_if("ends").over(upto).cast("int"))
         .withColumn("page", F.when(markers, F.count_if(F.col("kind") == "break").over(upto)).otherwise(0).cast("int"))
         .where(is_token)
+        .withColumn("piece", F.rtrim("piece"))
     )
     if pagination.offsets is not None and not by_row:
         starts = F.array(*[F.lit(o) for o in sorted(pagination.offsets)]) if pagination.offsets else F.array().cast("array<int>")
@@ -109,7 +117,7 @@ def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination:
         .withColumn("comparable", F.col("normalized") != "")
         .withColumn("cidx", F.when(F.col("comparable"), F.count_if("comparable").over(upto) - 1).cast("int"))
     )
-    char_to = F.col("char_from") + utf16_len(F.col("piece"))
+    char_to = F.col("char_from") + length(F.col("piece"))
     return result.select(
         *by, "ordinal", "tok", "cidx", F.col("piece").alias("surface"), "normalized", "is_word", "char_from", char_to.cast("int").alias("char_to"), "line", "paragraph", "page", "word_index"
     )

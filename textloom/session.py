@@ -36,6 +36,14 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want * per_core)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` hash-partitioned by ``by`` over ``spark.sql.shuffle.partitions``, which adaptive execution leaves as they are.
+
+    For exchanges that come anyway before work that costs much more per byte than a scan.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
     sc = spark.sparkContext
