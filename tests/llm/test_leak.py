@@ -55,6 +55,23 @@ def test_one_word_may_differ():
     assert matcher.search(item.replace("w3 ", "x ").replace("w9", "y")) == {}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_altered_windows_start_anywhere(seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, [r.choice(vocabulary) for _ in range(r.randrange(13, 40))]) for i in range(6)]
+    matcher = L.Matcher([(i, " ".join(w)) for i, w in items], L.RUN, L.BUDGET)
+    for _ in range(40):
+        _, w = r.choice(items)
+        a = r.randrange(len(w) - 11)
+        part = w[a : a + r.randrange(11, 15)]
+        at = r.randrange(len(part))
+        part[at : at + 1] = r.choice([[], ["x"], ["x", part[at]], [part[at]]])
+        doc = [r.choice(vocabulary) for _ in range(8)] + part + [r.choice(vocabulary) for _ in range(8)]
+        best = {i: min(edit(x[k : k + 12], doc) for k in range(len(x) - 11)) for i, x in items}
+        assert {i: d for i, (d, *_) in matcher.search(" ".join(doc)).items()} == {i: d for i, d in best.items() if d <= 1}
+
+
 def test_table_blocks_nulls_repeats(spark):
     passage = " ".join(f"word{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "x " + passage, 0), (2, None, 0), (3, "", 0), (4, passage[:60], 0), (1, "x " + passage, 0)], "doc_id long, text string, distance int")

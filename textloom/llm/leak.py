@@ -2,15 +2,12 @@
 
 Method: pigeonhole edit matching. An item is a sequence of normalised words; each window of ``run`` words may differ
 in ``budget`` words, so it is laid over consecutive pieces of ``run / (budget + 1)`` words, one of which must occur
-unchanged. All pieces stand in one Aho-Corasick automaton that reads each document once; every hit is verified with
-Myers' bit-parallel distance, over words as symbols, between the item's windows that hold the piece and the stretch of
-the document around the hit. ``p7_found`` keeps the windows of distance 0 and checks the words once more.
+unchanged. Windows start at any word, and so do pieces. All pieces stand in one Aho-Corasick automaton that reads each document once; every hit is verified with
+Myers' bit-parallel distance, over words as symbols, between the item's windows of which it is a piece and the stretch
+of the document around the hit. ``p7_found`` keeps the windows of distance 0.
 
-Any ``run`` consecutive words hold a whole piece even if they start inside one, because two pieces are at most
-``run`` words long; so windows needn't start at a piece.
-
-Items are taken in blocks of at most ``block_chars`` characters, each block one pass over the documents, so the
-automaton never grows with the evaluation set.
+Items are taken in blocks whose pieces have about ``block_chars`` characters, each block one pass over the documents,
+so the automaton never grows with the evaluation set.
 
 Defined results: null or empty texts match nothing; an item of fewer words than ``run`` has no window; equal items each
 report; a document or item given twice counts once; extra columns are dropped.
@@ -79,7 +76,7 @@ class Matcher:
         self.items = {item: w for item, t in items if len(w := words(t)) >= run}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, w in self.items.items():
-            for k in range(0, len(w) - self.piece + 1, self.piece):
+            for k in range(len(w) - self.piece + 1):
                 at[" " + " ".join(w[k : k + self.piece]) + " "].append((item, k))
         self.automaton = None
         if at:
@@ -108,9 +105,9 @@ class Matcher:
                 if found.get(item, (1,))[0] == 0:
                     continue
                 iw = self.items[item]
-                for lo in range(max(0, k + self.piece - self.run), min(k, len(iw) - self.run) + 1):
-                    doc_lo = here - (k - lo)
-                    if (item, lo, doc_lo) in seen:
+                for before in range(0, (self.budget + 1) * self.piece, self.piece):  # words of the window before the piece
+                    lo, doc_lo = k - before, here - before
+                    if not 0 <= lo <= len(iw) - self.run or (item, lo, doc_lo) in seen:
                         continue
                     seen.add((item, lo, doc_lo))
                     stretch = w[max(0, doc_lo - self.budget) : max(0, doc_lo + self.run + self.budget)]
@@ -133,7 +130,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, budget: int =
             blocks.append([])
             size = 0
         blocks[-1].append((r["item_id"], r["item_text"]))
-        size += len(r["item_text"])
+        size += len(r["item_text"]) * (run // (budget + 1))  # each word stands in so many pieces
 
     def search(block: list[tuple[int, str]]):
         def run_partition(rows: Iterator[dict]) -> Iterator[tuple]:
