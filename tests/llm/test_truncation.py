@@ -57,6 +57,27 @@ def test_near_copy_that_goes_on():
     assert not T.goes_on(whole[: whole.index(".") + 1] + " " + whole[whole.index(".") + 2 :].split(".")[0] + ".", whole)
 
 
+def test_every_holder_of_a_band_is_compared(spark):
+    r = random.Random(5)
+    verse = "\n".join(sentence(r)[:-1] for _ in range(6))
+    whole = verse + " while the bell rang over all the quiet hills"
+    rows = [(1, verse, "a", "verse", "x"), (2, whole, "a", "verse", "x")]
+    rows += [(10 + i, " ".join(sentence(r) for _ in range(20)) + " " + verse + " and then " + " ".join(sentence(r) for _ in range(30 + i)), "a", "prose", "x") for i in range(3)]
+    short = "Seven lanterns burned beside the frozen harbour gate"
+    rows += [(20, short, "a", "verse", "x"), (21, short + " until morning came with snow", "a", "verse", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {x.doc_id for x in T.copies(docs, T.endings(docs)).collect()}
+    assert 1 in found and 2 not in found and all(T.block_bands(t) for t in (short, verse))
+
+
+def test_sketch_rules_out_no_copy():
+    r = random.Random(6)
+    t = " ".join(sentence(r) for _ in range(40))
+    n, own, _ = T.sketch(t[: len(t) // 2] + " [truncated]")
+    lacking = sum((a & ~b).bit_count() if a & ~b >= 0 else ((a & ~b) + (1 << 64)).bit_count() for a, b in zip(own, T.sketch(t.upper() + " more")[2]))
+    assert lacking <= 5 and n > 100
+
+
 def test_bands_meet_for_copies():
     r = random.Random(4)
     t = " ".join(sentence(r) for _ in range(30))

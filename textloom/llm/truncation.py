@@ -1,9 +1,9 @@
 """Problem 8: text cut off by field limits or broken transfers.
 
 Method. (1) Near-copies: every text is cut into blocks at content-defined places, the five-word shingles of each block
-are min-hashed, and blocks meet in bands. Of each band only the holders with the longest continuation are kept (one
-aggregate per band, however many texts share it); a text that ends open is verified against them (at least 0.8 of its
-own shingles), aligned from the shared block to its end, and flagged if the copy goes on in the same sentence.
+are min-hashed, and blocks meet in bands. A text that ends open is compared with every holder of a band of its last
+blocks that goes on longer: bit maps of the shingles rule out those that can't hold 0.8 of its own shingles, the others
+are verified, aligned from the shared block to its end, and it is flagged if one goes on in the same sentence.
 (2) Texts without such a copy are scored by closing-word terminality: how often the last word closes a sentence
 anywhere in the corpus, whether it is a word of the corpus at all, whether the closing line has a shape that closes
 texts as a rule (signatures, shelf marks, lists of sigla, end marks), whether the source cuts at this length, and
@@ -33,8 +33,10 @@ from textloom.llm.leak import words
 
 SHINGLE = 5
 SIMILAR = 0.8
-BLOCK = 24  # mean words that a block goes on after its least
-LEAST = 16  # words of a block
+BLOCK = 16  # mean words that a block goes on after its least
+LEAST = 5  # words of a block
+ASKING = 4  # blocks from the end of an open text that look for copies
+SKETCH = 8  # 64-bit parts of a text's bit map of shingles
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
 KNOWN = 2  # least number of other uses of a word of the corpus
@@ -281,13 +283,45 @@ def _continues(text: str, index: int) -> bool:
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
+def sketch(text: str) -> tuple[int, list[int], list[int]]:
+    """(shingles up to a trace, bit map of these, bit map of all): every shingle sets one bit.
+
+    A bit of a text that another lacks is a shingle that it lacks, so no pair that ``goes_on`` takes is ruled out.
+    """
+    m = _TRACE.search(text.rstrip())
+    held = _bits(words(text))
+    own = _bits(words(text.rstrip()[: m.start()])) if m else held
+    return own[0], own[1], held[1]
+
+
+def _bits(found: list[str]) -> tuple[int, list[int]]:
+    n = max(0, len(found) - SHINGLE + 1)
+    w = np.array([_hash(x) for x in found], np.uint64)
+    h = sum((w[k : n + k] * _SEEDS[HASHES + k] for k in range(SHINGLE)), np.zeros(n, np.uint64)) >> np.uint64(40)
+    flags = np.zeros(64 * SKETCH, bool)
+    flags[h % np.uint64(64 * SKETCH)] = True
+    return n, np.packbits(flags).view(np.int64).tolist()
+
+
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """(doc_id): open texts of which a verified near-copy goes on where they end."""
     bands_of = cut(banded(docs))
-    # per band the two holders with the longest continuation; max_by is combined before the exchange
-    longest = bands_of.groupBy("band").agg(F.max(F.struct("tail", "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("first.doc_id").alias("other"), F.col("first.tail").alias("other_tail"))
-    asking = bands_of.where("from_end <= 3").join(ends.where("open").select("doc_id"), "doc_id")
-    wanted = asking.join(longest, "band").where("other <> doc_id AND other_tail > tail").select("doc_id", "other").distinct()
+    asking = bands_of.where(F.col("from_end") <= ASKING).join(ends.where("open").select("doc_id"), "doc_id").select("doc_id", "band", "tail")
+    holding = bands_of.select("band", F.col("doc_id").alias("other"), F.col("tail").alias("other_tail"))
+    met = asking.join(holding, "band").where("other <> doc_id AND other_tail > tail").select("doc_id", "other").distinct()
+
+    def sketches(rows: Iterator[dict]) -> Iterator[tuple]:
+        for r in rows:
+            yield r["doc_id"], *sketch(r["text"])
+
+    bits = cut(arrow_rows(spread(docs.select("doc_id", "text")), sketches, "doc_id long, n int, own array<long>, held array<long>"))
+    lacking = sum((F.bit_count(F.col("own")[i].bitwiseAND(F.bitwise_not(F.col("held")[i]))) for i in range(SKETCH)), F.lit(0))
+    wanted = (
+        met.join(bits.select(F.col("doc_id").alias("other"), "held"), "other")
+        .join(bits.select("doc_id", "n", "own"), "doc_id")
+        .where(lacking <= F.col("n") * (1 - SIMILAR) + 1e-6)
+        .select("doc_id", "other")
+    )
     text = docs.select("doc_id", "text")
     both = wanted.join(text, "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
 
