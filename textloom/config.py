@@ -65,8 +65,8 @@ VERSE = Scores(2, -3, -1)
 BASE_ANCHORED, PEER_MSA = "base-anchored", "peer-msa"
 # Names under which the strategies may be asked for.
 STRATEGY_NAMES = {
-    "base-anchored": BASE_ANCHORED, "baseanchored": BASE_ANCHORED, "base": BASE_ANCHORED,
-    "peer-msa": PEER_MSA, "peermsa": PEER_MSA, "peer": PEER_MSA, "msa": PEER_MSA,
+    "base-anchored": BASE_ANCHORED, "base": BASE_ANCHORED, "baseanchored": BASE_ANCHORED, "base_anchored": BASE_ANCHORED,
+    "peer-msa": PEER_MSA, "peer": PEER_MSA, "msa": PEER_MSA, "peermsa": PEER_MSA, "peer_msa": PEER_MSA,
 }
 
 
@@ -109,6 +109,8 @@ class Limits:
     per_token: int = 18
     confident_witness: int = 4_000
     peer_window: int = 12
+    short_cells: int = 400  # cells that are aligned quicker without arrays
+    held_cells: int = 64_000_000  # directions of an exact alignment in memory at a time
 
 
 LIMITS = Limits()

@@ -1,30 +1,40 @@
 """Pairwise collation: witnesses to located variations.
 
-Tokens, keys, classification and the recovery of displaced readings are relational; the alignment of a pair is one
-Arrow row in and its operations out, so pairs run in parallel and no token is shuffled by pair before it is aligned.
+The witnesses of a work stream through a task in their order, and one Arrow stage makes located variations of them: it
+reads each text once, aligns it with the one before it (or with the base), classifies what differs and recovers displaced
+words (``pairing``). Texts are exchanged once, tokens never. Works of many witnesses are dealt over several tasks; the
+witness that two tasks need is sent to both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from unicodedata import normalize
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
-from textloom.config import LIMITS, Config
-from textloom.functions.text import cite
-from textloom.operators import kernels
-from textloom.operators.lexer import tokens
+from textloom.arrow import arrow_rows
+from textloom.config import Config
+from textloom.operators import pairing
+from textloom.operators.lexer import SETTINGS, read, tokens
+from textloom.operators.pairing import DELETION, INSERTION, MOVE, SPELLING, SUBSTITUTION, TYPES
 from textloom.session import cut, dealt, find_package
 
-TOKEN = "struct<surface:string,normalized:string,key:string,is_word:boolean,char_from:int,char_to:int,line:int,page:int,word_index:int>"
-INSERTION, DELETION, SUBSTITUTION, MOVE, SPELLING = "insertion", "deletion", "substitution", "transposition", "variantSpelling"
-TYPES = (INSERTION, DELETION, SUBSTITUTION, MOVE, SPELLING)
+__all__ = ["DELETION", "INSERTION", "MOVE", "SPELLING", "SUBSTITUTION", "TYPES"]
+
 BY = ["work_id", "base", "compared"]
+PER_TASK = 1000  # witnesses of a work in one task
+STEP = 1000  # ordinals of a work whose order is found in one task
+SENT_WORKS = 100_000  # works of more witnesses that are told to every task; a longer list is joined
+FORMS = 1_000_000  # rows of a lexicon that is sent to every task; a larger one is joined
+RANGE = "struct<tok_from:int,tok_to:int>"
+PLACE = "struct<page:int,line:int,end_line:int,first_word:int,last_word:int,char_from:int,char_to:int,cite:string>"
+PUT = "array<struct<pos:int,normalized:string,surface:string>>"
+SCHEMA = (
+    "work_id {kind}, base string, compared string, v_no int, variation_type string, base_reading string, compared_reading string, "
+    f"base_tokens {RANGE}, compared_tokens {RANGE}, base_location {PLACE}, compared_location {PLACE}, "
+    "crosses_page boolean, within_transposition boolean, confidence string, insertion_anchor int"
+)
 
 
 def pivoted(token: DataFrame, lexicon: DataFrame | None) -> DataFrame:
@@ -35,255 +45,126 @@ def pivoted(token: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     return token.join(table, F.lower("normalized") == F.col("_form"), "left").withColumn("key", F.coalesce("_pivot", "normalized")).drop("_form", "_pivot")
 
 
-def witness_rows(witness: DataFrame, config: Config, lexicon: DataFrame | None = None, by_row: bool = False) -> DataFrame:
-    """One row per witness: its tokens as an array, in order. Witnesses without tokens keep an empty array."""
-    find_package(witness.sparkSession)
-    token = pivoted(tokens(witness, config.normalizer, config.pagination, by_row), lexicon)
-    fields = ["surface", "normalized", "key", "is_word", "char_from", "char_to", "line", "page", "word_index"]
-    rows = token.groupBy("work_id", "siglum").agg(F.sort_array(F.collect_list(F.struct("tok", *fields))).alias("t"))
-    listed = rows.select("work_id", "siglum", F.transform("t", lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias("tokens"))
-    size = F.coalesce(F.char_length("text"), F.lit(0))
-    held = witness.select("work_id", "siglum", "ordinal", size.alias("chars"))
-    return held.join(listed, ["work_id", "siglum"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")))
+def successive_pairs(witness: DataFrame) -> DataFrame:
+    """(work_id, base, compared): every witness with the one before it in the work's order.
 
+    The order is found within stretches of ``STEP`` ordinals, and the first of a stretch follows the last of the stretch
+    before, so that a work of very many witnesses isn't ordered in one task.
+    """
+    held = witness.select("work_id", "siglum", "ordinal", F.floor(F.coalesce("ordinal", F.lit(-STEP)) / STEP).alias("_step"))
+    within = Window.partitionBy("work_id", "_step").orderBy("ordinal", "siglum")
+    over = Window.partitionBy("work_id").orderBy("_step")
+    ends = held.groupBy("work_id", "_step").agg(F.max_by("siglum", F.struct("ordinal", "siglum")).alias("_last"))
+    ends = ends.select("work_id", "_step", F.lag("_last").over(over).alias("_before"))
+    pairs = held.withColumn("base", F.lag("siglum").over(within)).join(ends, ["work_id", "_step"])
+    return pairs.select("work_id", F.coalesce("base", "_before").alias("base"), F.col("siglum").alias("compared")).where("base IS NOT NULL")
 
-def successive_pairs(witness: DataFrame) -> DataFrame:
-    """(work_id, base, compared): every witness with the one before it in the work's order."""
-    w = Window.partitionBy("work_id").orderBy("ordinal", "siglum")
-    return witness.select("work_id", F.lag("siglum").over(w).alias("base"), F.col("siglum").alias("compared")).where("base IS NOT NULL")
+
+def first_witness(witness: DataFrame) -> DataFrame:
+    """(work_id, base): the first witness of each work."""
+    return witness.groupBy("work_id").agg(F.min(F.struct("ordinal", "siglum")).alias("_first")).select("work_id", F.col("_first.siglum").alias("base"))
 
 
 def base_pairs(witness: DataFrame) -> DataFrame:
     """(work_id, base, compared): every further witness with the first of its work."""
-    w = Window.partitionBy("work_id").orderBy("ordinal", "siglum")
-    return witness.select("work_id", F.first("siglum").over(w).alias("base"), F.col("siglum").alias("compared")).where("base <> compared")
-
+    return witness.select("work_id", F.col("siglum").alias("compared")).join(first_witness(witness), "work_id").where("base <> compared").select(*BY)
 
-def with_sides(df: DataFrame, side: DataFrame) -> DataFrame:
-    """``df`` with the tokens of either witness of its pair, ``x`` of the base and ``y`` of the compared one."""
-    x = side.select("work_id", F.col("siglum").alias("base"), F.col("tokens").alias("x"))
-    y = side.select("work_id", F.col("siglum").alias("compared"), F.col("tokens").alias("y"))
-    return dealt(dealt(df, "work_id", "base").join(x, ["work_id", "base"]), "work_id", "compared").join(y, ["work_id", "compared"])
 
+PREVIOUS, BASE = "previous", "base"
 
-OPS = "work_id {kind}, base string, compared string, len_a int, len_b int, seg int, is_move boolean, op_no int, op string, a int, b int"
 
+def streams(witness: DataFrame, against: str, *more: str, per_task: int = PER_TASK) -> DataFrame:
+    """Witnesses as tasks take them: (work_id, part, repeated, siglum, text, …), parts together and in the work's order.
 
-def operations(pairs: DataFrame, rows: DataFrame, config: Config) -> DataFrame:
-    """Alignment operations of every pair; ``a`` and ``b`` are indices into all tokens of either witness.
-
-    Runs of matches outside moves leave their last operation only, unless overlays are asked for. Keys are compared in
-    composed form, so differently composed accents are no difference.
-    """
-    slim = F.struct(F.transform("tokens", lambda t: t["key"]).alias("keys"), F.transform("tokens", lambda t: t["page"]).alias("pages"), F.transform("tokens", lambda t: t["normalized"] != "").alias("held"))
-    side = rows.select("work_id", "siglum", slim.alias("tokens"))
-    joined = with_sides(pairs, side)
-    schema = OPS.format(kind=pairs.schema["work_id"].dataType.simpleString())
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    length, scores = config.anchor_length, config.scores
-    every = config.record_accidentals or config.record_punctuation
-
-    def needed(s: kernels.Segment, n: int) -> bool:
-        """Of a run of matches outside moves only the last matters, unless overlays look at each."""
-        return every or s.move is not None or s.ops[n][0] != "match" or n + 1 == len(s.ops) or s.ops[n + 1][0] != "match"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                at = [i for i, held in enumerate(r["x"]["held"]) if held]
-                bt = [i for i, held in enumerate(r["y"]["held"]) if held]
-                pick = lambda side, field, where: [side[field][i] for i in where]
-                key = lambda side, where: [k if k.isascii() else normalize("NFC", k) for k in pick(side, "keys", where)]
-                found = kernels.align(key(r["x"], at), key(r["y"], bt), length, scores, pick(r["x"], "pages", at), pick(r["y"], "pages", bt))
-                out = [(k, s.move is not None, n, o, at[i] if i >= 0 else None, bt[j] if j >= 0 else None) for k, s in enumerate(found) for n, (o, i, j) in enumerate(s.ops) if needed(s, n)]
-                if out:
-                    head = [[r[c]] * len(out) for c in BY] + [[len(at)] * len(out), [len(bt)] * len(out)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(head + list(zip(*out)), arrow)], schema=arrow)
-
-    return joined.select(*BY, "x", "y").mapInArrow(run, schema)
-
-
-def _located(tokens_: Column, lo: Column, hi: Column) -> Column:
-    """Location of the tokens [lo, hi)."""
-    first, last = F.get(tokens_, lo), F.get(tokens_, hi - 1)
-    place = F.struct(
-        first["page"].alias("page"),
-        first["line"].alias("line"),
-        last["line"].alias("end_line"),
-        first["word_index"].alias("first_word"),
-        last["word_index"].alias("last_word"),
-        F.least(first["char_from"], last["char_from"]).alias("char_from"),
-        F.greatest(first["char_to"], last["char_to"]).alias("char_to"),
-        cite(first["page"], first["line"], last["line"], first["word_index"], last["word_index"]).alias("cite"),
-    )
-    return F.when(lo.isNotNull(), place)
-
-
-def _reading(tokens_: Column, lo: Column, hi: Column) -> Column:
-    joined = F.array_join(F.transform(F.slice(tokens_, lo + 1, hi - lo), lambda t: t["surface"]), " ")
-    return F.when(lo.isNotNull(), joined).otherwise("")
-
-
-def _raw(ops: DataFrame, rows: DataFrame, config: Config, recorded: DataFrame | None = None) -> DataFrame:
-    """Variations before recovery: runs of operations that aren't matches, whole moves, and the overlays asked for.
-
-    Rows: pair, v (order), type, a_lo, a_hi, b_lo, b_hi (token ranges), within, anchor, certain.
+    A work of at most ``per_task`` witnesses is one part. Larger works are dealt over parts, by stretches of ordinals
+    where each witness follows the one before, by hash where all follow the base; the witness that a part begins with
+    is ``repeated`` in it.
     """
-    order = Window.partitionBy(*BY).orderBy("seg", "op_no")
-    inner = Window.partitionBy(*BY, "seg").orderBy("op_no")
-    match = F.col("op") == "match"
-    # ops before the last move's end belong to its epoch; the place carried across regions starts anew after a move
-    epoch = F.sum(F.when((F.col("op_no") == 0) & F.coalesce(F.lag("is_move").over(order), F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = ops.withColumn("epoch", epoch).withColumn("run", F.count_if(match).over(inner))
-    carried = Window.partitionBy(*BY, "epoch").orderBy("seg", "op_no").rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("prev_a", F.last(F.when(match, F.col("a")), True).over(carried)).withColumn("prev_b", F.last(F.when(match, F.col("b")), True).over(carried))
-    none = F.lit(None).cast("int")
-    runs = (
-        marked.where(~match)
-        .groupBy(*BY, "seg", "run", "is_move")
-        .agg(F.min("a").alias("a_lo"), (F.max("a") + 1).alias("a_hi"), F.min("b").alias("b_lo"), (F.max("b") + 1).alias("b_hi"), F.min_by("prev_a", "op_no").alias("before"), F.min("op_no").alias("at"))
-        .select(
-            *BY, "seg", F.lit(1).alias("inside"), "at", F.lit(0).alias("layer"),
-            F.when(F.col("a_lo").isNotNull() & F.col("b_lo").isNotNull(), SUBSTITUTION).when(F.col("b_lo").isNotNull(), INSERTION).otherwise(DELETION).alias("type"),
-            "a_lo", "a_hi", "b_lo", "b_hi", F.col("is_move").alias("within"),
-            F.when(F.col("a_lo").isNull(), F.coalesce("before", F.lit(-1))).alias("anchor"), F.lit(True).alias("certain"),
-        )
-    )
-    longest = F.greatest("len_a", "len_b")
-    moves = (
-        marked.where("is_move")
-        .groupBy(*BY, "seg", "len_a", "len_b")
-        .agg(F.min("a").alias("a_lo"), (F.max("a") + 1).alias("a_hi"), F.min("b").alias("b_lo"), (F.max("b") + 1).alias("b_hi"), F.count("a").alias("length"))
-        .select(
-            *BY, "seg", F.lit(0).alias("inside"), F.lit(0).alias("at"), F.lit(0).alias("layer"), F.lit(MOVE).alias("type"),
-            "a_lo", "a_hi", "b_lo", "b_hi", F.lit(False).alias("within"), none.alias("anchor"),
-            ((F.col("length") > LIMITS.free_length) | (longest <= LIMITS.confident_witness)).alias("certain"),
-        )
-    )
-    found = runs.unionByName(moves)
-    if not (config.record_accidentals or config.record_punctuation):
-        return found
-    side = rows.select("work_id", "siglum", "tokens")
-    at = with_sides(marked.where(match).groupBy(*BY).agg(F.collect_list(F.struct("seg", "op_no", "is_move", "a", "b", "prev_a", "prev_b")).alias("m")), side)
-    between = lambda t, lo, hi: F.transform(F.filter(F.slice(t, lo + 2, F.greatest(F.lit(0), hi - lo - 1)), lambda z: ~z["is_word"]), lambda z: z["surface"])
-
-    def overlay(m: Column) -> Column:
-        x, y = F.get(F.col("x"), m["a"]), F.get(F.col("y"), m["b"])
-        p = between(F.col("x"), m["prev_a"], m["a"])
-        q = between(F.col("y"), m["prev_b"], m["b"])
-        marks = m["prev_a"].isNotNull() & m["prev_b"].isNotNull() & (F.array_join(p, "") != F.array_join(q, "")) if config.record_punctuation else F.lit(False)
-        forms = (x["normalized"] == y["normalized"]) & (x["surface"] != y["surface"]) if config.record_accidentals else F.lit(False)
-        signs = lambda s: F.when(F.size(s) > 0, F.array_join(s, " ")).otherwise("∅")
-        one = lambda when, layer, r, s: F.when(when, F.array(F.struct(F.lit(layer).alias("layer"), m["seg"].alias("seg"), m["op_no"].alias("at"), m["is_move"].alias("within"), m["a"].alias("a"), m["b"].alias("b"), r.alias("r"), s.alias("s")))).otherwise(F.array())
-        return F.concat(one(marks, 1, signs(p), signs(q)), one(forms, 2, x["surface"], y["surface"]))
-
-    overlaid = at.select(*BY, F.explode(F.flatten(F.transform("m", overlay))).alias("o"))
-    spelled = overlaid.select(
-        *BY, F.col("o.seg").alias("seg"), F.lit(1).alias("inside"), F.col("o.at").alias("at"), F.col("o.layer").alias("layer"), F.lit(SPELLING).alias("type"),
-        F.col("o.a").alias("a_lo"), (F.col("o.a") + 1).alias("a_hi"), F.col("o.b").alias("b_lo"), (F.col("o.b") + 1).alias("b_hi"),
-        F.col("o.within").alias("within"), none.alias("anchor"), F.lit(True).alias("certain"), F.col("o.r").alias("base_shown"), F.col("o.s").alias("compared_shown"),
-    )
-    if recorded is not None:
-        spelled = spelled.join(recorded, "work_id").where(F.when(F.col("layer") == 1, F.col("record_punctuation")).otherwise(F.col("record_accidentals"))).drop("record_punctuation", "record_accidentals")
-    return found.unionByName(spelled, allowMissingColumns=True)
-
-
-def recover(raw: DataFrame, rows: DataFrame) -> DataFrame:
-    """Turn words deleted in one place and inserted in another, once each, into moves; the rest of both stays.
-
-    Words pair if their key is unmatched just once on either side; neighbours in both texts form a block; a block
-    stands if its words are unique in both witnesses, if it has several words, or if it moved little.
+    held = witness.select("work_id", "siglum", "ordinal", "text", *more)
+    large = cut(witness.groupBy("work_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("ordinal", "siglum"))["siglum"].alias("_base")).where(F.col("_n") > per_task))
+    works = large.count()
+    none = F.lit(False)
+    if not works:
+        told = held.withColumns({"part": F.lit(0).cast("long"), "repeated": none})
+    else:
+        known = F.broadcast(large) if works <= SENT_WORKS else large
+        rows = held.join(known, "work_id", "left")
+        if against == BASE:
+            parts = F.ceil(F.col("_n") / per_task)
+            own = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("siglum"), parts)).cast("long")
+            first = F.coalesce(F.col("siglum") == F.col("_base"), none)
+            every = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), (p > 0).alias("repeated")))
+            placed = F.when(first, every).otherwise(F.array(F.struct(own.alias("part"), none.alias("repeated"))))
+            told = rows.withColumn("_p", F.explode(placed)).withColumns({"part": F.col("_p.part"), "repeated": F.col("_p.repeated")})
+        else:
+            step = F.floor(F.coalesce("ordinal", F.lit(-1)) / per_task)
+            told = rows.withColumns({"part": F.when(F.col("_n").isNull(), F.lit(0)).otherwise(step).cast("long"), "repeated": none})
+            ends = told.where("_n IS NOT NULL").groupBy("work_id", "part").agg(F.max_by("siglum", F.struct("ordinal", "siglum")).alias("siglum"))
+            ends = ends.select("work_id", "siglum", F.lead("part").over(Window.partitionBy("work_id").orderBy("part")).alias("part")).where("part IS NOT NULL")
+            again = held.join(ends, ["work_id", "siglum"]).withColumns({"repeated": F.lit(True)})
+            told = told.unionByName(again, allowMissingColumns=True)
+    columns = ["work_id", "part", "repeated", "siglum", "ordinal", "text", *more]
+    return dealt(told.select(*columns), "work_id", "part").sortWithinPartitions("work_id", "part", F.desc("repeated"), "ordinal", "siglum").drop("ordinal")
+
+
+def sent_pivots(witness: DataFrame, lexicon: DataFrame | None, config: Config) -> tuple[dict[str, str] | None, DataFrame]:
+    """(pivots to send, witnesses): a lexicon of at most ``FORMS`` rows is sent to every task.
+
+    Of a larger one every witness gets the entries of its own words by a join, in the column ``pivots``.
     """
-    v = cut(raw.withColumn("v", F.row_number().over(Window.partitionBy(*BY).orderBy("seg", "inside", "at", "layer"))))
-    side = rows.select("work_id", "siglum", "tokens")
-    gone = v.where((F.col("type").isin(DELETION, INSERTION)) & ~F.col("within"))
-    cuts = gone.groupBy(*BY).agg(F.collect_list(F.struct("v", "type", "a_lo", "a_hi", "b_lo", "b_hi")).alias("cuts"))
-    both = with_sides(cuts, side)
-
-    def words(cut: Column) -> Column:
-        deleted = cut["type"] == DELETION
-        lo, hi = F.when(deleted, cut["a_lo"]).otherwise(cut["b_lo"]), F.when(deleted, cut["a_hi"]).otherwise(cut["b_hi"])
-        token = lambda i: F.when(deleted, F.get(F.col("x"), i)).otherwise(F.get(F.col("y"), i))
-        each = F.transform(F.sequence(lo, hi - 1), lambda i: F.struct(cut["v"].alias("v"), deleted.alias("deleted"), i.alias("i"), F.lower(token(i)["key"]).alias("key"), (token(i)["is_word"] & (token(i)["normalized"] != "")).alias("is_word")))
-        return F.filter(each, lambda z: z["is_word"])
-
-    listed = both.select(*BY, F.size("x").alias("nx"), F.size("y").alias("ny"), F.explode(F.flatten(F.transform("cuts", words))).alias("w")).select(*BY, "nx", "ny", "w.*")
-    single = (
-        listed.groupBy(*BY, "key", "nx", "ny")
-        .agg(F.count_if("deleted").alias("nd"), F.count_if(~F.col("deleted")).alias("ni"), F.max(F.when(F.col("deleted"), F.struct("i", "v"))).alias("d"), F.max(F.when(~F.col("deleted"), F.struct("i", "v"))).alias("s"))
-        .where("nd = 1 AND ni = 1")
-        .select(*BY, "key", "nx", "ny", F.col("d.i").alias("di"), F.col("d.v").alias("dv"), F.col("s.i").alias("si"), F.col("s.v").alias("sv"))
-    )
-    deviation = F.abs(F.col("si") - F.floor(F.col("di") * F.col("ny") / F.col("nx") + 0.5)).cast("int")
-    tolerance = F.least(F.lit(LIMITS.max_move), F.greatest(F.lit(LIMITS.min_move), F.floor(F.greatest("nx", "ny") * LIMITS.move_fraction)))
-    near = single.withColumn("deviation", deviation).where(F.col("deviation") <= LIMITS.max_move)
-    asked = near.groupBy(*BY).agg(F.collect_list(F.struct("key", "di", "dv", "si", "sv", "nx", "ny", "deviation")).alias("asked"))  # bounded by the pair's own words
-    times = lambda tokens_, key: F.size(F.filter(tokens_, lambda t: (F.lower(t["key"]) == key) & t["is_word"] & (t["normalized"] != "")))
-    placed = (
-        with_sides(asked, side)
-        .select(*BY, F.explode(F.transform("asked", lambda q: F.struct(q.alias("q"), ((times(F.col("x"), q["key"]) == 1) & (times(F.col("y"), q["key"]) == 1)).alias("unique")))).alias("e"))
-        .select(*BY, "e.q.*", "e.unique")
-        .withColumn("sure", F.col("unique") & (F.col("deviation") <= tolerance))
-    )
-    line = Window.partitionBy(*BY).orderBy("di")
-    follows = (F.lag("di").over(line) == F.col("di") - 1) & (F.lag("si").over(line) == F.col("si") - 1) & (F.lag("dv").over(line) == F.col("dv")) & (F.lag("sv").over(line) == F.col("sv"))
-    blocks = (
-        placed.withColumn("starts", ~F.coalesce(follows, F.lit(False)))
-        .withColumn("block", F.count_if("starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*BY, "block", "dv", "sv")
-        .agg(F.min("di").alias("a_lo"), (F.max("di") + 1).alias("a_hi"), F.min("si").alias("b_lo"), (F.max("si") + 1).alias("b_hi"), F.every("unique").alias("unique"), F.every("sure").alias("certain"), F.max("deviation").alias("deviation"), F.count(F.lit(1)).alias("words"))
-        .where((F.col("unique")) | (F.col("words") >= 2) | (F.col("deviation") <= LIMITS.local_move))
-    )
-    carved = blocks.select(*BY, F.col("dv").alias("v"), F.sequence("a_lo", F.col("a_hi") - 1).alias("out")).union(blocks.select(*BY, F.col("sv").alias("v"), F.sequence("b_lo", F.col("b_hi") - 1).alias("out")))
-    carved = carved.groupBy(*BY, "v").agg(F.flatten(F.collect_list("out")).alias("out"))
-    rest = v.join(carved, [*BY, "v"], "left")
-    deleted = F.col("type") == DELETION
-    left = F.when(F.col("out").isNotNull(), F.array_except(F.sequence(F.when(deleted, F.col("a_lo")).otherwise(F.col("b_lo")), F.when(deleted, F.col("a_hi")).otherwise(F.col("b_hi")) - 1), "out"))
-    rest = rest.withColumn("left", left).where("out IS NULL OR size(left) > 0")
-    lo, hi = F.array_min("left"), F.array_max("left") + 1
-    for column, kind, value in (("a_lo", DELETION, lo), ("a_hi", DELETION, hi), ("b_lo", INSERTION, lo), ("b_hi", INSERTION, hi)):
-        rest = rest.withColumn(column, F.when(F.col("left").isNotNull() & (F.col("type") == kind), value).otherwise(F.col(column)))
-    moved = blocks.select(*BY, F.col("dv").alias("v"), F.lit(MOVE).alias("type"), "a_lo", "a_hi", "b_lo", "b_hi", F.lit(False).alias("within"), F.lit(None).cast("int").alias("anchor"), "certain", F.lit(1).alias("recovered"))
-    kept = rest.drop("seg", "inside", "at", "layer", "out", "left").withColumn("recovered", F.lit(0))
-    order = Window.partitionBy(*BY).orderBy("v", "recovered", "a_lo")
-    return kept.unionByName(moved, allowMissingColumns=True).withColumn("v_no", F.row_number().over(order)).drop("v", "recovered")
-
-
-def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, pairs: DataFrame | None = None, rows: DataFrame | None = None, recorded: DataFrame | None = None) -> DataFrame:
-    """Located variations of every pair (successive witnesses by default), numbered ``v_no`` in their order.
+    if lexicon is None:
+        return {}, witness
+    rows = lexicon.select("form", "pivot").limit(FORMS + 1).collect()
+    if len(rows) <= FORMS:
+        return {r["form"]: r["pivot"] for r in rows}, witness
+    word = tokens(witness, config.normalizer, config.pagination).where("cidx IS NOT NULL").select("work_id", "siglum", F.lower("normalized").alias("form")).distinct()
+    own = word.join(lexicon, "form").groupBy("work_id", "siglum").agg(F.map_from_entries(F.collect_list(F.struct("form", "pivot"))).alias("pivots"))
+    return None, witness.join(own, ["work_id", "siglum"], "left")
+
+
+def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, against: str = PREVIOUS, by_row: bool = False, put: bool = False, per_task: int = PER_TASK) -> DataFrame:
+    """Located variations of every witness and the one before it, or the base of its work, numbered ``v_no`` in their order.
 
     ``witness`` is (work_id, siglum, ordinal, text), (work_id, siglum) unique. Null texts count as empty; an empty
-    witness gives one insertion or deletion of the other's whole text; equal witnesses give no row. ``recorded`` may
-    say per work which overlays stay (``by_case``).
+    witness gives one insertion or deletion of the other's whole text; equal witnesses give no row; of equal ordinals
+    the lesser siglum comes first. ``by_row`` takes the settings from columns (``by_case``). ``put`` adds the tokens that
+    a substitution puts in place, and a row without a type for each base, with its comparable tokens. Extra columns are
+    dropped.
     """
-    rows = cut(witness_rows(witness, config, lexicon)) if rows is None else rows
-    pairs = successive_pairs(witness) if pairs is None else pairs
-    found = recover(_raw(cut(operations(pairs, rows, config)), rows, config, recorded), rows)
-    if "base_shown" not in found.columns:
-        found = found.withColumn("base_shown", F.lit(None).cast("string")).withColumn("compared_shown", F.lit(None).cast("string"))
-    side = rows.select("work_id", "siglum", "tokens")
-    fields = ["v_no", "type", "a_lo", "a_hi", "b_lo", "b_hi", "within", "anchor", "certain", "base_shown", "compared_shown"]
-    both = with_sides(found.groupBy(*BY).agg(F.collect_list(F.struct(*fields)).alias("v")), side)
-
-    def told(v: Column) -> Column:
-        base, compared = _located(F.col("x"), v["a_lo"], v["a_hi"]), _located(F.col("y"), v["b_lo"], v["b_hi"])
-        span = lambda lo, hi: F.when(lo.isNotNull(), F.struct(lo.alias("tok_from"), hi.alias("tok_to")))
-        return F.struct(
-            v["v_no"].alias("v_no"),
-            v["type"].alias("variation_type"),
-            F.coalesce(v["base_shown"], _reading(F.col("x"), v["a_lo"], v["a_hi"])).alias("base_reading"),
-            F.coalesce(v["compared_shown"], _reading(F.col("y"), v["b_lo"], v["b_hi"])).alias("compared_reading"),
-            span(v["a_lo"], v["a_hi"]).alias("base_tokens"),
-            span(v["b_lo"], v["b_hi"]).alias("compared_tokens"),
-            base.alias("base_location"),
-            compared.alias("compared_location"),
-            F.coalesce(base["page"] != compared["page"], F.lit(False)).alias("crosses_page"),
-            v["within"].alias("within_transposition"),
-            F.when(v["certain"], "certain").otherwise("likely").alias("confidence"),
-            v["anchor"].alias("insertion_anchor"),
-        )
-
-    return both.select(*BY, F.explode(F.transform("v", told)).alias("t")).select(*BY, "t.*")
+    find_package(witness.sparkSession)
+    pivots, witness = sent_pivots(witness, lexicon, config)
+    more = [*(["pivots"] if pivots is None else []), *([*SETTINGS, "record_accidentals", "record_punctuation"] if by_row else [])]
+    sent = witness.sparkSession.sparkContext.broadcast(pivots)  # at most FORMS rows
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        place, before, x = None, None, None
+        for r in rows:
+            y = read(r, r["text"], config.normalizer, config.pagination, by_row)
+            if place != (r["work_id"], r["part"]):
+                place, before, x = (r["work_id"], r["part"]), r, y
+                if put and not r["repeated"]:
+                    at = pairing.comparable(y)
+                    yield (*[r["work_id"], r["siglum"]], *[None] * 13, list(zip(at, [y.normalized[i] for i in at], [y.surface[i] for i in at])))
+                continue
+            known = sent.value if sent.value is not None else (before["pivots"] or {}) | (r["pivots"] or {})
+            flag = lambda name, own: bool(before[name] or r[name]) if by_row else own
+            found = pairing.variations(x, y, config, known, flag("record_accidentals", config.record_accidentals), flag("record_punctuation", config.record_punctuation))
+            for n, v in enumerate(found, 1):
+                a, b = pairing.place(x, v.a_lo, v.a_hi), pairing.place(y, v.b_lo, v.b_hi)
+                reads = v.shown or (" ".join(x.surface[v.a_lo : v.a_hi]) if a else "", " ".join(y.surface[v.b_lo : v.b_hi]) if b else "")
+                told = (
+                    r["work_id"], before["siglum"], r["siglum"], n, v.kind, *reads, (v.a_lo, v.a_hi) if a else None, (v.b_lo, v.b_hi) if b else None, a, b,
+                    bool(a and b and a[0] != b[0]), v.within, "certain" if v.certain else "likely", v.anchor,
+                )
+                if put:
+                    span = range(v.b_lo, v.b_hi) if v.kind == SUBSTITUTION else ()
+                    told = (*told, list(zip(span, (y.normalized[i] for i in span), (y.surface[i] for i in span))))
+                yield told
+            if against == PREVIOUS:
+                before, x = r, y
+
+    schema = SCHEMA.format(kind=witness.schema["work_id"].dataType.simpleString()) + (f", put {PUT}" if put else "")
+    return arrow_rows(streams(witness, against, *more, per_task=per_task), run, schema)
 
 
 def by_case(witness: DataFrame) -> DataFrame:
@@ -292,11 +173,7 @@ def by_case(witness: DataFrame) -> DataFrame:
     ``witness`` has, besides the usual columns, ``normalizer``, ``lines_per_page``, ``continuous``,
     ``record_accidentals`` and ``record_punctuation``; the same for all witnesses of a work, nulls standing for defaults.
     """
-    config = Config(record_accidentals=True, record_punctuation=True)
-    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
-    recorded = cut(witness.groupBy("work_id").agg(flag("record_accidentals"), flag("record_punctuation")))
-    rows = cut(witness_rows(witness, config, None, by_row=True))
-    return variations(witness, config, None, None, rows, recorded)
+    return variations(witness, by_row=True)
 
 
 def tallies(pairs: DataFrame, variation: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """All witnesses of a work in one variant graph.
 
-Base-anchored: every witness is folded onto the base's tokens; the fold is a union of what each pair contributes to each
-place, grouped by place and reading, so all witnesses and works fold at once. Peer: witnesses join a growing consensus
-one after the other, which is sequential within a work and parallel over works (one Arrow group per work).
+Base-anchored: every witness is folded onto the base's tokens; what the pairs change is grouped by place and reading, and
+whoever changes nothing at a place reads with the base, so all witnesses and works fold at once and agreement is never
+spelt out. Peer: witnesses join a growing consensus one after the other, which is sequential within a work and parallel
+over works; they stream through a task in order, and only the consensus is held.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.arrow import arrow_rows
 from textloom.config import LIMITS, PEER_MSA, Config
 from textloom.functions.text import OMITTED, insertion_key
 from textloom.operators import kernels
-from textloom.operators.collate import DELETION, INSERTION, MOVE, SUBSTITUTION, base_pairs, variations, witness_rows
-from textloom.session import cut
+from textloom.operators.collate import BASE, DELETION, INSERTION, MOVE, SUBSTITUTION, sent_pivots, variations
+from textloom.operators.pairing import comparable, keys_of
+from textloom.operators.scan import Tokens, scan
+from textloom.session import cut, dealt, find_package
 
-READING = "array<struct<reading:string,witnesses:array<string>>>"
+READING = "array<struct<normalized:string,surface:string,sigla:array<string>>>"
 
 
 def _base(witness: DataFrame) -> DataFrame:
@@ -28,69 +31,65 @@ def _base(witness: DataFrame) -> DataFrame:
     return witness.groupBy("work_id").agg(F.min_by("siglum", F.struct("ordinal", "siglum")).alias("base"), F.array_sort(F.collect_list("siglum")).alias("ids"))
 
 
-def contributions(witness: DataFrame, rows: DataFrame, variation: DataFrame) -> DataFrame:
-    """(work_id, pos, normalized, surface, siglum, rank): what each witness reads at each comparable base token.
+def spine(variation: DataFrame) -> DataFrame:
+    """(work_id, pos, node_id, normalized, surface): the comparable tokens of each work's base."""
+    token = variation.where("variation_type IS NULL").select("work_id", F.posexplode("put").alias("node_id", "t"))
+    return token.select("work_id", F.col("t.pos").alias("pos"), "node_id", F.col("t.normalized").alias("normalized"), F.col("t.surface").alias("surface"))
+
+
+def changes(variation: DataFrame) -> DataFrame:
+    """(work_id, pos, normalized, surface, siglum): what a witness reads where it differs from the base.
 
     A deletion reads the omission sign; the k-th token of a substituted stretch reads the k-th token put for it, the last
-    one from there on; all else agrees with the base. ``rank`` orders witnesses, the base first.
+    one from there on. ``variation`` has the column ``put``.
     """
-    base = _base(witness)
-    every = rows.select("work_id", F.col("siglum").alias("base"), F.posexplode("tokens").alias("pos", "t")).join(base, ["work_id", "base"]).where("t.normalized <> ''")
-    spine = every.select("work_id", "base", "pos", F.col("t.normalized").alias("bn"), F.col("t.surface").alias("bs"))
-    others = base_pairs(witness).join(witness.select("work_id", F.col("siglum").alias("compared"), F.col("ordinal").alias("rank")), ["work_id", "compared"])
-    changes = variation.where(F.col("variation_type").isin(DELETION, SUBSTITUTION)).select("work_id", "base", "compared", "variation_type", "v_no", F.posexplode(F.sequence(F.col("base_tokens.tok_from"), F.col("base_tokens.tok_to") - 1)).alias("k", "pos"), "compared_tokens")
-    at = F.least(F.col("k"), F.col("compared_tokens.tok_to") - F.col("compared_tokens.tok_from") - 1) + F.col("compared_tokens.tok_from")
-    own = rows.select("work_id", F.col("siglum").alias("compared"), F.posexplode("tokens").alias("at", "o")).select("work_id", "compared", "at", F.col("o.normalized").alias("on"), F.col("o.surface").alias("os"))
-    put = changes.withColumn("at", at).join(own, ["work_id", "compared", "at"], "left")
-    # a place changed twice keeps the later of both
-    changed = put.select("work_id", "base", "compared", "pos", F.coalesce("on", F.lit(OMITTED)).alias("normalized"), F.coalesce("os", F.lit(OMITTED)).alias("surface"))
-    agree = spine.join(others, ["work_id", "base"]).join(changed.select("work_id", "base", "compared", "pos"), ["work_id", "base", "compared", "pos"], "left_anti")
-    return (
-        spine.select("work_id", "pos", F.col("bn").alias("normalized"), F.col("bs").alias("surface"), F.col("base").alias("siglum"), F.lit(-1).alias("rank"))
-        .union(agree.select("work_id", "pos", "bn", "bs", "compared", "rank"))
-        .union(changed.join(others, ["work_id", "base", "compared"]).join(spine.select("work_id", "pos"), ["work_id", "pos"], "left_semi").select("work_id", "pos", "normalized", "surface", "compared", "rank"))
-    )
+    held = variation.where(F.col("variation_type").isin(DELETION, SUBSTITUTION))
+    each = held.select("work_id", F.col("compared").alias("siglum"), "put", F.posexplode(F.sequence(F.col("base_tokens.tok_from"), F.col("base_tokens.tok_to") - 1)).alias("k", "pos"))
+    read = F.get(F.col("put"), F.least(F.col("k"), F.size("put") - 1))
+    return each.select("work_id", "pos", F.coalesce(read["normalized"], F.lit(OMITTED)).alias("normalized"), F.coalesce(read["surface"], F.lit(OMITTED)).alias("surface"), "siglum")
 
 
-def base_anchored(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, rows: DataFrame | None = None, variation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(readings, moves). readings: work_id, node_id, base_position, inserted_after, normalized, surface, sigla.
+def base_anchored(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, variation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, moves). nodes: work_id, node_id, base_position, inserted_after, readings (normalized, surface, sigla).
 
-    ``variation`` may hold the pairs of each work's base with its other witnesses, computed before.
+    ``variation`` may hold what ``variations`` found against the bases before, with ``put``.
     """
-    rows = cut(witness_rows(witness, config, lexicon)) if rows is None else rows
-    variation = cut(variations(witness, config, lexicon, base_pairs(witness), rows)) if variation is None else variation
+    variation = cut(variations(witness, config, lexicon, BASE, put=True)) if variation is None else variation
     base = _base(witness)
-    spine = (
-        contributions(witness, rows, variation)
-        .groupBy("work_id", "pos", "normalized")
-        .agg(F.min_by("surface", "rank").alias("surface"), F.array_sort(F.collect_set("siglum")).alias("sigla"))
-        .select("work_id", F.col("pos").alias("base_position"), F.lit(None).cast("int").alias("inserted_after"), "normalized", "surface", "sigla")
-    )
-    rank = witness.select("work_id", F.col("siglum").alias("compared"), F.col("ordinal").alias("rank"))
+    rank = witness.select("work_id", "siglum", F.col("ordinal").alias("rank"))
+    read = changes(variation).join(rank, ["work_id", "siglum"]).groupBy("work_id", "pos", "normalized").agg(F.min_by("surface", "rank").alias("surface"), F.array_sort(F.collect_set("siglum")).alias("sigla"))
+    at = read.groupBy("work_id", "pos").agg(F.collect_list(F.struct("normalized", "surface", "sigla")).alias("others"))
+    told = spine(variation).join(at, ["work_id", "pos"], "left").join(base, "work_id")
+    unlike = F.filter("others", lambda o: o["normalized"] != F.col("normalized"))
+    agree = F.array_except("ids", F.flatten(F.transform(unlike, lambda o: o["sigla"])))
+    own = lambda sigla: F.array(F.struct("normalized", "surface", sigla.alias("sigla")))
+    readings = F.when(F.col("others").isNull(), own(F.col("ids"))).otherwise(F.concat(own(agree), unlike))
+    on_base = told.select("work_id", "node_id", F.col("pos").alias("base_position"), F.lit(None).cast("int").alias("inserted_after"), readings.cast(READING).alias("readings"))
     added = (
         variation.where((F.col("variation_type") == INSERTION) & ~F.col("within_transposition") & F.col("insertion_anchor").isNotNull())
-        .join(rank, ["work_id", "compared"])
+        .join(rank.withColumnRenamed("siglum", "compared"), ["work_id", "compared"])
         .withColumn("normalized", insertion_key(F.col("compared_reading")))
         .groupBy("work_id", F.col("insertion_anchor").alias("inserted_after"), "normalized")
         .agg(F.min_by("compared_reading", F.struct("rank", "v_no")).alias("surface"), F.array_sort(F.collect_set("compared")).alias("sigla"))
         .join(base, "work_id")
     )
-    absent = added.withColumn("rest", F.array_except("ids", "sigla")).where("size(rest) > 0")
-    columns = ["work_id", F.lit(-1).alias("base_position"), "inserted_after"]
-    keyed = added.select(*columns, "normalized", "surface", "sigla", F.col("normalized").alias("node_key"))
-    keyed = keyed.union(absent.select(*columns, F.lit(OMITTED), F.lit(OMITTED), "rest", F.col("normalized").alias("node_key")))
-    order = Window.partitionBy("work_id").orderBy(F.col("base_position") < 0, "base_position", "inserted_after", "node_key")
-    readings = cut(spine.withColumn("node_key", F.lit("")).union(keyed.select("work_id", "base_position", "inserted_after", "normalized", "surface", "sigla", "node_key")).withColumn("node_id", F.dense_rank().over(order) - 1))
-    moves = _move_edges(readings, variation)
-    return readings.drop("node_key"), moves
-
-
-def _move_edges(readings: DataFrame, variation: DataFrame) -> DataFrame:
+    rest = F.array_except("ids", "sigla")
+    absent = F.array(F.struct(F.lit(OMITTED).alias("normalized"), F.lit(OMITTED).alias("surface"), rest.alias("sigla")))
+    both = F.array(F.struct("normalized", "surface", "sigla"))
+    sizes = variation.where("variation_type IS NULL").select("work_id", F.size("put").alias("first"))
+    order = Window.partitionBy("work_id").orderBy("inserted_after", "normalized")
+    number = F.coalesce("first", F.lit(0)) + F.row_number().over(order) - 1
+    inserted = added.join(sizes, "work_id", "left").select("work_id", number.alias("node_id"), F.lit(-1).alias("base_position"), "inserted_after", F.when(F.size(rest) > 0, F.concat(both, absent)).otherwise(both).cast(READING).alias("readings"))
+    nodes = on_base.union(inserted)
+    return nodes, _move_edges(nodes, variation)
+
+
+def _move_edges(nodes: DataFrame, variation: DataFrame) -> DataFrame:
     """(work_id, src, dst, siglum, confidence): from the node before a moved block to the one after it.
 
     A block at the start leaves from -1; one at the end goes to null.
     """
-    nodes = readings.where("base_position >= 0").select("work_id", "base_position", "node_id").distinct()
+    nodes = nodes.where("base_position >= 0")
     moved = variation.where(F.col("variation_type") == MOVE).select("work_id", F.col("compared").alias("siglum"), "confidence", "v_no", F.col("base_tokens.tok_from").alias("lo"), F.col("base_tokens.tok_to").alias("hi"))
     # backward and forward as-of joins, as running values over the union of both sides
     none = lambda kind: F.lit(None).cast(kind)
@@ -142,24 +141,23 @@ def _joined(a: Slot, b: Slot) -> dict | None:
     return result if len(result) == len(a.readings) else None
 
 
-def peer_merge(order: list[str], tokens: dict[str, list[dict]], config: Config) -> tuple[list[tuple], list[tuple]]:
-    """Merge witnesses (the first seeds, the rest join in sorted order) into one consensus.
+class Consensus:
+    """Witnesses merged one after the other: the first seeds, each further one is aligned with what the others agree on."""
 
-    Gives readings (node, base position or -1, inserted after or None, key, surface, sigla) and move edges.
-    """
-    base, everyone = order[0], set(order)
-    pivots = {t["normalized"]: t["key"] for ts in tokens.values() for t in ts}
-    spine = [Slot(t["normalized"], t["surface"], base, t["page"], i) for i, t in enumerate(tokens[base]) if t["normalized"]]
-    moves: list[tuple[str, Slot | None, Slot | None]] = []
-
-    def edge(siglum: str, lo: int, hi: int) -> None:
-        moves.append((siglum, spine[lo - 1] if lo > 0 else None, spine[hi] if hi < len(spine) else None))
-
-    for siglum in sorted(order[1:]):
-        held = [t for t in tokens[siglum] if t["normalized"]]
-        keys = [pivots.get(c, c) for c in (s.consensus() for s in spine)]
-        theirs = [t["key"] for t in held]
-        segments = kernels.align(keys, theirs, config.anchor_length, config.scores, [s.page for s in spine], [t["page"] for t in held])
+    def __init__(self, siglum: str, t: Tokens, config: Config, pivots: dict[str, str]):
+        self.config, self.pivots, self.everyone = config, pivots, {siglum}
+        self.spine = [Slot(t.normalized[i], t.surface[i], siglum, t.page[i], i) for i in comparable(t)]
+        self.moves: list[tuple[str, Slot | None, Slot | None]] = []
+
+    def _edge(self, siglum: str, lo: int, hi: int) -> None:
+        self.moves.append((siglum, self.spine[lo - 1] if lo > 0 else None, self.spine[hi] if hi < len(self.spine) else None))
+
+    def add(self, siglum: str, t: Tokens) -> None:
+        spine, at = self.spine, comparable(t)
+        self.everyone.add(siglum)
+        keys = [self.pivots.get(c.lower(), c) if self.pivots else c for c in (s.consensus() for s in spine)]
+        theirs = keys_of(t, at, self.pivots)
+        segments = kernels.align(keys, theirs, self.config.anchor_length, self.config.scores, [s.page for s in spine], [t.page[i] for i in at])
         reads: dict[int, int | None] = {}  # slot -> token, None where it is left out
         inserts: list[tuple[int, int]] = []  # (slot before, token)
         last = -1
@@ -180,7 +178,7 @@ def peer_merge(order: list[str], tokens: dict[str, list[dict]], config: Config)
         run: list[int] = []
         for i in sorted(placed) + [None]:
             if run and not (i is not None and i == run[-1] + 1 and placed[i] == placed[run[-1]] + 1):
-                edge(siglum, run[0], run[-1] + 1)
+                self._edge(siglum, run[0], run[-1] + 1)
                 run = []
             if i is not None:
                 run.append(i)
@@ -189,79 +187,103 @@ def peer_merge(order: list[str], tokens: dict[str, list[dict]], config: Config)
                 for op, i, j in s.ops:
                     if op != "insert":
                         reads[i] = None if op == "delete" else j
-                edge(siglum, s.move[0], s.move[1])
+                self._edge(siglum, s.move[0], s.move[1])
         for i, j in reads.items():
             j = placed.get(i) if j is None else j
             if j is None:
                 spine[i].read(OMITTED, OMITTED, {siglum})
             else:
-                spine[i].read(held[j]["normalized"], held[j]["surface"], {siglum})
+                spine[i].read(t.normalized[at[j]], t.surface[at[j]], {siglum})
         after: dict[int, list[int]] = defaultdict(list)
         for n, (i, j) in enumerate(inserts):
             if n not in used:
-                after[i].append(j)
+                after[i].append(at[j])
         if after:
             grown: list[Slot] = []
             for i in range(-1, len(spine)):
                 if i >= 0:
                     grown.append(spine[i])
-                grown += [Slot(held[j]["normalized"], held[j]["surface"], siglum, held[j]["page"], None) for j in after.get(i, ())]
-            spine = grown
-    for s in spine:
-        missing = everyone - set().union(*(x for _, x in s.readings.values()))
-        if missing:
-            s.read(OMITTED, OMITTED, missing)
-    merged: list[Slot] = []
-    into: dict[int, Slot | None] = {}
-    for s in spine:
-        both = _joined(merged[-1], s) if merged and s.base is None and merged[-1].base is None else None
-        if both is not None:
-            merged[-1].readings = both
-            into[id(s)] = None
-        else:
-            merged.append(s)
-    ids = {id(s): n for n, s in enumerate([s for s in merged if s.base is not None] + [s for s in merged if s.base is None])}
-    readings, before = [], -1
-    for s in merged:
-        before = s.base if s.base is not None else before
-        for k, (t, sigla) in s.readings.items():
-            readings.append((ids[id(s)], -1 if s.base is None else s.base, before if s.base is None else None, k, t, sorted(sigla)))
-    edges = [(ids.get(id(a), -1) if a else -1, ids.get(id(b)) if b else None, w, "certain") for w, a, b in moves]
-    return readings, edges
-
-
-def peer(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(readings, moves) of the peer merge; see ``base_anchored`` for the columns."""
-    rows = witness_rows(witness, config, lexicon) if rows is None else rows
-    kind = rows.schema["work_id"].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ordinal", "siglum"])
-        order = list(group["siglum"])
-        readings, edges = peer_merge(order, {s: list(t) for s, t in zip(order, group["tokens"])}, config)
-        work = group["work_id"].iloc[0]
-        out = [(work, n, b, a, k, t, s, None, None, None, None) for n, b, a, k, t, s in readings]
-        out += [(work, None, None, None, None, None, None, a, b, w, c) for a, b, w, c in edges]
-        frame = pd.DataFrame(out, columns=["work_id", "node_id", "base_position", "inserted_after", "normalized", "surface", "sigla", "src", "dst", "siglum", "confidence"])
-        return frame.astype({c: "Int32" for c in ("node_id", "base_position", "inserted_after", "src", "dst")})
-
-    merged = rows.groupBy("work_id").applyInPandas(run, f"work_id {kind}, node_id int, base_position int, inserted_after int, normalized string, surface string, sigla array<string>, src int, dst int, siglum string, confidence string")
-    readings = merged.where("node_id IS NOT NULL").select("work_id", "base_position", "inserted_after", "normalized", "surface", "sigla", "node_id")
-    return readings, merged.where("node_id IS NULL").select("work_id", "src", "dst", "siglum", "confidence")
+                grown += [Slot(t.normalized[j], t.surface[j], siglum, t.page[j], None) for j in after.get(i, ())]
+            self.spine = grown
+
+    def result(self) -> tuple[list[tuple], list[tuple]]:
+        """Nodes (node, base position or -1, inserted after or None, readings) and move edges."""
+        for s in self.spine:
+            missing = self.everyone - set().union(*(x for _, x in s.readings.values()))
+            if missing:
+                s.read(OMITTED, OMITTED, missing)
+        merged: list[Slot] = []
+        for s in self.spine:
+            both = _joined(merged[-1], s) if merged and s.base is None and merged[-1].base is None else None
+            if both is not None:
+                merged[-1].readings = both
+            else:
+                merged.append(s)
+        ids = {id(s): n for n, s in enumerate([s for s in merged if s.base is not None] + [s for s in merged if s.base is None])}
+        nodes, before = [], -1
+        for s in merged:
+            before = s.base if s.base is not None else before
+            nodes.append((ids[id(s)], -1 if s.base is None else s.base, before if s.base is None else None, [(k, t, sorted(sigla)) for k, (t, sigla) in s.readings.items()]))
+        edges = [(ids.get(id(a), -1) if a else -1, ids.get(id(b)) if b else None, w, "certain") for w, a, b in self.moves]
+        return nodes, edges
+
+
+def peer(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, moves) of the peer merge; see ``base_anchored`` for the columns.
+
+    The first witness of a work seeds, the others join in the order of their sigla.
+    """
+    find_package(witness.sparkSession)
+    pivots, witness = sent_pivots(witness, lexicon, config)
+    sent = witness.sparkSession.sparkContext.broadcast(pivots)  # bounded, see there
+    first = witness.groupBy("work_id").agg(F.min(F.struct("ordinal", "siglum")).alias("_f")).select("work_id", F.col("_f.siglum").alias("siglum"), F.lit(0).alias("_place"))
+    held = witness.join(first, ["work_id", "siglum"], "left").select("work_id", "siglum", F.coalesce("_place", F.lit(1)).alias("place"), "text", *(["pivots"] if pivots is None else []))
+    kind = witness.schema["work_id"].dataType.simpleString()
+
+    def told(work, consensus: Consensus) -> Iterator[tuple]:
+        nodes, edges = consensus.result()
+        for n in nodes:
+            yield (work, *n, None, None, None, None)
+        for e in edges:
+            yield (work, None, None, None, None, *e)
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        work = consensus = None
+        for r in rows:
+            t = scan(r["text"], config.normalizer, config.pagination)
+            if consensus is None or r["work_id"] != work:
+                if consensus is not None:
+                    yield from told(work, consensus)
+                work, consensus = r["work_id"], Consensus(r["siglum"], t, config, dict(sent.value or {}))
+                consensus.pivots |= r.get("pivots") or {}
+            else:
+                consensus.pivots |= r.get("pivots") or {}
+                consensus.add(r["siglum"], t)
+        if consensus is not None:
+            yield from told(work, consensus)
+
+    streamed = dealt(held, "work_id").sortWithinPartitions("work_id", "place", "siglum")
+    merged = arrow_rows(streamed, run, f"work_id {kind}, node_id int, base_position int, inserted_after int, readings {READING}, src int, dst int, siglum string, confidence string")
+    nodes = merged.where("node_id IS NOT NULL").select("work_id", "node_id", "base_position", "inserted_after", "readings")
+    return nodes, merged.where("node_id IS NULL").select("work_id", "src", "dst", "siglum", "confidence")
 
 
 def merge(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     return (peer if config.strategy == PEER_MSA else base_anchored)(witness, config, lexicon)
 
 
-def project(readings: DataFrame) -> DataFrame:
+def project(nodes: DataFrame) -> DataFrame:
     """(work_id, node_no, node_id, base_position, inserted_after, is_variant, readings): nodes in text order.
 
     Readings that look the same are one; readings and sigla are sorted.
     """
-    seen = readings.groupBy("work_id", "node_id", "base_position", "inserted_after", F.col("surface").alias("reading")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sigla")))).alias("witnesses"))
-    node = seen.groupBy("work_id", "node_id", "base_position", "inserted_after").agg(F.array_sort(F.collect_list(F.struct("reading", "witnesses"))).alias("readings"), F.min(F.when(F.col("reading") != OMITTED, F.col("reading"))).alias("least"))
-    order = Window.partitionBy("work_id").orderBy(F.coalesce("inserted_after", "base_position"), F.col("inserted_after").isNotNull(), F.coalesce("least", F.lit("")), "node_id")
+    surfaces = F.array_sort(F.array_distinct(F.transform("readings", lambda r: r["surface"])))
+    carriers = lambda s: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("readings", lambda r: r["surface"] == s), lambda r: r["sigla"]))))
+    only = F.col("readings")[0]
+    shown = F.when(F.size("readings") == 1, F.array(F.struct(only["surface"].alias("reading"), only["sigla"].alias("witnesses")))).otherwise(F.transform(surfaces, lambda s: F.struct(s.alias("reading"), carriers(s).alias("witnesses"))))
+    node = nodes.select("work_id", "node_id", "base_position", "inserted_after", shown.alias("readings"))
+    least = F.when(F.size("readings") == 1, F.col("readings")[0]["reading"]).otherwise(F.array_min(F.filter(F.transform("readings", lambda r: r["reading"]), lambda r: r != OMITTED)))
+    order = Window.partitionBy("work_id").orderBy(F.coalesce("inserted_after", "base_position"), F.col("inserted_after").isNotNull(), F.coalesce(F.nullif(least, F.lit(OMITTED)), F.lit("")), "node_id")
     return node.select("work_id", (F.row_number().over(order) - 1).alias("node_no"), "node_id", "base_position", "inserted_after", (F.size("readings") > 1).alias("is_variant"), "readings")
 
 
@@ -270,9 +292,9 @@ def variant_graph(witness: DataFrame, config: Config = Config(), lexicon: DataFr
     return project(merge(witness, config, lexicon)[0])
 
 
-def edges(readings: DataFrame, moves: DataFrame, witness: DataFrame) -> DataFrame:
+def edges(nodes: DataFrame, moves: DataFrame, witness: DataFrame) -> DataFrame:
     """(work_id, src, dst, is_move, confidence, sigla): the spine in order with all sigla, then the moves."""
-    nodes = readings.where("base_position >= 0").select("work_id", "node_id", "base_position").distinct()
+    nodes = nodes.where("base_position >= 0").select("work_id", "node_id", "base_position")
     line = Window.partitionBy("work_id").orderBy("base_position")
     spine = nodes.select("work_id", F.col("node_id").alias("src"), F.lead("node_id").over(line).alias("dst")).where("dst IS NOT NULL").join(_base(witness), "work_id")
     kept = spine.select("work_id", "src", "dst", F.lit(False).alias("is_move"), F.lit("certain").alias("confidence"), F.col("ids").alias("sigla"))

@@ -1,7 +1,9 @@
 """The sequential steps of alignment, as plain functions over lists; no Spark in here.
 
-Keys are interned to integers once per pair, rows of the score matrix are filled by numpy, and the direction of each
-cell is kept in one byte, so that an exact alignment of n by m tokens needs n*m bytes.
+Short stretches are aligned in plain Python; for longer ones keys are interned to integers, rows of the score matrix are
+filled by numpy, and the direction of each cell is kept in one byte. At most ``LIMITS.held_cells`` directions are held at
+a time: beyond that the rows where each block of rows begins are kept, and a block is filled again when the way back
+reaches it, which gives the same alignment.
 """
 
 from __future__ import annotations
@@ -24,36 +26,45 @@ def intern(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
 
 def needleman_wunsch(a: Sequence, b: Sequence, scores: Scores = PROSE) -> list[Op]:
     """Global alignment; of equal paths the one that is diagonal, else deletes, else inserts, read from the end."""
-    return _align(*intern(a, b), scores)
-
-
-def _align(x: np.ndarray, y: np.ndarray, s: Scores) -> list[Op]:
-    n, m = len(x), len(y)
+    n, m = len(a), len(b)
     if not n:
         return [("insert", -1, j) for j in range(m)]
     if not m:
         return [("delete", i, -1) for i in range(n)]
-    if n == m and s.match > max(0, s.mismatch) and s.gap < 0 and (x == y).all():
+    if n == m and scores.match > max(0, scores.mismatch) and scores.gap < 0 and list(a) == list(b):
         return [("match", i, i) for i in range(n)]
-    ramp = np.arange(m + 1, dtype=np.int64) * s.gap
-    above = ramp.copy()
-    way = np.zeros((n + 1, m + 1), np.int8)  # 0 diagonal, 1 up, 2 left
-    for i in range(1, n + 1):
-        diagonal = above[:-1] + np.where(y == x[i - 1], s.match, s.mismatch)
-        up = above[1:] + s.gap
-        best = np.empty(m + 1, np.int64)
-        best[0] = i * s.gap
-        best[1:] = np.maximum(diagonal, up)
-        row = np.maximum.accumulate(best - ramp) + ramp  # a run of insertions costs the same per step
-        way[i, 1:] = np.where(row[1:] == diagonal, 0, np.where(row[1:] == up, 1, 2))
+    return _short(a, b, scores) if n * m <= LIMITS.short_cells else _align(*intern(a, b), scores)
+
+
+def _short(a: Sequence, b: Sequence, s: Scores) -> list[Op]:
+    gap, m = s.gap, len(b)
+    above = [j * gap for j in range(m + 1)]
+    ways = [b""]
+    for i, key in enumerate(a):
+        left = (i + 1) * gap
+        row, way = [left], bytearray(m + 1)
+        for j, other in enumerate(b):
+            diagonal = above[j] + (s.match if key == other else s.mismatch)
+            up, left = above[j + 1] + gap, left + gap
+            best = max(diagonal, up, left)
+            if best != diagonal:
+                way[j + 1] = 1 if best == up else 2
+            row.append(best)
+            left = best
+        ways.append(way)
         above = row
+    return _back(len(a), m, lambda i, j: ways[i][j], lambda i, j: a[i] == b[j])
+
+
+def _back(n: int, m: int, way, same) -> list[Op]:
+    """The operations on the way back from the far corner: 0 diagonal, 1 up, 2 left."""
     ops: list[Op] = []
     i, j = n, m
     while i or j:
-        step = way[i, j] if i and j else (1 if i else 2)
+        step = way(i, j) if i and j else (1 if i else 2)
         if step == 0:
             i, j = i - 1, j - 1
-            ops.append(("match" if x[i] == y[j] else "substitute", i, j))
+            ops.append(("match" if same(i, j) else "substitute", i, j))
         elif step == 1:
             i -= 1
             ops.append(("delete", i, -1))
@@ -64,12 +75,48 @@ def _align(x: np.ndarray, y: np.ndarray, s: Scores) -> list[Op]:
     return ops
 
 
+def _align(x: np.ndarray, y: np.ndarray, s: Scores) -> list[Op]:
+    n, m = len(x), len(y)
+    ramp = np.arange(m + 1, dtype=np.int64) * s.gap
+
+    def fill(above: np.ndarray, lo: int, hi: int, way: np.ndarray | None) -> np.ndarray:
+        """The scores of row ``hi`` from those of row ``lo``, and the directions of the rows after ``lo``."""
+        for i in range(lo + 1, hi + 1):
+            diagonal = above[:-1] + np.where(y == x[i - 1], s.match, s.mismatch)
+            up = above[1:] + s.gap
+            best = np.empty(m + 1, np.int64)
+            best[0] = i * s.gap
+            best[1:] = np.maximum(diagonal, up)
+            row = np.maximum.accumulate(best - ramp) + ramp  # a run of insertions costs the same per step
+            if way is not None:
+                way[i - lo, 1:] = np.where(row[1:] == diagonal, 0, np.where(row[1:] == up, 1, 2))
+            above = row
+        return above
+
+    step = max(1, min(n, LIMITS.held_cells // (m + 1)))  # rows of a block
+    begins = [ramp.copy()]
+    for lo in range(0, n - step, step):
+        begins.append(fill(begins[-1], lo, lo + step, None))
+    held: tuple[int, np.ndarray] = (-1, np.empty(0))
+
+    def way(i: int, j: int) -> int:
+        nonlocal held
+        block = (i - 1) // step
+        if held[0] != block:
+            rows = np.zeros((step + 1, m + 1), np.int8)
+            fill(begins[block], block * step, min(n, (block + 1) * step), rows)
+            held = block, rows
+        return held[1][i - block * step, j]
+
+    return _back(n, m, way, lambda i, j: x[i] == y[j])
+
+
 def banded(a: Sequence, b: Sequence, band: int, scores: Scores = PROSE) -> tuple[list[Op], bool]:
     """Alignment within ``band`` cells of the diagonal to the far corner, and whether an inner row touched the edge."""
     x, y = intern(a, b)
     n, m = len(x), len(y)
     if not n or not m:
-        return _align(x, y, scores), False
+        return needleman_wunsch(a, b, scores), False
     w = max(band, abs(n - m) + 1)
     lows = [max(0, i * m // n - w) for i in range(n + 1)]
     highs = [min(m, i * m // n + w) for i in range(n + 1)]
@@ -101,23 +148,15 @@ def banded(a: Sequence, b: Sequence, band: int, scores: Scores = PROSE) -> tuple
         row = np.maximum.accumulate(best - ramp) + ramp
         ways.append(np.where(row == diagonal, 0, np.where(row == up, 1, 2)).astype(np.int8))
         above = row
-    ops: list[Op] = []
-    i, j, touched = n, m, False
-    while i or j:
-        if 0 < i < n and (j <= lows[i] or j >= highs[i]):
-            touched = True
-        step = ways[i][j - lows[i]] if i and j else (1 if i else 2)
-        if step == 0:
-            i, j = i - 1, j - 1
-            ops.append(("match" if x[i] == y[j] else "substitute", i, j))
-        elif step == 1:
-            i -= 1
-            ops.append(("delete", i, -1))
-        else:
-            j -= 1
-            ops.append(("insert", -1, j))
-    ops.reverse()
-    return ops, touched
+    touched = False
+
+    def way(i: int, j: int) -> int:
+        nonlocal touched
+        touched = touched or (i < n and (j <= lows[i] or j >= highs[i]))
+        return ways[i][j - lows[i]]
+
+    ops = _back(n, m, way, lambda i, j: x[i] == y[j])
+    return ops, touched or (n > 1 and ops[0][0] == "delete")  # that path runs along the first column
 
 
 def bounded(a: Sequence, b: Sequence, scores: Scores = PROSE) -> list[Op]:

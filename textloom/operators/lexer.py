@@ -1,45 +1,35 @@
-"""Tokens with citations, as a relational plan.
+"""Tokens with citations, as rows.
 
-One regular expression whose alternatives cover every character cuts a text into pieces (a blank after a word belongs to
-its piece, which halves the rows); running sums over the pieces of
-a witness give offsets, pages, lines, words and paragraphs. The only exchange is by witness, and all numbering shares it.
+The text is read where it lies: one Arrow stage, no exchange and no sorting, since lines, pages and words are counted
+along the way (``scan``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from textloom.arrow import rows_of
+from textloom.config import SUBSTANTIVE, Normalizer, Pagination, normalizer as named
+from textloom.operators.scan import Tokens, scan
+from textloom.session import find_package, spread
+
+SETTINGS = ("normalizer", "lines_per_page", "continuous")
+SCHEMA = "work_id {kind}, siglum string, ordinal int, tok int, cidx int, surface string, normalized string, is_word boolean, char_from int, char_to int, line int, paragraph int, page int, word_index int"
+FLUSH = 20_000  # tokens of an Arrow batch
 
-from textloom.config import NORMALIZERS, SUBSTANTIVE, Normalizer, Pagination
-from textloom.functions.text import normalize_word, utf16_len
-from textloom.session import dealt
-
-WORD = r"\p{L}\p{M}\p{N}'’-"
-BLANK = r"\s\p{Z}\x{0085}"
-REGION = r"<!--\s*[nN][oO][_-][cC][oO][lL][lL][aA][tT][eE]\b"
-PAGE_COMMENT = r"<!--\s*page\s*break\s*-->"
-PIECES = "|".join((
-    rf"(?s:{REGION}.*?(?:-->|\z))",
-    rf"\f|{PAGE_COMMENT}|(?m:^[ \t]*---[ \t]*$)",
-    r"\n",
-    rf"[{WORD}]+ ?",
-    rf"(?:(?!{REGION}|{PAGE_COMMENT})[^{BLANK}{WORD}])+ ?",
-    r"[\s\S]",
-))
-UNITS = r"(?:^-+)?[^-]+(?:-$)?|-+"
-
-
-def _kind(piece: Column) -> Column:
-    return (
-        F.when(piece.rlike("^[A-Za-z]"), "word")
-        .when(piece == "\n", "newline")
-        .when(piece.rlike(f"^(?:{REGION})"), "region")
-        .when(piece.rlike(rf"^(?:\f|{PAGE_COMMENT})$"), "break")
-        .when(piece.rlike(r"^[ \t]*---[ \t]*$"), "rule")
-        .when(piece.rlike(f"^[{BLANK}]"), "blank")
-        .when(piece.rlike(f"^[{WORD}]"), "word")
-        .otherwise("punctuation")
-    )
+
+def read(row: dict, text: str | None, normalizer: Normalizer, pagination: Pagination, by_row: bool) -> Tokens:
+    """The tokens of a text by the settings of its row, or by those given."""
+    if by_row:
+        normalizer = named(row["normalizer"])
+        pagination = Pagination(row["lines_per_page"], None, bool(row["continuous"]))
+    return scan(text, normalizer, pagination)
 
 
 def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination: Pagination = Pagination(), by_row: bool = False) -> DataFrame:
@@ -47,77 +37,36 @@ def tokens(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination:
 
     ``char_from`` and ``char_to`` count UTF-16 units of the text as it stands; ``cidx`` numbers the comparable tokens
     (those with a non-empty normal form) and is null on the others. Null and blank texts have no tokens; a byte order
-    mark at the start is skipped. Witnesses are told apart by (work_id, siglum), which must be unique.
+    mark at the start is skipped. Repeated rows give repeated tokens; extra columns are dropped.
 
     With ``by_row`` the columns ``normalizer`` (a preset's name), ``lines_per_page`` (or null) and ``continuous`` of each
     witness take the place of the arguments.
     """
-    text = F.regexp_replace("text", "^﻿", " ")
-    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    presets = [(F.lit(True), normalizer)]
-    settings = []
-    if by_row:
-        name = F.lower(F.trim(F.coalesce("normalizer", F.lit(""))))
-        presets = [(F.col("_normalizer") == n, p) for n, p in NORMALIZERS.items() if p != SUBSTANTIVE] + [(F.lit(True), SUBSTANTIVE)]
-        settings = [name.alias("_normalizer"), F.col("lines_per_page").alias("_lines"), F.coalesce("continuous", F.lit(False)).alias("_continuous")]
-        witness = witness.select("work_id", "siglum", "ordinal", "text", *settings)
-        settings = ["_normalizer", "_lines", "_continuous"]
-    if any(p.split_hyphens for _, p in presets):
-        whole = pieces
-        hyphened = lambda p: p.contains("-") & p.rlike(f"^[{WORD}]+ ?$") & p.rlike("^.+-[^ ]") & ~p.rlike("^-+ ?$")
-        units = lambda p: F.concat(F.regexp_extract_all(F.rtrim(p), F.lit(UNITS), F.lit(0)), F.when(p.endswith(" "), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))
-        pieces = F.flatten(F.transform(pieces, lambda p: F.when(hyphened(p), units(p)).otherwise(F.array(p))))
-        if by_row:
-            pieces = F.when(F.col("_normalizer") == "diplomatic", whole).otherwise(pieces)
-    by = ["work_id", "siglum"]
-    order = Window.partitionBy(*by).orderBy("p")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    # texts are exchanged rather than their tokens; all windows below keep to this partitioning
-    held = dealt(witness.where(F.col("text").isNotNull()), *by).withColumn("wide", F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]"))  # before the explode, once per text
-    cut = held.select(*by, "ordinal", *settings, "wide", F.posexplode(pieces).alias("p", "piece")).withColumn("kind", _kind(F.col("piece")))
-    length = lambda c: F.when(F.col("wide"), utf16_len(c)).otherwise(F.char_length(c))
-    alone = (F.coalesce(F.lag("kind").over(order), F.lit("newline")) == "newline") & (F.coalesce(F.lead("kind").over(order), F.lit("newline")) == "newline")
-    cut = cut.withColumn("char_from", F.coalesce(F.sum(length(F.col("piece"))).over(before), F.lit(0)).cast("int")).withColumn(
-        "kind", F.when(F.col("kind") == "rule", F.when(alone, "break").otherwise("word")).otherwise(F.col("kind"))
-    )
-    held = cut.where("kind <> 'blank'")
-    markers = F.col("_lines").isNull() if by_row else F.lit(pagination.lines_per_page is None and pagination.offsets is None)
-    is_token = F.col("kind").isin("word", "punctuation")
-    ends_paragraph = (F.col("kind") == "newline") & (F.lead("kind").over(order) == "newline") & F.lag("kind").over(order).isin("word", "punctuation")
-    numbered = (
-        held.withColumn("ends", F.coalesce(ends_paragraph, F.lit(False)))
-        .withColumn("group", F.count_if(~is_token).over(upto))
-        .withColumn("paragraph", F.count_if("ends").over(upto).cast("int"))
-        .withColumn("page", F.when(markers, F.count_if(F.col("kind") == "break").over(upto)).otherwise(0).cast("int"))
-        .where(is_token)
-        .withColumn("piece", F.rtrim("piece"))
-    )
-    if pagination.offsets is not None and not by_row:
-        starts = F.array(*[F.lit(o) for o in sorted(pagination.offsets)]) if pagination.offsets else F.array().cast("array<int>")
-        numbered = numbered.withColumn("page", F.size(F.filter(starts, lambda o: (o > 0) & (o <= F.col("char_from")))))
-    by_group = Window.partitionBy(*by).orderBy("group", "page")
-    lines = F.col("_lines") if by_row else F.lit(pagination.lines_per_page).cast("int")
-    if by_row or pagination.lines_per_page is not None:
-        numbered = numbered.withColumn("text_line", F.dense_rank().over(by_group) - 1).withColumn("page", F.when(lines.isNotNull(), F.floor(F.col("text_line") / F.greatest(lines, F.lit(1))).cast("int")).otherwise(F.col("page")))
-    through, within = F.dense_rank().over(by_group) - 1, F.dense_rank().over(Window.partitionBy(*by, "page").orderBy("group")) - 1
-    line = F.when(F.col("_continuous"), through).otherwise(within) if by_row else through if pagination.continuous else within
-    word = F.row_number().over(Window.partitionBy(*by, "group", "page").orderBy("p")) - 1
-    punctuation = (F.col("kind") == "punctuation") | (F.col("piece") == "-")
-    forms = [F.when(punctuation, F.lit("") if p.drop_punctuation else F.col("piece")).otherwise(normalize_word(F.col("piece"), p)) for _, p in presets]
-    plain = forms[-1]
-    for (applies, _), form in zip(presets[:-1], forms[:-1]):
-        plain = F.when(applies, form).otherwise(plain)
-    result = (
-        numbered.withColumn("line", line.cast("int"))
-        .withColumn("word_index", word.cast("int"))
-        .withColumn("tok", (F.row_number().over(order) - 1).cast("int"))
-        .withColumn("is_word", ~punctuation)
-        .withColumn("normalized", plain)
-        .withColumn("comparable", F.col("normalized") != "")
-        .withColumn("cidx", F.when(F.col("comparable"), F.count_if("comparable").over(upto) - 1).cast("int"))
-    )
-    char_to = F.col("char_from") + length(F.col("piece"))
-    return result.select(
-        *by, "ordinal", "tok", "cidx", F.col("piece").alias("surface"), "normalized", "is_word", "char_from", char_to.cast("int").alias("char_to"), "line", "paragraph", "page", "word_index"
-    )
+    find_package(witness.sparkSession)
+    schema = SCHEMA.format(kind=witness.schema["work_id"].dataType.simpleString())
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in arrow]
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for r in rows_of(batches):
+            t = read(r, r["text"], normalizer, pagination, by_row)
+            n, k = len(t), 0
+            cidx: list[int | None] = []
+            for form in t.normalized:
+                cidx.append(k if form else None)
+                k += bool(form)
+            told = ([r["work_id"]] * n, [r["siglum"]] * n, [r["ordinal"]] * n, range(n), cidx, t.surface, t.normalized, t.is_word, t.char_from, t.char_to, t.line, t.paragraph, t.page, t.word_index)
+            for column, values in zip(columns, told):
+                column += values
+            if len(columns[0]) >= FLUSH:
+                yield batch()
+                columns = [[] for _ in arrow]
+        if columns[0]:
+            yield batch()
+
+    held = witness.where(F.col("text").isNotNull()).select("work_id", "siglum", F.col("ordinal").cast("int").alias("ordinal"), "text", *(SETTINGS if by_row else ()))
+    return spread(held).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import insertion_key
 from textloom.operators.collate import DELETION, INSERTION, MOVE, SPELLING, SUBSTITUTION, TYPES
 
 # Parts of a work by name, types in plain words, and the views' numbers of buckets.
@@ -95,9 +96,49 @@ def redline(facts: DataFrame) -> DataFrame:
 
 
 def spans(facts: DataFrame) -> DataFrame:
-    """(pair, at, to, v_no): the base cut at all bounds, each piece with the narrowest change that covers it."""
+    """(pair, at, to, v_no): the base cut at all bounds, each piece with the narrowest change that covers it.
+
+    A change finds its first and last piece by its own bounds and is spread over the pieces between, no others.
+    """
     held = facts.where("b_from IS NOT NULL AND b_to > b_from").select("pair", "v_no", "b_from", "b_to")
     bounds = held.select("pair", F.explode(F.array("b_from", "b_to")).alias("at")).distinct()
-    piece = bounds.withColumn("to", F.lead("at").over(Window.partitionBy("pair").orderBy("at"))).where("`to` IS NOT NULL")
-    cover = piece.join(held, "pair").where("b_from <= at AND b_to >= `to`")
-    return cover.groupBy("pair", "at", "to").agg(F.min_by("v_no", F.struct(F.col("b_to") - F.col("b_from"), "v_no")).alias("v_no"))
+    line = Window.partitionBy("pair").orderBy("at")
+    piece = bounds.select("pair", "at", F.lead("at").over(line).alias("to"), F.row_number().over(line).alias("n"))
+    ends = [piece.select("pair", F.col("at").alias(c), F.col("n").alias(n)) for c, n in (("b_from", "lo"), ("b_to", "hi"))]
+    cover = held.join(ends[0], ["pair", "b_from"]).join(ends[1], ["pair", "b_to"]).withColumn("n", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    narrowest = cover.groupBy("pair", "n").agg(F.min_by("v_no", F.struct(F.col("b_to") - F.col("b_from"), "v_no")).alias("v_no"))
+    return narrowest.join(piece, ["pair", "n"]).select("pair", "at", "to", "v_no")
+
+
+def moved_deviation(facts: DataFrame) -> DataFrame:
+    """(pair, v_no, deviation): how far off the diagonal moves went, measured in characters."""
+    held = facts.where((F.col("variation_type") == MOVE) & F.col("b_from").isNotNull() & F.col("c_from").isNotNull() & (F.col("base_len") > 0))
+    expected = F.floor(F.col("b_from") * F.col("compared_len") / F.col("base_len") + 0.5)
+    return held.select("pair", "v_no", F.abs(F.col("c_from") - expected).cast("int").alias("deviation"))
+
+
+def displaced(variation: DataFrame) -> DataFrame:
+    """(pair_id, word, deleted_in, inserted_in): words deleted once and inserted once in a pair, candidates of moves."""
+    v = variation.where("NOT within_transposition")
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    gone = v.where(F.col("variation_type") == DELETION).select("pair_id", "variation_id", words(F.col("base_reading")).alias("word"))
+    come = v.where(F.col("variation_type") == INSERTION).select("pair_id", "variation_id", words(F.col("compared_reading")).alias("word"))
+    once = lambda x, name: x.groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias("n"), F.max("variation_id").alias(name)).where("n = 1").drop("n")
+    return once(gone, "deleted_in").join(once(come, "inserted_in"), ["pair_id", "word"])
+
+
+def shared_insertions(variation: DataFrame) -> DataFrame:
+    """(case_id, reading, pairs, n): insertions that read alike within a case, with the pairs that hold them."""
+    v = variation.where((F.col("variation_type") == INSERTION) & F.col("compared_reading").isNotNull())
+    return v.groupBy("case_id", insertion_key(F.col("compared_reading")).alias("reading")).agg(F.array_sort(F.collect_set("pair_id")).alias("pairs"), F.count(F.lit(1)).alias("n"))
+
+
+def cross_page(variation: DataFrame) -> DataFrame:
+    """Variations whose sides stand on different pages."""
+    return variation.where("base_location.page <> compared_location.page").select("variation_id", F.col("base_location.page").alias("base_page"), F.col("compared_location.page").alias("compared_page"))
+
+
+def perspective(variation: DataFrame) -> DataFrame:
+    """(case_id, siglum, variation_type, n): variations that each witness takes part in, per type."""
+    seen = variation.select("case_id", F.explode(F.array("base", "compared")).alias("siglum"), "variation_type")
+    return seen.groupBy("case_id", "siglum", "variation_type").agg(F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import OMITTED, csv_quote, percent, shown
 from textloom.operators import metrics
-from textloom.operators.collate import DELETION, INSERTION, MOVE, SPELLING, SUBSTITUTION
+from textloom.operators.collate import DELETION, INSERTION, MOVE, SPELLING, SUBSTITUTION, first_witness, successive_pairs
 
 # How reports name the types, and the columns of the CSV form.
 LABELS = {INSERTION: "INSERTION", DELETION: "DELETION", SUBSTITUTION: "SUBSTITUTION", MOVE: "TRANSPOSITION (moved)", SPELLING: "ACCIDENTAL (spelling/case)"}
@@ -86,8 +89,11 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", *[csv_quote(F.col(c)) for c in CSV]).alias("line"))
 
 
-def interchange(pairs: DataFrame, variation: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """(work_id, json): pairs with counts and variations, and the graph, as sorted JSON without null fields."""
+def interchange(witness: DataFrame, variation: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """(work_id, json): successive pairs with counts and variations, and the graph, as sorted JSON without null fields.
+
+    Pairs stand in the order of their witnesses; a pair without variations has an empty list.
+    """
     span = lambda c: F.when(c.isNotNull(), F.struct(c["tok_from"].alias("from"), c["tok_to"].alias("to")))
     place = lambda c: F.when(c.isNotNull(), F.struct(c["char_from"].alias("charFrom"), c["char_to"].alias("charTo"), c["cite"].alias("cite"), c["end_line"].alias("endLine"), c["first_word"].alias("firstWord"), c["last_word"].alias("lastWord"), c["line"].alias("line"), c["page"].alias("page")))
     each = F.struct(
@@ -99,15 +105,22 @@ def interchange(pairs: DataFrame, variation: DataFrame, graph: DataFrame | None
     counts = [F.count_if(F.col("variation_type") == t).alias(t) for t in (DELETION, INSERTION, SUBSTITUTION, MOVE, SPELLING)]
     told = variation.groupBy(*by).agg(F.struct(*counts).alias("counts"), F.transform(F.array_sort(F.collect_list(F.struct("v_no", each.alias("v")))), lambda x: x["v"]).alias("variations"))
     none = F.struct(*[F.lit(0).cast("long").alias(t) for t in (DELETION, INSERTION, SUBSTITUTION, MOVE, SPELLING)])
-    every = pairs.select(*by).join(told, by, "left").withColumn("counts", F.coalesce("counts", none))
+    rank = witness.select("work_id", F.col("siglum").alias("compared"), "ordinal")
+    every = successive_pairs(witness).join(rank, ["work_id", "compared"]).join(told, by, "left").withColumn("counts", F.coalesce("counts", none))
     pair = F.struct(F.col("base"), F.col("compared"), F.col("counts"), F.lit(3).alias("schemaVersion"), F.coalesce("variations", F.array().cast(told.schema["variations"].dataType)).alias("variations"))
-    result = every.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("compared", pair.alias("p")))).alias("ps")).select("work_id", F.transform("ps", lambda x: x["p"]).alias("pairs"))
+    result = every.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "compared", pair.alias("p")))).alias("ps")).select("work_id", F.transform("ps", lambda x: x["p"]).alias("pairs"))
     if graph is None:
         return result.select("work_id", F.to_json(F.struct("pairs")).alias("json"))
     node = F.struct(F.col("base_position").alias("basePosition"), F.col("inserted_after").alias("insertedAfter"), F.col("is_variant").alias("isVariant"), F.col("readings"))
     nodes = graph.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_no", node.alias("n")))), lambda x: x["n"]).alias("nodes"))
-    whole = F.struct(F.struct(F.col("nodes"), F.lit(3).alias("schemaVersion")).alias("graph"), F.col("pairs"))
-    return result.join(nodes, "work_id").select("work_id", F.to_json(whole).alias("json"))
+    whole = F.struct(F.struct(F.col("base").alias("baseID"), F.col("nodes"), F.lit(3).alias("schemaVersion")).alias("graph"), F.col("pairs"))
+    return result.join(nodes, "work_id").join(first_witness(witness), "work_id").select("work_id", F.to_json(whole).alias("json"))
+
+
+def pretty(text: str) -> str:
+    """JSON indented, keys sorted, a blank before colons, ``/`` escaped: the form in which runs are kept and compared."""
+    laid = json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, indent=2, separators=(",", " : "))
+    return re.sub(r"(?m)(^ *(?:\"[^\"]+\" : )?)\[\]", lambda m: f"{m[1]}[\n\n{' ' * (len(m[1]) - len(m[1].lstrip()))}]", laid).replace("/", "\\/")
 
 
 def narrative(facts: DataFrame) -> DataFrame:

@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 
 from textloom.config import BASE_ANCHORED, DIPLOMATIC, GB_US, PEER_MSA, Config
 from textloom.functions import text as T
-from textloom.operators import anchors, collate, graph, lexer, metrics, render
+from textloom.operators import anchors, collate, graph, lexer, metrics, render, viewer
 from textloom.plans import sql
-from textloom.session import cut, keep, read_table
+from textloom.session import cut, read_table
 from textloom.sources import witnesses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    """Witnesses of the monolingual cases, each once."""
+    """Witnesses of the monolingual cases, each once; a table, as collation reads them more than once."""
+    return cut(_cases(spark, d))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
     mono = read_table(spark, d, "case_meta").where("lexicon_name IS NULL").select("case_id").distinct()
     return witnesses.from_table(read_table(spark, d, "witness"), mono)
 
 
 def bilingual(spark: SparkSession, d: str) -> DataFrame:
     both = read_table(spark, d, "case_meta").where("lexicon_name IS NOT NULL").select("case_id").distinct()
-    return witnesses.from_table(read_table(spark, d, "witness"), both)
+    return cut(witnesses.from_table(read_table(spark, d, "witness"), both))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +38,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, d: str) -> DataFrame:
-    return lexer.tokens(cases(spark, d)).where("cidx IS NOT NULL").select("work_id", "siglum", "cidx", F.col("normalized").alias("key"), "page")
+    return lexer.tokens(_cases(spark, d)).where("cidx IS NOT NULL").select("work_id", "siglum", "cidx", F.col("normalized").alias("key"), "page")
 
 
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +89,7 @@ def token_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 def normal_forms(spark: SparkSession, d: str) -> DataFrame:
     t = lexer.tokens(documents(spark, d), collate.Config().normalizer).where("is_word")
-    return t.groupBy("surface", "normalized").agg(F.count(F.lit(1)).alias("n")).where(~F.col("surface").contains("-"))
+    return t.groupBy("surface", "normalized").agg(F.count(F.lit(1)).alias("n"))
 
 
 def spelling_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -105,15 +109,15 @@ def key_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def successive_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return collate.successive_pairs(cases(spark, d))
+    return collate.successive_pairs(_cases(spark, d))
 
 
 def base_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return collate.base_pairs(cases(spark, d))
+    return collate.base_pairs(_cases(spark, d))
 
 
 def promoted_order(spark: SparkSession, d: str) -> DataFrame:
-    return witnesses.promoted(cases(spark, d), "MS").select("work_id", "siglum", "ordinal")
+    return witnesses.promoted(_cases(spark, d), "MS").select("work_id", "siglum", "ordinal")
 
 
 def unique_grams(n: int) -> Query:
@@ -124,13 +128,13 @@ def unique_grams(n: int) -> Query:
 
 
 def anchor_pins(spark: SparkSession, d: str) -> DataFrame:
-    return anchors.pins(anchors.unique_grams(keys(spark, d), 3), collate.successive_pairs(cases(spark, d))).select("work_id", "base", "compared", "a_start", "b_start", "weight")
+    return anchors.pins(anchors.unique_grams(keys(spark, d), 3), collate.successive_pairs(_cases(spark, d))).select("work_id", "base", "compared", "a_start", "b_start", "weight")
 
 
 def plausible_pins(spark: SparkSession, d: str) -> DataFrame:
-    k = keep(keys(spark, d))
+    k = cut(keys(spark, d))
     sizes = k.groupBy("work_id", "siglum").agg(F.count(F.lit(1)).alias("n"))
-    pin = anchors.pins(anchors.unique_grams(k, 3), collate.successive_pairs(cases(spark, d)))
+    pin = anchors.pins(anchors.unique_grams(k, 3), collate.successive_pairs(_cases(spark, d)))
     pin = pin.join(sizes.withColumnsRenamed({"siglum": "base", "n": "len_a"}), ["work_id", "base"]).join(sizes.withColumnsRenamed({"siglum": "compared", "n": "len_b"}), ["work_id", "compared"])
     return anchors.plausible(pin).select("work_id", "base", "compared", "a_start", "b_start", "deviation")
 
@@ -167,27 +171,8 @@ def pair_check(spark: SparkSession, d: str) -> DataFrame:
     return both.where(differs)
 
 
-def displaced_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words deleted once and inserted once in a pair: candidates of single-word moves."""
-    v = recorded(spark, d).where("NOT within_transposition")
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    gone = v.where("variation_type = 'deletion'").select("pair_id", "variation_id", words(F.col("base_reading")).alias("word"))
-    come = v.where("variation_type = 'insertion'").select("pair_id", "variation_id", words(F.col("compared_reading")).alias("word"))
-    once = lambda x, name: x.groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias("n"), F.max("variation_id").alias(name)).where("n = 1").drop("n")
-    return once(gone, "deleted_in").join(once(come, "inserted_in"), ["pair_id", "word"])
-
-
-def shared_insertions(spark: SparkSession, d: str) -> DataFrame:
-    """Insertions that read alike within a case, with the pairs that hold them."""
-    v = recorded(spark, d).where("variation_type = 'insertion' AND compared_reading IS NOT NULL")
-    return v.groupBy("case_id", T.insertion_key(F.col("compared_reading")).alias("reading")).agg(F.array_sort(F.collect_set("pair_id")).alias("pairs"), F.count(F.lit(1)).alias("n"))
-
-
-def moved_deviation(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded moves: how far off the diagonal they went, measured in characters."""
-    f = facts(spark, d).where((F.col("variation_type") == collate.MOVE) & F.col("b_from").isNotNull() & F.col("c_from").isNotNull() & (F.col("base_len") > 0))
-    expected = F.floor(F.col("b_from") * F.col("compared_len") / F.col("base_len") + 0.5)
-    return f.select("pair", "v_no", F.abs(F.col("c_from") - expected).cast("int").alias("deviation"))
+def of_recorded(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: operator(recorded(spark, d))
 
 
 def cites(spark: SparkSession, d: str) -> DataFrame:
@@ -213,18 +198,11 @@ def report_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def narratives(spark: SparkSession, d: str) -> DataFrame:
-    return render.narrative(facts(spark, d))
-
-
-def cross_page(spark: SparkSession, d: str) -> DataFrame:
-    return recorded(spark, d).where("base_location.page <> compared_location.page").select("variation_id", F.col("base_location.page").alias("base_page"), F.col("compared_location.page").alias("compared_page"))
+    return render.narrative(cut(facts(spark, d)))
 
 
 def perspective(spark: SparkSession, d: str) -> DataFrame:
-    """Variations that each witness takes part in, per type."""
-    v = as_results(spark, d)
-    seen = v.select("case_id", F.explode(F.array("base", "compared")).alias("siglum"), "variation_type")
-    return seen.groupBy("case_id", "siglum", "variation_type").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.perspective(as_results(spark, d))
 
 
 def escaped(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +233,7 @@ def collate_bilingual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collate_tallies(spark: SparkSession, d: str) -> DataFrame:
-    w = cut(cases(spark, d))
+    w = cases(spark, d)
     return collate.tallies(collate.successive_pairs(w), collate.variations(w))
 
 
@@ -264,18 +242,18 @@ def variant_graph(strategy: str) -> Query:
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    w = cut(cases(spark, d))
+    w = cases(spark, d)
     return graph.edges(*graph.base_anchored(w), w)
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    w = cut(cases(spark, d))
+    w = cases(spark, d)
     return w, cut(graph.variant_graph(w))
 
 
 def apparatus_lines(spark: SparkSession, d: str) -> DataFrame:
     w, g = _graph(spark, d)
-    return render.apparatus_text(render.apparatus(g, graph._base(w).select("work_id", "base")))
+    return render.apparatus_text(render.apparatus(g, collate.first_witness(w)))
 
 
 def synopsis_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +264,42 @@ def synopsis_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def interchange(spark: SparkSession, d: str) -> DataFrame:
     w, g = _graph(spark, d)
-    return render.interchange(collate.successive_pairs(w), collate.variations(w), g)
+    return render.interchange(w, collate.variations(w), g)
+
+
+def ordered_witnesses(spark: SparkSession, d: str) -> DataFrame:
+    """The witnesses with these sigla alone, in this order."""
+    return witnesses.ordered(_cases(spark, d), ["TS", "MS"]).select("work_id", "siglum", "ordinal")
+
+
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the recorded variations and the witnesses of each case amount to."""
+    v = as_results(spark, d).drop("work_id").withColumnRenamed("case_id", "work_id")
+    return viewer.type_counts(witnesses.from_table(read_table(spark, d, "witness")), v)
+
+
+def witness_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.sizes(_cases(spark, d))
+
+
+def covering_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Of every recorded change, the first one of its pair that covers its place in the base and has another side."""
+    return viewer.covering(viewer.asked(facts(spark, d)), facts(spark, d))
+
+
+def insertion_mates(spark: SparkSession, d: str) -> DataFrame:
+    """For what is inserted alike in a case: the insertion that a viewer leads to, by its reading or else by its witness."""
+    v = recorded(spark, d).where("case_id IS NOT NULL")
+    pair = read_table(spark, d, "pairwise").select("pair_id", F.col("compared").alias("witness")).dropDuplicates(["pair_id"])
+    annotation = v.join(pair, "pair_id").select(F.col("case_id").alias("work_id"), F.col("variation_id").alias("v_no"), "witness", "variation_type", F.coalesce("compared_reading", F.lit("")).alias("reading"))
+    nodes = annotation.where("variation_type = 'insertion'").groupBy("work_id", T.insertion_key(F.col("reading")).alias("node")).agg(F.array_sort(F.collect_set("witness")).alias("sigla"))
+    return viewer.insertion_mates(nodes.withColumn("surfaces", F.array("node")), annotation)
+
+
+def graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    w = cases(spark, d)
+    nodes, moves = graph.base_anchored(w)
+    return viewer.graph_counts(cut(nodes), moves)
 
 
 def self_collation(spark: SparkSession, d: str) -> DataFrame:
@@ -297,15 +310,16 @@ def self_collation(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named: dict[str, Query] = {f.__name__: f for f in (
-        token_words, token_places, token_offsets, normal_forms, spelling_folds, comparable_tokens, key_frequency, successive_pairs, base_pairs, promoted_order, anchor_pins, plausible_pins, anchor_density,
-        lexicon_pivots, pivoted_keys, pair_check, displaced_words, shared_insertions, moved_deviation, cites, csv_rows, csv_lines, pairwise_apparatus, report_entries, narratives, cross_page, perspective, escaped,
+        ordered_witnesses, run_summary, witness_sizes, covering_changes, insertion_mates, graph_summary, token_words, token_places, token_offsets, normal_forms, spelling_folds, comparable_tokens, key_frequency, successive_pairs, base_pairs, promoted_order, anchor_pins, plausible_pins, anchor_density,
+        lexicon_pivots, pivoted_keys, pair_check, cites, csv_rows, csv_lines, pairwise_apparatus, report_entries, narratives, perspective, escaped,
         collate_variations, collate_cases, collate_accidentals, collate_bilingual, collate_tallies, graph_edges, apparatus_lines, synopsis_rows, interchange, self_collation,
     )}
     named |= {f"unique_{name}": unique_grams(n) for n, name in ((2, "bigrams"), (3, "trigrams"))}
     named |= {name: of_facts(op) for name, op in (
         ("pair_tallies", metrics.tallies), ("dominant_kind", metrics.dominant), ("extent_metrics", metrics.extent), ("thirds_cluster", metrics.thirds), ("alignment_quality", metrics.quality),
-        ("change_histogram", metrics.histogram), ("heat_strip", metrics.heat), ("story_segments", metrics.story), ("redline", metrics.redline), ("span_slices", metrics.spans),
+        ("change_histogram", metrics.histogram), ("heat_strip", metrics.heat), ("story_segments", metrics.story), ("redline", metrics.redline), ("span_slices", metrics.spans), ("moved_deviation", metrics.moved_deviation),
     )}
+    named |= {name: of_recorded(op) for name, op in (("displaced_words", metrics.displaced), ("shared_insertions", metrics.shared_insertions), ("cross_page", metrics.cross_page))}
     return named | {"variant_graph": variant_graph(BASE_ANCHORED), "peer_graph": variant_graph(PEER_MSA)}
 
 

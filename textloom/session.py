@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -29,13 +30,19 @@ def find_package(spark: SparkSession) -> None:
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give CPU-heavy Arrow stages enough partitions.
 
-    A scan that already has as many partitions as the cluster has cores is left alone (at scale no shuffle is added);
-    a small input is dealt round-robin over ``per_core`` partitions per core. ``df`` must be a scan without exchanges.
+    A scan that already has as many partitions as the cluster has cores is left alone (at scale no shuffle is added), and
+    so is what comes from an exchange; a small scan is dealt round-robin over ``per_core`` partitions per core. The rows
+    are the same either way.
     """
+    if _EXCHANGES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     want = max(2, df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want * per_core)
 
 
+_EXCHANGES = re.compile(r"(?m)^[ :+-]*(?:Aggregate|Join|Window|Repartition|RepartitionByExpression|RebalancePartitions|Deduplicate|Distinct|Sort|Intersect|Except)\b")
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     """``df`` hash-partitioned by ``by`` over ``spark.sql.shuffle.partitions``, which adaptive execution leaves as they are.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.config import Config, Pagination, normalizer, strategy
+
 SCHEMA = "work_id string, siglum string, ordinal int, text string"
 
 
@@ -15,6 +19,10 @@ class WitnessError(ValueError):
     """The witnesses asked for can't be collated."""
 
 
+class LexiconError(ValueError):
+    """A lexicon says nothing."""
+
+
 def from_memory(spark: SparkSession, witnesses: Sequence[tuple[str, str]], work_id: str = "work") -> DataFrame:
     return spark.createDataFrame([(work_id, s, i, t) for i, (s, t) in enumerate(witnesses)], SCHEMA)
 
@@ -72,6 +80,28 @@ def from_table(witness: DataFrame, monolingual: DataFrame | None = None) -> Data
     return first.select(F.col("case_id").alias("work_id"), "siglum", F.col("w.ordinal").alias("ordinal"), F.col("w.text").alias("text"))
 
 
+def from_case(spark: SparkSession, folder: str) -> tuple[DataFrame, Config, DataFrame | None]:
+    """(witnesses, settings, lexicon) of a case folder: ``meta.json`` and a text file per siglum of its ``witnessOrder``."""
+    meta = json.loads(Path(folder, "meta.json").read_text(encoding="utf-8"))
+    told = meta.get("pagination", "default")
+    pages = Pagination(lines_per_page=told["linesPerPage"]) if isinstance(told, dict) else Pagination(continuous=told == "throughNumbered")
+    config = Config(normalizer(meta.get("normalizer")), pages, record_accidentals=bool(meta.get("recordAccidentals")), record_punctuation=bool(meta.get("recordPunctuation")), strategy=strategy(meta.get("strategy")))
+    groups = [(n, form) for n, forms in enumerate(meta.get("lexicon") or ()) for form in forms]
+    texts = [(s, Path(folder, f"{s}.txt").read_bytes().decode("utf-8")) for s in meta["witnessOrder"]]
+    return from_memory(spark, texts, Path(folder).name), config, lexicon(spark.createDataFrame(groups, "grp int, form string")) if groups else None
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """The lexicon of a file; unreadable files and files without any group of two forms are errors."""
+    path = os.path.expanduser(path)
+    if not os.path.isfile(path):
+        raise OSError(f"cannot read the lexicon {path}")
+    table = lexicon(lexicon_lines(spark, path))
+    if table.isEmpty():
+        raise LexiconError(f"{path} holds no groups (one group per line, forms separated by commas)")
+    return table
+
+
 def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
     """(grp, form): one group per line, comma-separated, ``#`` begins a comment."""
     lines = spark.read.text(os.path.expanduser(path)).withColumn("line", F.regexp_replace(F.element_at(F.split("value", "#"), 1), "\r", "")).withColumn("forms", F.split("line", ","))
