@@ -19,7 +19,7 @@ R = f"{V}, {P}, r AS (SELECT v.* EXCLUDE (work_id), p.base, p.compared FROM v JO
 # Text of the collation cases without excluded regions, and its comparable words with their pages and hyphens split.
 KEYS = f"""{MONO},
 u AS (SELECT work_id, siglum, regexp_replace(text, '(?is)<!--\\s*no[_-]collate\\b.*?(-->|\\z)', E'\\n', 'g') AS text FROM c WHERE text IS NOT NULL),
-b AS (SELECT work_id, siglum, regexp_replace(text, '(?m)<!--\\s*page\\s*break\\s*-->|^[ \\t]*---[ \\t]*$', E'\\f', 'g') AS text FROM u),
+b AS (SELECT work_id, siglum, regexp_replace(text, '(?m)<!--\\s*page\\s*break\\s*-->|^[ \\t]*---[ \\t]*\\r?$', E'\\f', 'g') AS text FROM u),
 g AS (SELECT work_id, siglum, unnest(string_split(text, E'\\f')) AS part, generate_subscripts(string_split(text, E'\\f'), 1) - 1 AS page FROM b),
 h AS (SELECT work_id, siglum, page, unnest(regexp_extract_all(part, '{RUN}')) AS run, generate_subscripts(regexp_extract_all(part, '{RUN}'), 1) AS n FROM g),
 s AS (SELECT work_id, siglum, page, n, unnest(x) AS unit, generate_subscripts(x, 1) AS k FROM (SELECT *, CASE WHEN regexp_matches(run, '^.+-.+$') AND NOT regexp_matches(run, '^-+$') THEN regexp_extract_all(run, '(?:^-+)?[^-]+(?:-$)?|-+') ELSE [run] END AS x FROM h)),
@@ -40,11 +40,13 @@ pins AS (SELECT pr.work_id, base, compared, a.pos AS a_start, b.pos AS b_start,
   FROM pr JOIN uniq a ON a.work_id = pr.work_id AND a.siglum = base JOIN uniq b ON b.work_id = pr.work_id AND b.siglum = compared AND b.gram = a.gram)"""
 LEXICON = """l AS (SELECT DISTINCT coalesce(lexicon_name || '/', '') || coalesce(group_no::VARCHAR, '') AS grp, lower(trim(form)) AS form FROM lexicon WHERE form IS NOT NULL AND trim(form) <> ''),
 pv AS (SELECT form, min(least_form) AS "pivot" FROM l JOIN (SELECT grp, min(form) AS least_form FROM l GROUP BY grp HAVING count(*) > 1) USING (grp) GROUP BY form)"""
-PAGED = "d AS (SELECT doc_id, regexp_replace(text, '(?m)<!--\\s*page\\s*break\\s*-->|^[ \\t]*---[ \\t]*$', E'\\f', 'g') AS text FROM documents)"
+PAGED = "d AS (SELECT doc_id, regexp_replace(text, '(?m)<!--\\s*page\\s*break\\s*-->|^[ \\t]*---[ \\t]*\\r?$', E'\\f', 'g') AS text FROM documents)"
 DOCS = f"""{PAGED}, t AS (SELECT doc_id, unnest(string_split(text, E'\\f')) AS part, generate_subscripts(string_split(text, E'\\f'), 1) - 1 AS page FROM d),
 n AS (SELECT doc_id, page, unnest(string_split(part, E'\\n')) AS line_text, generate_subscripts(string_split(part, E'\\n'), 1) AS k FROM t),
 x AS (SELECT doc_id, page, k, regexp_extract_all(line_text, '{TOKEN}') AS ts FROM n),
 y AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS line, ts FROM x WHERE len(ts) > 0)"""
+UNITS = f"""r AS (SELECT unnest(regexp_extract_all(text, '{RUN}')) AS run FROM d),
+un AS (SELECT unnest(CASE WHEN regexp_matches(run, '^.+-+[^-]') THEN regexp_extract_all(run, '(?:^-+)?[^-]+(?:-$)?|-+') ELSE [run] END) AS unit FROM r)"""
 SPELL = ", ".join(f"('{a}', '{b}')" for a, b in sorted(GB_US_SPELLING.items()))
 
 
@@ -63,11 +65,35 @@ TYPES = ("insertion", "deletion", "substitution", "transposition", "variantSpell
 SNAKE = {"variantSpelling": "variant_spelling"}
 COUNTS = ", ".join(f"count(*) FILTER (variation_type = '{t}') AS n_{SNAKE.get(t, t)}" for t in TYPES)
 
+_TENTH = "CASE WHEN round({0} * 10) % 10 = 0 THEN round({0})::BIGINT::VARCHAR ELSE format('{{:.1f}}', round({0} * 10) / 10) END || '%'"
+_MANY = "format('{{:,}}', {0}) || ' ' || CASE WHEN {0} = 1 THEN '{1}' ELSE '{2}' END"
+_SHARE = "floor({0} / n_variants * 100 + 0.5)::BIGINT || '%'"
+NARRATIVE = f"""WITH {F},
+t AS (SELECT pair, {COUNTS}, count(*) AS n_variants, max(base_len) AS base_len, count(*) FILTER (variation_type = 'transposition' AND crosses_page) AS across, count(*) FILTER (variation_type = 'transposition' AND confidence = 'likely') AS likely,
+  coalesce(sum(greatest(0, b_to - b_from)) FILTER (variation_type <> 'insertion'), 0) AS changed FROM f GROUP BY pair),
+k AS (SELECT pair, least(2, greatest(0, floor(floor((b_from + b_to) / 2) * 3 / base_len))) AS part, greatest(1, b_to - b_from) AS width FROM f WHERE variation_type <> 'insertion' AND b_from IS NOT NULL AND base_len > 0),
+s AS (SELECT pair, [coalesce(sum(width) FILTER (part = 0), 0) / sum(width), coalesce(sum(width) FILTER (part = 1), 0) / sum(width), coalesce(sum(width) FILTER (part = 2), 0) / sum(width)] AS thirds FROM k GROUP BY pair),
+l AS (SELECT pair, abs(c_from - b_from / base_len * compared_len) / compared_len AS off, c_from >= lag(c_from) OVER (PARTITION BY pair ORDER BY b_from, v_no) AS in_step FROM f WHERE b_from IS NOT NULL AND c_from IS NOT NULL AND base_len > 0 AND compared_len > 0),
+q AS (SELECT pair, round(max(off) * 100, 6) AS drift, round(count(*) FILTER (in_step) / nullif(count(*) - 1, 0) * 100, 6) AS mono FROM l GROUP BY pair HAVING count(*) > 1),
+g AS (SELECT t.*, thirds, drift, mono, round(CASE WHEN t.base_len > 0 THEN changed / t.base_len * 100 ELSE 0 END, 6) AS pct,
+  greatest(n_substitution, n_deletion, n_insertion, n_transposition) AS top,
+  list_filter([CASE WHEN n_substitution > 0 THEN {_MANY.format('n_substitution', 'substitution', 'substitutions')} || ' (' || {_SHARE.format('n_substitution')} || ')' END, CASE WHEN n_deletion > 0 THEN {_MANY.format('n_deletion', 'deletion', 'deletions')} END,
+    CASE WHEN n_insertion > 0 THEN {_MANY.format('n_insertion', 'insertion', 'insertions')} END, CASE WHEN n_transposition > 0 THEN {_MANY.format('n_transposition', 'moved passage', 'moved passages')} END], lambda x: x IS NOT NULL) AS parts
+  FROM t LEFT JOIN s USING (pair) LEFT JOIN q USING (pair))
+SELECT pair, concat_ws(' ',
+  'The compared text differs at ' || {_MANY.format('n_variants', 'point', 'points')} || CASE WHEN pct >= 0.05 THEN ', touching about ' || {_TENTH.format('pct')} || ' of the base text.' ELSE '.' END,
+  CASE WHEN top > 0 THEN 'The dominant kind is ' || CASE top WHEN n_substitution THEN 'substitution' WHEN n_deletion THEN 'deletion' WHEN n_insertion THEN 'insertion' ELSE 'transposition (a moved passage)' END || ' (' || {_SHARE.format('top')} || '). In all: '
+    || CASE len(parts) WHEN 1 THEN parts[1] WHEN 2 THEN parts[1] || ' and ' || parts[2] ELSE array_to_string(parts[1:len(parts) - 1], ', ') || ', and ' || parts[len(parts)] END || '.' END,
+  CASE WHEN thirds IS NULL THEN NULL WHEN list_min(thirds) > 0.25 AND list_max(thirds) < 0.42 THEN 'The changes are spread fairly evenly across the whole work.' WHEN list_max(thirds) > 0.5 THEN 'The changes concentrate in the ' || ['first', 'middle', 'final'][list_position(thirds, list_max(thirds))] || ' third of the work.' ELSE 'The changes fall mostly in two thirds of the work.' END,
+  CASE WHEN n_transposition > 0 THEN format('{{:,}}', n_transposition) || CASE WHEN n_transposition = 1 THEN ' passage was' ELSE ' passages were' END || ' relocated' || CASE WHEN across > 0 THEN ' (' || format('{{:,}}', across) || ' across a page boundary)' ELSE '' END || CASE WHEN likely > 0 THEN '; ' || format('{{:,}}', likely) || ' of these are *possible* moves' ELSE '' END || '.' END,
+  CASE WHEN n_variant_spelling > 0 THEN {_MANY.format('n_variant_spelling', 'accidental difference was', 'accidental differences were')} || ' also recorded.' END,
+  CASE WHEN drift IS NULL THEN NULL WHEN drift <= 8 AND mono >= 98 THEN 'The alignment is sound: shared points stay within ' || {_TENTH.format('drift')} || ' of the ideal diagonal and ' || {_TENTH.format('mono')} || ' advance in step.' ELSE 'The alignment is worth checking: shared points lie up to ' || {_TENTH.format('drift')} || ' off the ideal diagonal; ' || {_TENTH.format('mono')} || ' monotonic.' END) AS text FROM g"""
+
 QUERIES: dict[str, str] = {
     "token_words": f"WITH {PAGED} SELECT doc_id, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RUN}')) AS surface FROM d) WHERE surface <> '-' GROUP BY ALL",
     "token_places": f"WITH {DOCS} SELECT doc_id, page, line, unnest(ts) AS surface, generate_subscripts(ts, 1) - 1 AS word_index FROM y",
     "token_offsets": f"WITH {PAGED}, x AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS ts FROM d) SELECT doc_id, len(ts) AS tokens, list_sum(list_transform(ts, lambda z: length(z)))::BIGINT AS chars FROM x WHERE len(ts) > 0",
-    "normal_forms": f"WITH {PAGED} SELECT surface, strip_accents(lower(surface)) AS normalized, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, '-', ' '), '{RUN}')) AS surface FROM d) GROUP BY ALL",
+    "normal_forms": f"WITH {PAGED}, {UNITS} SELECT unit AS surface, strip_accents(lower(unit)) AS normalized, count(*) AS n FROM un WHERE unit <> '-' GROUP BY ALL",
     "spelling_folds": f"SELECT surface, b AS normalized, n FROM (SELECT lower(w) AS surface, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, '-', ' '), '{RUN}')) AS w FROM documents) GROUP BY 1) JOIN (VALUES {SPELL}) s(a, b) ON surface = a",
     "comparable_tokens": f"WITH {PAGED} SELECT doc_id, len(regexp_extract_all(replace(text, '-', ' '), '{RUN}')) AS comparable FROM d WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')",
     "key_frequency": f"WITH {KEYS} SELECT work_id, siglum, key, count(*) AS n FROM keys WHERE key IS NOT NULL GROUP BY ALL",
@@ -114,5 +140,14 @@ SELECT pair_id, word, deleted_in, inserted_in FROM (SELECT pair_id, word, max(va
     "cross_page": f"WITH {V} SELECT variation_id, base_location.page AS base_page, compared_location.page AS compared_page FROM v WHERE base_location.page <> compared_location.page",
     "perspective": f"WITH {R} SELECT case_id, siglum, variation_type, count(*) AS n FROM (SELECT case_id, unnest([base, compared]) AS siglum, variation_type FROM r) GROUP BY ALL",
     "escaped": f"WITH {V} SELECT variation_id, replace(replace(replace(base_reading, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM v WHERE base_reading IS NOT NULL",
+    "ordered_witnesses": f"WITH {MONO} SELECT work_id, siglum, CASE siglum WHEN 'TS' THEN 0 ELSE 1 END AS ordinal FROM c WHERE siglum IN ('TS', 'MS')",
+    "run_summary": f"WITH {W}, {R}, z AS (SELECT work_id, count(*) AS witnesses, sum(coalesce(length(text) + length(regexp_replace(text, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')), 0))::BIGINT AS chars FROM w GROUP BY work_id), k AS (SELECT case_id AS work_id, {COUNTS} FROM r GROUP BY case_id) SELECT z.*, {', '.join(f'coalesce(n_{SNAKE.get(t, t)}, 0) AS n_{SNAKE.get(t, t)}' for t in TYPES)} FROM z LEFT JOIN k USING (work_id)",
+    "witness_sizes": f"WITH {KEYS}, k AS (SELECT work_id, siglum, count(*) AS n FROM keys WHERE key IS NOT NULL GROUP BY ALL) SELECT c.work_id, c.siglum, coalesce(length(text) + length(regexp_replace(text, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')), 0)::INT AS chars, coalesce(n, 0) AS tokens FROM c LEFT JOIN k ON k.work_id = c.work_id AND k.siglum = c.siglum",
+    "covering_changes": f"WITH {F} SELECT p.pair, p.v_no AS place, min(h.v_no) AS v_no FROM f p JOIN f h ON h.pair = p.pair AND h.b_from <= p.b_from AND coalesce(p.b_to, p.b_from) <= coalesce(h.b_to, h.b_from) AND h.c_from IS NOT NULL GROUP BY p.pair, p.v_no",
+    "insertion_mates": f"""WITH {V}, q AS (SELECT DISTINCT ON (pair_id) pair_id, compared AS witness FROM pairwise), a AS (SELECT case_id AS work_id, variation_id AS v_no, witness, coalesce(compared_reading, '') AS reading FROM v JOIN q USING (pair_id) WHERE variation_type = 'insertion' AND case_id IS NOT NULL),
+n AS (SELECT DISTINCT work_id, trim(regexp_replace(lower(reading), ' +', ' ', 'g'), ' ') AS node, witness FROM a),
+m AS (SELECT n.work_id, node, min(v_no) FILTER (reading = node) AS own, min(v_no) AS other FROM n JOIN a ON a.work_id = n.work_id AND a.witness = n.witness GROUP BY n.work_id, node)
+SELECT work_id, node, coalesce(own, other) AS v_no, own IS NOT NULL AS by_reading FROM m""",
+    "narratives": NARRATIVE,
     "self_collation": "SELECT 0::BIGINT AS work_id, '' AS base, '' AS compared, 0 AS v_no, '' AS variation_type, '' AS base_reading, '' AS compared_reading, NULL AS base_tokens, NULL AS compared_tokens, NULL AS base_location, NULL AS compared_location, false AS crosses_page, false AS within_transposition, '' AS confidence, 0 AS insertion_anchor WHERE false",
 }
