@@ -24,7 +24,7 @@ from textloom.llm.common import arrow_rows, cut, read_table, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-SALTS = 64
+SALTED = 50_000  # documents of one length that are ranked in one task
 
 
 def token_pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -117,7 +117,7 @@ def segments(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tu
     return result
 
 
-def ranked(df: DataFrame, group: str, order: list[str], salts: int = SALTS) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], salts: int = 64) -> DataFrame:
     """``rank`` (from 0) of each row within ``group``, with no group in a single task.
 
     Rows of a group are dealt over ``salts`` hash classes; a class starts after the counts of the classes before it.
@@ -138,7 +138,8 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capac
     histogram = {r["n_tokens"]: r["n"] for r in lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
     parts = segments(pack_histogram(histogram, capacity)) + ([(0, 0, histogram[0], histogram[0], 0)] if histogram.get(0) else [])
     plan = spark.createDataFrame(parts, "n_tokens int, rank_from long, rank_to long, copies long, first_container long")
-    placed = ranked(lengths, "n_tokens", [key, "piece", "tok_from"]).alias("d").join(
+    salts = 1 + max(histogram.values(), default=0) // SALTED
+    placed = ranked(lengths, "n_tokens", [key, "piece", "tok_from"], salts).alias("d").join(
         F.broadcast(plan.alias("p")),  # its size depends on the capacity alone
         (F.col("d.n_tokens") == F.col("p.n_tokens")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")),
     )

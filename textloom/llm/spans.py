@@ -10,10 +10,12 @@ share windows of consecutive symbols that cover at least ``WINDOW`` characters;
 by hash is kept, such that one stays in common.
 
 Windows that occur in more than one group (case) mark the places where a long repeat can be. There, and only there,
-every stretch of ``span`` characters is named by a hash; stretches found in more than one group are the repeats, exactly.
+every stretch of ``span`` characters is named by a 64-bit hash; stretches found in more than one group are the repeats (two
+different ones share a name with a chance of 2^-64 per pair of distinct stretches that are marked; ``verified`` compares
+the texts of found pairs where that is too much).
 Record pairs are made only at the left end of a repeat (the characters before differ, or a text begins), so a shared
 span of any length gives its pair once, and a stretch that stands in many records gives no pairs but those asked for.
-Stretches held by many records are dealt over several tasks.
+Stretches held by many records are dealt over a grid of tasks, both sides in parts of ``PER_TASK``.
 
 Defined results: values shorter than ``span`` and null values or groups share nothing; equal values share their whole
 text; a record delivered repeatedly counts once; overlapping and periodic repeats count; extra columns are dropped.
@@ -207,10 +209,35 @@ def pairs(stretch: DataFrame) -> DataFrame:
         ends = F.broadcast(ends)
     held = cut(stretch.join(ends, "k"))
     parts = held.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
-    held = held.join(parts, "k")
-    left = held.withColumn("part", F.pmod(F.xxhash64("rid", "pos"), F.col("parts")).cast("int")).select("k", "part", F.col("rid").alias("a"), F.col("grp").alias("ga"), F.col("prev").alias("pa"))
-    right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "part", F.col("rid").alias("b"), F.col("grp").alias("gb"), F.col("prev").alias("pb"))
-    return left.join(right, ["k", "part"]).where("a < b AND ga <> gb AND pa <> pb").select("a", "b").distinct()
+    held = held.join(parts, "k").withColumn("own", F.pmod(F.xxhash64("rid", "pos"), F.col("parts")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = held.select("k", F.col("own").alias("x"), F.col("every").alias("y"), F.col("rid").alias("a"), F.col("grp").alias("ga"), F.col("prev").alias("pa"))
+    right = held.select("k", F.col("every").alias("x"), F.col("own").alias("y"), F.col("rid").alias("b"), F.col("grp").alias("gb"), F.col("prev").alias("pb"))
+    return left.join(right, ["k", "x", "y"]).where("a < b AND ga <> gb AND pa <> pb").select("a", "b").distinct()
+
+
+def verified(found: DataFrame, records: DataFrame, span: int = SPAN) -> DataFrame:
+    """Of ``found(a, b)`` the pairs whose texts do share ``span`` characters."""
+    text = records.select("rid", "value").dropDuplicates(["rid"])
+    both = found.join(text.select(F.col("rid").alias("a"), F.col("value").alias("x")), "a").join(text.select(F.col("rid").alias("b"), F.col("value").alias("y")), "b")
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        for r in rows:
+            x, y = sorted((r["x"], r["y"]), key=len)
+            held = {x[i : i + span] for i in range(len(x) - span + 1)}
+            if any(y[i : i + span] in held for i in range(len(y) - span + 1)):
+                yield r["a"], r["b"]
+
+    return arrow_rows(both.select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def classes(stretch: DataFrame) -> DataFrame:
+    """(rid, class_id, members): for every repeat, at its left ends, the records that hold it; no pairs are made.
+
+    ``members`` is the number of records of the class. A record stands in as many classes as it holds repeats.
+    """
+    ends = stretch.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("prev").alias("p0"), F.max("prev").alias("p1")).where("g0 <> g1 AND p0 <> p1").select("k")
+    held = cut(stretch.join(ends, "k").select("k", "rid").distinct())
+    return held.join(held.groupBy("k").agg(F.count(F.lit(1)).alias("members")), "k").select("rid", F.col("k").alias("class_id"), "members")
 
 
 FIELDS = ("text", "base_reading")
@@ -221,7 +248,7 @@ def _name(code: Column) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str, span: int = SPAN) -> DataFrame:
-    """(rid, field, id, grp, value): witness texts and base readings long enough to share a span.
+    """(rid, field, id, grp, value): witness texts and base readings of at least ``span`` characters.
 
     A record delivered repeatedly stands here repeatedly; that adds no pair.
     """
@@ -237,8 +264,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_name(code).alias("field"), F.floor(F.col("a") / 2).cast("long").alias("id_a"), F.floor(F.col("b") / 2).cast("long").alias("id_b"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeats themselves: which records hold each, and how many they are."""
+    return classes(stretches(records(spark, sf_dir))).select(_name(F.pmod("rid", F.lit(2))).alias("field"), F.floor(F.col("rid") / 2).cast("long").alias("record_id"), "class_id", "members")
+
+
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each record long enough, how many of its characters stand in a span shared with another case, and their share."""
+    """For each record, how many of its characters stand in a span shared with another case, and their share.
+
+    Records too short to share a span, and empty ones, have the share 0; null values have no row.
+    """
     rec = records(spark, sf_dir)
     stretch = stretches(rec)
     common = stretch.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("k")
@@ -250,12 +285,12 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda acc: acc["sum"],
     )
     sums = stretch.join(common, "k").groupBy("rid").agg(F.collect_set("pos").alias("starts")).select("rid", covered.alias("shared_chars"))
-    chars = rec.select("rid", "field", "id", F.char_length("value").alias("chars")).distinct()
+    chars = records(spark, sf_dir, 0).select("rid", "field", "id", F.char_length("value").alias("chars")).distinct()
     shared = F.coalesce(F.col("shared_chars"), F.lit(0))
-    return chars.join(sums, "rid", "left").select(_name(F.col("field")).alias("field"), F.col("id").alias("record_id"), "chars", shared.alias("shared_chars"), F.round(shared / F.col("chars"), 6).alias("share"))
+    return chars.join(sums, "rid", "left").select(_name(F.col("field")).alias("field"), F.col("id").alias("record_id"), "chars", shared.alias("shared_chars"), F.round(shared / F.greatest(F.col("chars"), F.lit(1)), 6).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_shares": p2_shares}
 _SPANS = f"""
   SELECT field, id, case_id, substr(value, i, {SPAN}) AS s
   FROM (SELECT field, id, case_id, value, unnest(range(1, length(value) - {SPAN - 2})) AS i FROM (

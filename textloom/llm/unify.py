@@ -27,12 +27,14 @@ from textloom.llm.common import read_table, spread
 INVISIBLE = "­؜᠎​-‏‪-‮⁠-⁤⁦-⁯﻿"
 NO_BREAK = "   "
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
-FULL_WIDTH_AS = "".join(map(chr, range(0x21, 0x7F)))
-CYRILLIC = "АВЕЅІЈКМНОРСТУХЁЇӒӦаеѕіјорсухһёїѐӓӧԁԛԝ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXËÏÄÖaesijopcyxhëïèäödqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧιονυρα"
-GREEK_AS = "ABEZHIKMNOPTYXiovupa"
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "｟｠￠￡￢￣￤￥￦"
+FULL_WIDTH_AS = "".join(map(chr, range(0x21, 0x7F))) + "⦅⦆¢£¬¯¦¥₩"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХЁЇӒӦаеѕіјорсухһёїѐӓӧԁԛԝӀӏҮүԚԜ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXËÏÄÖaesijopcyxhëïèäödqwIlYyQW"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧιονυραϹϲϳͿ"
+GREEK_AS = "ABEZHIKMNOPTYXiovupaCcjJ"
+DISTANT = "ՕօՍսհոցԼՏᎪᎠᎡᎢᎬᎳᎷᎻᎫᏃᏚᏞᏟᏢᏦᏴⲞⲟⲢⲣⲤⲥ"  # Armenian, Cherokee, Coptic
+DISTANT_AS = "OoUuhngLSADRTEWMHJZSLCPKBOoPpCc"
 TO_CYRILLIC_FROM = "ABESIJKMHOPCTYXËÏaesijopcyxhëï"
 TO_CYRILLIC = "АВЕЅІЈКМНОРСТУХЁЇаеѕіјорсухһёї"
 
@@ -43,9 +45,9 @@ def _literal(text: str) -> str:
 
 def unify_sql(source: str, extra: str = "field, record_id") -> str:
     """Over ``source(field, record_id, value)``: unified and one flag per kind of case."""
-    to_latin = f"translate(translate(w, {_literal(CYRILLIC)}, {_literal(CYRILLIC_AS)}), {_literal(GREEK)}, {_literal(GREEK_AS)})"
+    to_latin = f"translate(w, {_literal(CYRILLIC + GREEK + DISTANT)}, {_literal(CYRILLIC_AS + GREEK_AS + DISTANT_AS)})"
     to_cyrillic = f"translate(w, {_literal(TO_CYRILLIC_FROM)}, {_literal(TO_CYRILLIC)})"
-    other = r"'[\p{Cyrillic}\p{Greek}]'"
+    other = r"'[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Coptic}]'"
     ligatures = "b"
     for sign, plain in LIGATURES.items():
         ligatures = f"replace({ligatures}, {_literal(sign)}, {_literal(plain)})"
@@ -53,7 +55,7 @@ def unify_sql(source: str, extra: str = "field, record_id") -> str:
 WITH a AS (
   SELECT {extra}, value,
     regexp_replace(value, '[{INVISIBLE}]', '', 'g') AS visible,
-    regexp_matches(value, '[\x{{FF01}}-\x{{FF5E}}\x{{FFE0}}-\x{{FFE6}}]') AS has_full_width,
+    regexp_matches(value, '[\x{{FF01}}-\x{{FF60}}\x{{FFE0}}-\x{{FFE6}}]') AS has_full_width,
     regexp_matches(value, '[\x{{FB00}}-\x{{FB06}}]') AS has_ligature,
     nfc_normalize(value) <> value AS has_uncomposed,
     regexp_matches(value, '[{INVISIBLE}]') AS has_invisible,
