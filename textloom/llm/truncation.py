@@ -1,9 +1,11 @@
 """Problem 8: text cut off by field limits or broken transfers.
 
 Method. (1) Near-copies: every text is cut into blocks at content-defined places, the five-word shingles of each block
-are min-hashed, and blocks meet in bands. A text that ends open is compared with every holder of a band of its last
-blocks that goes on longer: bit maps of the shingles rule out those that can't hold 0.8 of its own shingles, the others
-are verified, aligned from the shared block to its end, and it is flagged if one goes on in the same sentence.
+are min-hashed, and blocks meet in bands. A text that ends open is compared with every holder of a band of its blocks
+that can go on longer: bit maps of the shingles rule out those that can't hold 0.8 of its own shingles, the others are
+verified, aligned from the shared block to its end, and it is flagged if one goes on in the same sentence. Equal texts are
+one text in this search. In a band of many holders a random ``TRIED`` are compared first; texts that none of them
+continues meet ``GROWTH`` times as many in the next round, until all holders have been compared.
 (2) Texts without such a copy are scored by closing-word terminality: how often the last word closes a sentence
 anywhere in the corpus, whether it is a word of the corpus at all, whether the closing line has a shape that closes
 texts as a rule (signatures, shelf marks, lists of sigla, end marks), whether the source cuts at this length, and
@@ -35,10 +37,14 @@ SHINGLE = 5
 SIMILAR = 0.8
 BLOCK = 16  # mean words that a block goes on after its least
 LEAST = 5  # words of a block
-ASKING = 4  # blocks from the end of an open text that look for copies
+TRIED = 32  # holders of a band that are compared in the first round
+GROWTH = 16
+SENT_IDS = 200_000  # texts that are picked out of the table without exchanging it; more are joined
+REMEMBER = 200_000  # texts of a task that are known to have been seen
 SKETCH = 8  # 64-bit parts of a text's bit map of shingles
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
+TAIL = 400  # characters in which a trace, closing marks or an abbreviation at the end are looked for
 KNOWN = 2  # least number of other uses of a word of the corpus
 SHAPE_SHARE = 0.004  # least share of texts that close with the same shape
 MARK_SHARE = 0.0005  # least share of texts, of different lengths, that close with the same short line
@@ -91,15 +97,15 @@ def ending(text: str | None) -> tuple:
     if text is None or not text.strip():
         return 0, 0, False, False, False, False, None, None, None, None, None, False
     body = text.rstrip()
-    m = _TRACE.search(body[-40:])
+    m = _TRACE.search(body[-TAIL:])
     traced = bool(m)
     attached = traced and not m.group()[0].isspace()
     if traced:
         body = body[: len(body) - len(m.group())].rstrip()
     held = text.rstrip()  # a fixed-width field may be padded
     chars, size = len(held), len(held) if held.isascii() else len(held.encode("utf-8", "surrogatepass"))
-    closed = bool(_CLOSED.search(body[-40:]))
-    if closed and not traced and not _SHORT.search(body[-40:]):
+    closed = bool(_CLOSED.search(body[-TAIL:]))
+    if closed and not traced and not _SHORT.search(body[-TAIL:]):
         return chars, size, False, False, False, False, None, None, None, None, None, False
     last_line = body[body.rfind("\n") + 1 :]
     closing_line = last_line.strip() if "\n" in body and len(last_line) <= 40 else None
@@ -107,7 +113,7 @@ def ending(text: str | None) -> tuple:
     found = tokens(sentence)
     last = found[-1] if found else ""
     word = last.lower() if last and _WORD.search(last) else None
-    if closed and last == "." and (m := _SHORT.search(body[-40:])):
+    if closed and last == "." and (m := _SHORT.search(body[-TAIL:])):
         word = m.group(1).lower() + "."
     opened = last_line.count("(") > last_line.count(")") or last_line.count("“") > last_line.count("”") + last_line.count("„")
     before = found[-2].lower() if word and len(found) > 1 and _WORD.search(found[-2]) else None
@@ -129,7 +135,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             uses.update(_TOKEN.findall(r["text"].lower())[:-1])
             text = r["text"]
             for i in [m.start() for m in _STOP.finditer(text)]:
-                parts = text[max(0, i - 80) : i].rsplit(None, 2)
+                back = 80
+                parts = text[max(0, i - back) : i].rsplit(None, 2)
+                while len(parts) < 3 and back < i:  # words longer than that
+                    back *= 4
+                    parts = text[max(0, i - back) : i].rsplit(None, 2)
                 if not parts or not parts[-1][-1].isalnum():
                     continue
                 last = parts[-1].lstrip(_OPENING).lower()
@@ -157,14 +167,23 @@ def _both(uses: Counter, closing: Counter) -> Iterator[tuple]:
 
 
 def endings(docs: DataFrame) -> DataFrame:
+    """How every text ends, and its bands; a text met again in a task has its bands once."""
+
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        seen: set[int] = set()
         for r in rows:
-            yield r["doc_id"], r["source"], r["doc_kind"], *ending(r["text"])
+            bands = None
+            if r["h"] not in seen:
+                if len(seen) >= REMEMBER:
+                    seen.clear()
+                seen.add(r["h"])
+                bands = block_bands(r["text"])
+            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *ending(r["text"]), bands
 
     return arrow_rows(
-        spread(docs.select("doc_id", "source", "doc_kind", "text")),
+        spread(docs.select("doc_id", "source", "doc_kind", F.xxhash64("text").alias("h"), "text")),
         run,
-        "doc_id long, source string, doc_kind string, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean",
+        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<struct<band:long,tail:int>>",
     )
 
 
@@ -180,7 +199,7 @@ def limits(ends: DataFrame, unit: str) -> DataFrame:
     mean = per.groupBy(F.col("source").alias("limit_source")).agg(F.avg("held").alias("mean_held"))
     spike = (F.col("held") >= SPIKE * F.col("mean_held")) & (F.col("open_held") * 2 >= F.col("held"))
     small = (F.col("open_held") == F.col("held")) & (F.col("held") >= 2.5 * F.col("mean_held"))
-    return per.join(mean, F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
+    return per.join(mean.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
 
 
 @lru_cache(200_000)
@@ -194,8 +213,8 @@ _SEEDS = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "litt
 _PLAIN = re.compile(r"[^\W_]+")
 
 
-def block_bands(text: str) -> list[tuple[int, int, int]]:
-    """(band, number of the block from the end, words after the block): two bands of two min-hash rows of each block.
+def block_bands(text: str) -> list[tuple[int, int]]:
+    """(band, words after the block): two bands of two min-hash rows of each block.
 
     A block ends after a word whose hash is 0 modulo ``BLOCK``, once it has ``LEAST`` words.
     """
@@ -220,21 +239,10 @@ def block_bands(text: str) -> list[tuple[int, int, int]]:
     for k, end in enumerate(ends):
         for r in range(0, HASHES, 2):
             value = (rows[r][k] * 0x9E3779B97F4A7C15 + rows[r + 1][k] + r) & ((1 << 64) - 1)
-            result.append((value - (1 << 63), len(ends) - k, n - end))
+            result.append((value - (1 << 63), n - end))
     return result
 
 
-def banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, band, from_end, tail): bands of all blocks, the block's number from the end, and the words after it."""
-
-    def run(rows: Iterator[dict]) -> Iterator[tuple]:
-        for r in rows:
-            for band, from_end, tail in block_bands(r["text"]):
-                yield r["doc_id"], band, from_end, tail
-
-    return arrow_rows(spread(docs.select("doc_id", "text")), run, "doc_id long, band long, from_end int, tail int", flush=50_000)
-
-
 def goes_on(text: str, other: str) -> bool:
     """Whether ``other`` is a near-copy of ``text`` that continues, within the sentence, where ``text`` ends."""
     body = text.rstrip()
@@ -250,7 +258,7 @@ def goes_on(text: str, other: str) -> bool:
     if sum(g in at for g in grams) < SIMILAR * len(grams):
         return False
     # the last shingle of the text (but for a word that may be cut) that the copy holds
-    for i in range(len(grams) - 1, max(-1, len(grams) - 40), -1):
+    for i in range(len(grams) - 1, -1, -1):
         if grams[i] in at:
             place = at[grams[i]][-1]
             break
@@ -304,33 +312,57 @@ def _bits(found: list[str]) -> tuple[int, list[int]]:
 
 
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(doc_id): open texts of which a verified near-copy goes on where they end."""
-    bands_of = cut(banded(docs))
-    asking = bands_of.where(F.col("from_end") <= ASKING).join(ends.where("open").select("doc_id"), "doc_id").select("doc_id", "band", "tail")
-    holding = bands_of.select("band", F.col("doc_id").alias("other"), F.col("tail").alias("other_tail"))
-    met = asking.join(holding, "band").where("other <> doc_id AND other_tail > tail").select("doc_id", "other").distinct()
+    """(h): open texts, by their hash, of which a verified near-copy goes on where they end."""
+    band = ends.where("bands IS NOT NULL").select("h", "open", F.explode("bands").alias("b")).select("h", "open", "b.band", "b.tail")
+    asking = band.where("open").select("h", "band", "tail")
+    holding = band.select("band", F.col("h").alias("other"), F.col("tail").alias("other_tail"))
+    large = cut(holding.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > TRIED))
+    most = large.agg(F.max("held")).first()[0] or 0
+    lot = (F.pmod(F.xxhash64("other", "band"), F.lit(1 << 30)) / float(1 << 30)) * F.col("held")  # the holder's place in a random order, about
 
     def sketches(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
-            yield r["doc_id"], *sketch(r["text"])
-
-    bits = cut(arrow_rows(spread(docs.select("doc_id", "text")), sketches, "doc_id long, n int, own array<long>, held array<long>"))
+            yield r["h"], *sketch(r["text"])
+
+    bits = cut(arrow_rows(spread(docs.select(F.xxhash64("text").alias("h"), "text")), sketches, "h long, n int, own array<long>, held array<long>").dropDuplicates(["h"]))
+    found = None
+    low, high = 0, TRIED
+    while True:
+        met = holding.join(large.hint("shuffle_merge"), "band", "left" if not low else "inner")
+        met = met.where((lot >= low) & (lot < high) if low else F.col("held").isNull() | (lot < high))
+        ask = asking if found is None else asking.join(found, "h", "left_anti")
+        tried = _continued(docs, ask.join(met.hint("shuffle_merge"), "band"), bits)
+        found = tried if found is None else cut(found.union(tried).distinct())
+        if high >= most:
+            return found
+        low, high = high, high * GROWTH
+
+
+def _continued(docs: DataFrame, met: DataFrame, bits: DataFrame) -> DataFrame:
+    """(h) of those ``met(h, other, tail, other_tail)`` that go on: sifted by bit maps, then compared."""
+    longer = F.col("other_tail") > F.col("tail") * SIMILAR  # what was left out of the copy may be made up for by what follows
+    met = met.where((F.col("other") != F.col("h")) & longer).select("h", "other").distinct()
     lacking = sum((F.bit_count(F.col("own")[i].bitwiseAND(F.bitwise_not(F.col("held")[i]))) for i in range(SKETCH)), F.lit(0))
-    wanted = (
-        met.join(bits.select(F.col("doc_id").alias("other"), "held"), "other")
-        .join(bits.select("doc_id", "n", "own"), "doc_id")
+    wanted = cut(
+        met.join(bits.select(F.col("h").alias("other"), "held").hint("shuffle_merge"), "other")
+        .join(bits.select("h", "n", "own").hint("shuffle_merge"), "h")
         .where(lacking <= F.col("n") * (1 - SIMILAR) + 1e-6)
-        .select("doc_id", "other")
+        .select("h", "other")
     )
-    text = docs.select("doc_id", "text")
-    both = wanted.join(text, "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
+    ids = cut(wanted.select("h").union(wanted.select("other")).distinct())
+    text = docs.select(F.xxhash64("text").alias("h"), "text")
+    text = (text.join(F.broadcast(ids), "h", "left_semi") if ids.count() <= SENT_IDS else text.join(ids.hint("shuffle_merge"), "h", "left_semi")).dropDuplicates(["h"])
+    text = cut(text)
+    both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        done: set[int] = set()
         for r in rows:
-            if goes_on(r["text"], r["other_text"]):
-                yield (r["doc_id"],)
+            if r["h"] not in done and goes_on(r["text"], r["other_text"]):
+                done.add(r["h"])
+                yield (r["h"],)
 
-    return arrow_rows(both.select("doc_id", "text", "other_text"), run, "doc_id long").distinct().withColumn("copied", F.lit(True))
+    return cut(arrow_rows(both.select("h", "text", "other_text"), run, "h long").distinct())
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -344,15 +376,16 @@ def judge(docs: DataFrame) -> DataFrame:
     by_chars, by_bytes = limits(ends, "chars"), limits(ends, "bytes")
     open_ends = (
         ends.where("open OR traced OR word LIKE '%.'")
-        .join(counts.withColumnRenamed("n", "uses"), "word", "left")
-        .join(counts.select(F.col("word").alias("pair"), F.col("closing").alias("pair_closing")), "pair", "left")
-        .join(marks, "closing_line", "left")
-        .join(shapes, "shape", "left")
-        .join(copies(docs, ends), "doc_id", "left")
+        .drop("bands")
+        .join(counts.withColumnRenamed("n", "uses").hint("shuffle_merge"), "word", "left")  # tables that grow with the corpus are never sent
+        .join(counts.select(F.col("word").alias("pair"), F.col("closing").alias("pair_closing")).hint("shuffle_merge"), "pair", "left")
+        .join(marks.hint("shuffle_merge"), "closing_line", "left")
+        .join(shapes.hint("shuffle_merge"), "shape", "left")
+        .join(copies(docs, ends).withColumn("copied", F.lit(True)).hint("shuffle_merge"), "h", "left")
         .crossJoin(total)
-        .join(by_chars, F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("chars") == F.col("limit_chars")), "left")
+        .join(by_chars.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("chars") == F.col("limit_chars")), "left")
         .drop("limit_source")
-        .join(by_bytes, F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("bytes") == F.col("limit_bytes")), "left")
+        .join(by_bytes.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("bytes") == F.col("limit_bytes")), "left")
     )
     uses = F.coalesce("uses", F.lit(0))
     closing = F.greatest((F.coalesce("closing", F.lit(0)) + 0.1) / (uses + 2.0), F.when(F.col("pair_closing") >= 2, 1.0))
