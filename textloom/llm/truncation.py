@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -243,40 +243,49 @@ def block_bands(text: str) -> list[tuple[int, int]]:
     return result
 
 
+def prepared(text: str) -> tuple[str, int]:
+    """(the words of a text in a line, how many of them stand before a trace of a cut)."""
+    found = words(text)
+    body = text.rstrip()
+    m = _TRACE.search(body)
+    return " ".join(found), len(words(body[: m.start()])) if m else len(found)
+
+
 def goes_on(text: str, other: str) -> bool:
     """Whether ``other`` is a near-copy of ``text`` that continues, within the sentence, where ``text`` ends."""
-    body = text.rstrip()
-    if m := _TRACE.search(body):
-        body = body[: m.start()].rstrip()
-    a, b = words(body), words(other)
-    if len(a) < SHINGLE + 1 or len(b) < SHINGLE:
-        return False
-    at = defaultdict(list)
-    for i in range(len(b) - SHINGLE + 1):
-        at[tuple(b[i : i + SHINGLE])].append(i)
-    grams = [tuple(a[i : i + SHINGLE]) for i in range(len(a) - SHINGLE + 1)]
-    if sum(g in at for g in grams) < SIMILAR * len(grams):
+    return _goes_on(*prepared(text), prepared(other)[0], other)
+
+
+def _goes_on(line: str, own: int, other_line: str, other: str) -> bool:
+    a = line.split()[:own]
+    if len(a) <= SHINGLE:
         return False
-    # the last shingle of the text (but for a word that may be cut) that the copy holds
-    for i in range(len(grams) - 1, -1, -1):
-        if grams[i] in at:
-            place = at[grams[i]][-1]
+    # the last shingle of the text that the copy holds, at its last place there
+    b = f" {other_line} "
+    for i in range(len(a) - SHINGLE, -1, -1):
+        gram = f" {' '.join(a[i : i + SHINGLE])} "
+        at = b.rfind(gram)
+        if at >= 0:
             break
     else:
         return False
     rest_a = a[i + SHINGLE :]
-    rest_b = b[place + SHINGLE : place + SHINGLE + len(rest_a) + 8]
+    rest_b = b[at + len(gram) :].split(None, len(rest_a) + 8)[: len(rest_a) + 8]
+    if not rest_b:
+        return False
     blocks = SequenceMatcher(None, rest_a, rest_b, False).get_matching_blocks() if rest_a else []
     done_a = max((m.a + m.size for m in blocks if m.size), default=0)
     done_b = max((m.b + m.size for m in blocks if m.size), default=0)
-    if done_a == len(rest_a) - 1 and done_b < len(rest_b) and rest_b[done_b].startswith(rest_a[-1]) and rest_b[done_b] != rest_a[-1]:
-        return True  # the copy completes the word
-    if done_a < len(rest_a):
+    completes = done_a == len(rest_a) - 1 and done_b < len(rest_b) and rest_b[done_b].startswith(rest_a[-1]) and rest_b[done_b] != rest_a[-1]
+    if not completes and (done_a < len(rest_a) or done_b >= len(rest_b)):
         return False
-    index = place + SHINGLE + done_b  # the copy's words after the text's last
-    if index >= len(b):
+    held = other_line.split()
+    held = {tuple(held[k : k + SHINGLE]) for k in range(len(held) - SHINGLE + 1)}
+    grams = [tuple(a[k : k + SHINGLE]) for k in range(len(a) - SHINGLE + 1)]
+    if sum(g in held for g in grams) < SIMILAR * len(grams):
         return False
-    return _continues(other, index)
+    # a completed word, or the copy's words after the text's last
+    return completes or _continues(other, b[:at].count(" ") + SHINGLE + done_b)
 
 
 def _continues(text: str, index: int) -> bool:
@@ -291,24 +300,26 @@ def _continues(text: str, index: int) -> bool:
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
-def sketch(text: str) -> tuple[int, list[int], list[int]]:
-    """(shingles up to a trace, bit map of these, bit map of all): every shingle sets one bit.
+def sketch(text: str) -> tuple[int, list[int], list[int], int, int]:
+    """(shingles up to a trace, bit map of these, bit map of all, the last of either): every shingle sets one bit.
 
-    A bit of a text that another lacks is a shingle that it lacks, so no pair that ``goes_on`` takes is ruled out.
+    A bit of a text that another lacks is a shingle that it lacks, and a copy that ends with the same shingle doesn't go
+    on, so no pair that ``goes_on`` takes is ruled out.
     """
-    m = _TRACE.search(text.rstrip())
-    held = _bits(words(text))
-    own = _bits(words(text.rstrip()[: m.start()])) if m else held
-    return own[0], own[1], held[1]
+    line, own = prepared(text)
+    found = line.split()
+    held = _bits(found)
+    mine = _bits(found[:own]) if own < len(found) else held
+    return mine[0], mine[1], held[1], mine[2], held[2]
 
 
-def _bits(found: list[str]) -> tuple[int, list[int]]:
+def _bits(found: list[str]) -> tuple[int, list[int], int]:
     n = max(0, len(found) - SHINGLE + 1)
     w = np.array([_hash(x) for x in found], np.uint64)
-    h = sum((w[k : n + k] * _SEEDS[HASHES + k] for k in range(SHINGLE)), np.zeros(n, np.uint64)) >> np.uint64(40)
+    h = sum((w[k : n + k] * _SEEDS[HASHES + k] for k in range(SHINGLE)), np.zeros(n, np.uint64))
     flags = np.zeros(64 * SKETCH, bool)
-    flags[h % np.uint64(64 * SKETCH)] = True
-    return n, np.packbits(flags).view(np.int64).tolist()
+    flags[(h >> np.uint64(40)) % np.uint64(64 * SKETCH)] = True
+    return n, np.packbits(flags).view(np.int64).tolist(), int(h[-1:].view(np.int64).sum())
 
 
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -324,7 +335,7 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
         for r in rows:
             yield r["h"], *sketch(r["text"])
 
-    bits = cut(arrow_rows(spread(docs.select(F.xxhash64("text").alias("h"), "text")), sketches, "h long, n int, own array<long>, held array<long>").dropDuplicates(["h"]))
+    bits = cut(arrow_rows(spread(docs.select(F.xxhash64("text").alias("h"), "text")), sketches, "h long, n int, own array<long>, held array<long>, mine long, last long").dropDuplicates(["h"]))
     found = None
     low, high = 0, TRIED
     while True:
@@ -344,25 +355,30 @@ def _continued(docs: DataFrame, met: DataFrame, bits: DataFrame) -> DataFrame:
     met = met.where((F.col("other") != F.col("h")) & longer).select("h", "other").distinct()
     lacking = sum((F.bit_count(F.col("own")[i].bitwiseAND(F.bitwise_not(F.col("held")[i]))) for i in range(SKETCH)), F.lit(0))
     wanted = cut(
-        met.join(bits.select(F.col("h").alias("other"), "held").hint("shuffle_merge"), "other")
-        .join(bits.select("h", "n", "own").hint("shuffle_merge"), "h")
-        .where(lacking <= F.col("n") * (1 - SIMILAR) + 1e-6)
+        met.join(bits.select(F.col("h").alias("other"), "held", "last").hint("shuffle_merge"), "other")
+        .join(bits.select("h", "n", "own", "mine").hint("shuffle_merge"), "h")
+        .where((F.col("n") > 1) & (F.col("mine") != F.col("last")) & (lacking <= F.col("n") * (1 - SIMILAR) + 1e-6))
         .select("h", "other")
     )
     ids = cut(wanted.select("h").union(wanted.select("other")).distinct())
     text = docs.select(F.xxhash64("text").alias("h"), "text")
     text = (text.join(F.broadcast(ids), "h", "left_semi") if ids.count() <= SENT_IDS else text.join(ids.hint("shuffle_merge"), "h", "left_semi")).dropDuplicates(["h"])
-    text = cut(text)
-    both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
+
+    def lines(rows: Iterator[dict]) -> Iterator[tuple]:
+        for r in rows:
+            yield r["h"], r["text"], *prepared(r["text"])
+
+    told = cut(arrow_rows(text, lines, "h long, text string, line string, own int"))
+    both = wanted.join(told.select("h", "line", "own"), "h").join(told.select(F.col("h").alias("other"), F.col("line").alias("other_line"), "text"), "other")
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         done: set[int] = set()
         for r in rows:
-            if r["h"] not in done and goes_on(r["text"], r["other_text"]):
+            if r["h"] not in done and _goes_on(r["line"], r["own"], r["other_line"], r["text"]):
                 done.add(r["h"])
                 yield (r["h"],)
 
-    return cut(arrow_rows(both.select("h", "text", "other_text"), run, "h long").distinct())
+    return cut(arrow_rows(both.select("h", "line", "own", "other_line", "text"), run, "h long").distinct())
 
 
 def judge(docs: DataFrame) -> DataFrame:
