@@ -70,9 +70,8 @@ def test_every_holder_of_a_band_is_compared(spark):
     assert 1 in found and 2 not in found and all(T.block_bands(t) for t in (short, verse))
 
 
-def test_rounds_compare_all_holders_of_a_large_band(spark, monkeypatch):
-    monkeypatch.setattr(T, "TRIED", 2)
-    monkeypatch.setattr(T, "GROWTH", 3)
+def test_large_groups_and_the_joined_way(spark, monkeypatch):
+    monkeypatch.setattr(T, "SENT_IDS", 0)
     r = random.Random(9)
     verse = "\n".join(sentence(r)[:-1] for _ in range(6))
     rows = [(i, verse, "a", "verse", "x") for i in range(5)]
@@ -83,14 +82,6 @@ def test_rounds_compare_all_holders_of_a_large_band(spark, monkeypatch):
     assert {0, 1, 2, 3, 4} <= found and 200 not in found
 
 
-def test_sketch_rules_out_no_copy():
-    r = random.Random(6)
-    t = " ".join(sentence(r) for _ in range(40))
-    n, own, *_ = T.sketch(t[: len(t) // 2] + " [truncated]")
-    lacking = sum((a & ~b).bit_count() if a & ~b >= 0 else ((a & ~b) + (1 << 64)).bit_count() for a, b in zip(own, T.sketch(t.upper() + " more")[2]))
-    assert lacking <= 5 and n > 100
-
-
 def test_bands_meet_for_copies():
     r = random.Random(4)
     t = " ".join(sentence(r) for _ in range(30))

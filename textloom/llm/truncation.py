@@ -1,11 +1,10 @@
 """Problem 8: text cut off by field limits or broken transfers.
 
 Method. (1) Near-copies: every text is cut into blocks at content-defined places, the five-word shingles of each block
-are min-hashed, and blocks meet in bands. A text that ends open is compared with every holder of a band of its blocks
-that can go on longer: bit maps of the shingles rule out those that can't hold 0.8 of its own shingles, the others are
-verified, aligned from the shared block to its end, and it is flagged if one goes on in the same sentence. Equal texts are
-one text in this search. In a band of many holders a random ``TRIED`` are compared first; texts that none of them
-continues meet ``GROWTH`` times as many in the next round, until all holders have been compared.
+are min-hashed, and blocks meet in bands. The end of a text that ends open, its last ``CLOSE`` words, is looked for in every
+holder of one of its bands that can go on longer, once for all texts with that end; a copy that holds none of its
+shingles doesn't tell where the text ends. Where one is found that goes on in the same sentence, the two texts are
+aligned and the copy is verified at 0.8 of the text's shingles. Equal texts are one text in this search.
 (2) Texts without such a copy are scored by closing-word terminality: how often the last word closes a sentence
 anywhere in the corpus, whether it is a word of the corpus at all, whether the closing line has a shape that closes
 texts as a rule (signatures, shelf marks, lists of sigla, end marks), whether the source cuts at this length, and
@@ -37,11 +36,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BLOCK = 16  # mean words that a block goes on after its least
 LEAST = 5  # words of a block
-TRIED = 32  # holders of a band that are compared in the first round
-GROWTH = 16
+CLOSE = 12  # words at the end of a text that are looked for in its copies
 SENT_IDS = 200_000  # texts that are picked out of the table without exchanging it; more are joined
 REMEMBER = 200_000  # texts of a task that are known to have been seen
-SKETCH = 8  # 64-bit parts of a text's bit map of shingles
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
 TAIL = 400  # characters in which a trace, closing marks or an abbreviation at the end are looked for
@@ -167,26 +164,34 @@ def _both(uses: Counter, closing: Counter) -> Iterator[tuple]:
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """How every text ends, and its bands; a text met again in a task has its bands once."""
+    """How every text ends, the last words of open ones, and its bands; a text met again in a task has its bands once."""
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         seen: set[int] = set()
         for r in rows:
-            bands = None
+            bands = close = None
+            end = ending(r["text"])
             if r["h"] not in seen:
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(r["h"])
                 bands = block_bands(r["text"])
-            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *ending(r["text"]), bands
+                close = closing_words(r["text"]) if end[2] else None
+            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *end, bands, close
 
     return arrow_rows(
         spread(docs.select("doc_id", "source", "doc_kind", F.xxhash64("text").alias("h"), "text")),
         run,
-        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<struct<band:long,tail:int>>",
+        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<struct<band:long,tail:int>>, close string",
     )
 
 
+def closing_words(text: str) -> str:
+    """The last words before a trace of a cut, in a line."""
+    line, own = prepared(text)
+    return " ".join(line.split()[:own][-CLOSE:])
+
+
 def limits(ends: DataFrame, unit: str) -> DataFrame:
     """(source, unit, cuts): lengths at which a source's open texts pile up.
 
@@ -199,7 +204,7 @@ def limits(ends: DataFrame, unit: str) -> DataFrame:
     mean = per.groupBy(F.col("source").alias("limit_source")).agg(F.avg("held").alias("mean_held"))
     spike = (F.col("held") >= SPIKE * F.col("mean_held")) & (F.col("open_held") * 2 >= F.col("held"))
     small = (F.col("open_held") == F.col("held")) & (F.col("held") >= 2.5 * F.col("mean_held"))
-    return per.join(mean.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
+    return per.join(mean, F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
 
 
 @lru_cache(200_000)
@@ -258,34 +263,42 @@ def goes_on(text: str, other: str) -> bool:
 
 def _goes_on(line: str, own: int, other_line: str, other: str) -> bool:
     a = line.split()[:own]
-    if len(a) <= SHINGLE:
+    found = ahead(a[-CLOSE:], other_line) if len(a) > SHINGLE else None
+    if found is None:
         return False
-    # the last shingle of the text that the copy holds, at its last place there
+    held = other_line.split()
+    held = {tuple(held[k : k + SHINGLE]) for k in range(len(held) - SHINGLE + 1)}
+    grams = [tuple(a[k : k + SHINGLE]) for k in range(len(a) - SHINGLE + 1)]
+    if sum(g in held for g in grams) < SIMILAR * len(grams):
+        return False
+    completes, index = found
+    return completes or _continues(other, index)
+
+
+def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
+    """What follows in a copy where a text ends with the words ``close``: whether it completes the last word, and its number there.
+
+    None if the copy ends there too, or holds no shingle of these words, or reads otherwise after the last one it holds.
+    """
     b = f" {other_line} "
-    for i in range(len(a) - SHINGLE, -1, -1):
-        gram = f" {' '.join(a[i : i + SHINGLE])} "
+    for i in range(len(close) - SHINGLE, -1, -1):
+        gram = f" {' '.join(close[i : i + SHINGLE])} "
         at = b.rfind(gram)
         if at >= 0:
             break
     else:
-        return False
-    rest_a = a[i + SHINGLE :]
+        return None
+    rest_a = close[i + SHINGLE :]
     rest_b = b[at + len(gram) :].split(None, len(rest_a) + 8)[: len(rest_a) + 8]
     if not rest_b:
-        return False
+        return None
     blocks = SequenceMatcher(None, rest_a, rest_b, False).get_matching_blocks() if rest_a else []
     done_a = max((m.a + m.size for m in blocks if m.size), default=0)
     done_b = max((m.b + m.size for m in blocks if m.size), default=0)
     completes = done_a == len(rest_a) - 1 and done_b < len(rest_b) and rest_b[done_b].startswith(rest_a[-1]) and rest_b[done_b] != rest_a[-1]
     if not completes and (done_a < len(rest_a) or done_b >= len(rest_b)):
-        return False
-    held = other_line.split()
-    held = {tuple(held[k : k + SHINGLE]) for k in range(len(held) - SHINGLE + 1)}
-    grams = [tuple(a[k : k + SHINGLE]) for k in range(len(a) - SHINGLE + 1)]
-    if sum(g in held for g in grams) < SIMILAR * len(grams):
-        return False
-    # a completed word, or the copy's words after the text's last
-    return completes or _continues(other, b[:at].count(" ") + SHINGLE + done_b)
+        return None
+    return completes, b[:at].count(" ") + SHINGLE + done_b
 
 
 def _continues(text: str, index: int) -> bool:
@@ -300,85 +313,43 @@ def _continues(text: str, index: int) -> bool:
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
-def sketch(text: str) -> tuple[int, list[int], list[int], int, int]:
-    """(shingles up to a trace, bit map of these, bit map of all, the last of either): every shingle sets one bit.
-
-    A bit of a text that another lacks is a shingle that it lacks, and a copy that ends with the same shingle doesn't go
-    on, so no pair that ``goes_on`` takes is ruled out.
-    """
-    line, own = prepared(text)
-    found = line.split()
-    held = _bits(found)
-    mine = _bits(found[:own]) if own < len(found) else held
-    return mine[0], mine[1], held[1], mine[2], held[2]
-
-
-def _bits(found: list[str]) -> tuple[int, list[int], int]:
-    n = max(0, len(found) - SHINGLE + 1)
-    w = np.array([_hash(x) for x in found], np.uint64)
-    h = sum((w[k : n + k] * _SEEDS[HASHES + k] for k in range(SHINGLE)), np.zeros(n, np.uint64))
-    flags = np.zeros(64 * SKETCH, bool)
-    flags[(h >> np.uint64(40)) % np.uint64(64 * SKETCH)] = True
-    return n, np.packbits(flags).view(np.int64).tolist(), int(h[-1:].view(np.int64).sum())
-
-
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """(h): open texts, by their hash, of which a verified near-copy goes on where they end."""
-    band = ends.where("bands IS NOT NULL").select("h", "open", F.explode("bands").alias("b")).select("h", "open", "b.band", "b.tail")
-    asking = band.where("open").select("h", "band", "tail")
+    band = ends.where("bands IS NOT NULL").select("h", "close", F.explode("bands").alias("b")).select("h", "close", "b.band", "b.tail")
+    asking = band.where("close IS NOT NULL").groupBy("band", "close").agg(F.min("tail").alias("tail"))
     holding = band.select("band", F.col("h").alias("other"), F.col("tail").alias("other_tail"))
-    large = cut(holding.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > TRIED))
-    most = large.agg(F.max("held")).first()[0] or 0
-    lot = (F.pmod(F.xxhash64("other", "band"), F.lit(1 << 30)) / float(1 << 30)) * F.col("held")  # the holder's place in a random order, about
-
-    def sketches(rows: Iterator[dict]) -> Iterator[tuple]:
-        for r in rows:
-            yield r["h"], *sketch(r["text"])
-
-    bits = cut(arrow_rows(spread(docs.select(F.xxhash64("text").alias("h"), "text")), sketches, "h long, n int, own array<long>, held array<long>, mine long, last long").dropDuplicates(["h"]))
-    found = None
-    low, high = 0, TRIED
-    while True:
-        met = holding.join(large.hint("shuffle_merge"), "band", "left" if not low else "inner")
-        met = met.where((lot >= low) & (lot < high) if low else F.col("held").isNull() | (lot < high))
-        ask = asking if found is None else asking.join(found, "h", "left_anti")
-        tried = _continued(docs, ask.join(met.hint("shuffle_merge"), "band"), bits)
-        found = tried if found is None else cut(found.union(tried).distinct())
-        if high >= most:
-            return found
-        low, high = high, high * GROWTH
-
-
-def _continued(docs: DataFrame, met: DataFrame, bits: DataFrame) -> DataFrame:
-    """(h) of those ``met(h, other, tail, other_tail)`` that go on: sifted by bit maps, then compared."""
     longer = F.col("other_tail") > F.col("tail") * SIMILAR  # what was left out of the copy may be made up for by what follows
-    met = met.where((F.col("other") != F.col("h")) & longer).select("h", "other").distinct()
-    lacking = sum((F.bit_count(F.col("own")[i].bitwiseAND(F.bitwise_not(F.col("held")[i]))) for i in range(SKETCH)), F.lit(0))
-    wanted = cut(
-        met.join(bits.select(F.col("h").alias("other"), "held", "last").hint("shuffle_merge"), "other")
-        .join(bits.select("h", "n", "own", "mine").hint("shuffle_merge"), "h")
-        .where((F.col("n") > 1) & (F.col("mine") != F.col("last")) & (lacking <= F.col("n") * (1 - SIMILAR) + 1e-6))
-        .select("h", "other")
-    )
-    ids = cut(wanted.select("h").union(wanted.select("other")).distinct())
-    text = docs.select(F.xxhash64("text").alias("h"), "text")
-    text = (text.join(F.broadcast(ids), "h", "left_semi") if ids.count() <= SENT_IDS else text.join(ids.hint("shuffle_merge"), "h", "left_semi")).dropDuplicates(["h"])
+    met = cut(asking.join(holding, "band").where(longer).groupBy("other").agg(F.collect_set("close").alias("closes")))
 
-    def lines(rows: Iterator[dict]) -> Iterator[tuple]:
+    def look(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
-            yield r["h"], r["text"], *prepared(r["text"])
+            line = prepared(r["text"])[0]
+            for close in r["closes"]:
+                if ahead(close.split(), line) is not None:
+                    yield close, r["h"]
 
-    told = cut(arrow_rows(text, lines, "h long, text string, line string, own int"))
-    both = wanted.join(told.select("h", "line", "own"), "h").join(told.select(F.col("h").alias("other"), F.col("line").alias("other_line"), "text"), "other")
+    held = _picked(docs, met.select(F.col("other").alias("h"))).join(met.withColumnRenamed("other", "h"), "h")
+    inside = cut(arrow_rows(held.select("h", "text", "closes"), look, "close string, other long"))
+    wanted = cut(ends.where("close IS NOT NULL").select("h", "close").distinct().join(inside, "close").where("h <> other").select("h", "other").distinct())
+    text = _picked(docs, wanted.select("h").union(wanted.select("other")).distinct())
+    both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         done: set[int] = set()
         for r in rows:
-            if r["h"] not in done and _goes_on(r["line"], r["own"], r["other_line"], r["text"]):
+            if r["h"] not in done and goes_on(r["text"], r["other_text"]):
                 done.add(r["h"])
                 yield (r["h"],)
 
-    return cut(arrow_rows(both.select("h", "line", "own", "other_line", "text"), run, "h long").distinct())
+    return arrow_rows(both.select("h", "text", "other_text"), run, "h long").distinct()
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, text) of the texts ``ids(h)``, each once; up to ``SENT_IDS`` are told to every task, more are joined."""
+    ids = cut(ids)
+    text = docs.select(F.xxhash64("text").alias("h"), "text")
+    found = text.join(F.broadcast(ids), "h", "left_semi") if ids.count() <= SENT_IDS else text.join(ids.hint("shuffle_merge"), "h", "left_semi")
+    return cut(found.dropDuplicates(["h"]))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -389,19 +360,22 @@ def judge(docs: DataFrame) -> DataFrame:
     counts = cut(word_counts(docs))  # joined by the last word and by the last two
     shapes = ends.where("open AND NOT traced").groupBy("shape").agg(F.count(F.lit(1)).alias("shape_n"))
     marks = ends.where("open AND closing_line IS NOT NULL").groupBy("closing_line").agg(F.count(F.lit(1)).alias("mark_n"), F.approx_count_distinct("chars").alias("mark_lengths"))
+    least = F.greatest(F.lit(3.0), F.col("texts") * MARK_SHARE)  # at most 1 / MARK_SHARE shapes or lines are as frequent
+    shapes = F.broadcast(shapes.crossJoin(total).where(F.col("shape_n") >= least).drop("texts"))
+    marks = F.broadcast(marks.crossJoin(total).where(F.least("mark_n", "mark_lengths") >= least).drop("texts"))
     by_chars, by_bytes = limits(ends, "chars"), limits(ends, "bytes")
     open_ends = (
         ends.where("open OR traced OR word LIKE '%.'")
-        .drop("bands")
+        .drop("bands", "close")
         .join(counts.withColumnRenamed("n", "uses").hint("shuffle_merge"), "word", "left")  # tables that grow with the corpus are never sent
         .join(counts.select(F.col("word").alias("pair"), F.col("closing").alias("pair_closing")).hint("shuffle_merge"), "pair", "left")
-        .join(marks.hint("shuffle_merge"), "closing_line", "left")
-        .join(shapes.hint("shuffle_merge"), "shape", "left")
-        .join(copies(docs, ends).withColumn("copied", F.lit(True)).hint("shuffle_merge"), "h", "left")
+        .join(marks, "closing_line", "left")
+        .join(shapes, "shape", "left")
+        .join(copies(docs, ends).withColumn("copied", F.lit(True)), "h", "left")
         .crossJoin(total)
-        .join(by_chars.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("chars") == F.col("limit_chars")), "left")
+        .join(by_chars, F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("chars") == F.col("limit_chars")), "left")
         .drop("limit_source")
-        .join(by_bytes.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("bytes") == F.col("limit_bytes")), "left")
+        .join(by_bytes, F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("bytes") == F.col("limit_bytes")), "left")
     )
     uses = F.coalesce("uses", F.lit(0))
     closing = F.greatest((F.coalesce("closing", F.lit(0)) + 0.1) / (uses + 2.0), F.when(F.col("pair_closing") >= 2, 1.0))
