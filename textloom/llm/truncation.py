@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
@@ -188,8 +190,16 @@ def endings(docs: DataFrame) -> DataFrame:
 
 def closing_words(text: str) -> str:
     """The last words before a trace of a cut, in a line."""
-    line, own = prepared(text)
-    return " ".join(line.split()[:own][-CLOSE:])
+    body = text.rstrip()
+    m = _TRACE.search(body[-TAIL:])
+    if m:
+        body = body[: len(body) - len(m.group())]
+    back = 150
+    while True:
+        found = words(body[-back:])
+        if len(found) > CLOSE or back >= len(body):
+            return " ".join(found[-CLOSE:])
+        back *= 4
 
 
 def limits(ends: DataFrame, unit: str) -> DataFrame:
@@ -303,13 +313,11 @@ def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
 
 def _continues(text: str, index: int) -> bool:
     """Whether the word number ``index`` of ``text`` goes on with the sentence of the word before it."""
-    import unicodedata
-
-    plain = regex.sub(r"\p{Mn}+", "", unicodedata.normalize("NFD", text))
-    spans = [m.span() for m in regex.finditer(r"[\p{L}\p{Nd}]+", plain)]
-    if len(spans) <= index:
+    plain = text if text.isascii() else regex.sub(r"\p{Mn}+", "", unicodedata.normalize("NFD", text))
+    found = list(islice(regex.finditer(r"[\p{L}\p{Nd}]+", plain), max(0, index - 1), index + 1))
+    if len(found) < 2:
         return False
-    between = plain[spans[index - 1][1] : spans[index][0]]
+    between = plain[found[0].end() : found[1].start()]
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
@@ -325,13 +333,16 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
         for r in rows:
             line = prepared(r["text"])[0]
             for close in r["closes"]:
-                if ahead(close.split(), line) is not None:
+                if line.endswith(close):  # ends there too
+                    continue
+                found = ahead(close.split(), line)
+                if found is not None and (found[0] or _continues(r["text"], found[1])):
                     yield close, r["h"]
 
     held = _picked(docs, met.select(F.col("other").alias("h"))).join(met.withColumnRenamed("other", "h"), "h")
     inside = cut(arrow_rows(held.select("h", "text", "closes"), look, "close string, other long"))
     wanted = cut(ends.where("close IS NOT NULL").select("h", "close").distinct().join(inside, "close").where("h <> other").select("h", "other").distinct())
-    text = _picked(docs, wanted.select("h").union(wanted.select("other")).distinct())
+    text = cut(_picked(docs, wanted.select("h").union(wanted.select("other")).distinct()))
     both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -349,7 +360,7 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = cut(ids)
     text = docs.select(F.xxhash64("text").alias("h"), "text")
     found = text.join(F.broadcast(ids), "h", "left_semi") if ids.count() <= SENT_IDS else text.join(ids.hint("shuffle_merge"), "h", "left_semi")
-    return cut(found.dropDuplicates(["h"]))
+    return found.dropDuplicates(["h"])
 
 
 def judge(docs: DataFrame) -> DataFrame:
