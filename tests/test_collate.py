@@ -8,18 +8,18 @@ from textloom.operators import collate, graph, render
 from textloom.sources import witnesses as sources
 
 CASES = [
-    ("the cat sat", "the black cat sat", Config(), [("insertion", "", "black")]),
-    ("she was very happy indeed", "she was quite content indeed", Config(), [("substitution", "very happy", "quite content")]),
-    ("one two three four", "one four", Config(), [("deletion", "two three", "")]),
-    ("the End.", "the end", Config(), []),
-    ("the End of days", "the end of days", Config(normalizer=DIPLOMATIC), [("substitution", "End", "end")]),
-    ("the End of days", "the end of days", Config(record_accidentals=True), [("variantSpelling", "End", "end")]),
-    ("the dun white sockets", "the dun-white sockets", Config(), []),
+    ("a gull cried", "a white gull cried", Config(), [("insertion", "", "white")]),
+    ("he felt rather cold today", "he felt almost frozen today", Config(), [("substitution", "rather cold", "almost frozen")]),
+    ("ash elm fir oak", "ash oak", Config(), [("deletion", "elm fir", "")]),
+    ("a Harbour!", "a harbour", Config(), []),
+    ("that Hour of rest", "that hour of rest", Config(normalizer=DIPLOMATIC), [("substitution", "Hour", "hour")]),
+    ("that Hour of rest", "that hour of rest", Config(record_accidentals=True), [("variantSpelling", "Hour", "hour")]),
+    ("a pale green door", "a pale-green door", Config(), []),
     ("the grey harbour", "the gray harbor", Config(normalizer=GB_US), []),
-    ("she opened the door at last", "at last she opened the door", Config(), [("transposition", "at last", "at last")]),
-    ("the well-known author", "the author is well known", Config(), [("insertion", "", "is"), ("transposition", "author", "author")]),
-    ("she slept indeed, but woke", "she slept indeed but woke", Config(record_punctuation=True), [("variantSpelling", ",", "∅")]),
-    ("it was in vain: it was dark", "it was in vain; it was dark", Config(record_punctuation=True), [("variantSpelling", ":", ";")]),
+    ("they reached our island by dusk", "by dusk they reached our island", Config(), [("transposition", "by dusk", "by dusk")]),
+    ("her sea-worn captain", "her captain seemed sea worn", Config(), [("insertion", "", "seemed"), ("transposition", "captain", "captain")]),
+    ("he sailed early, yet late", "he sailed early yet late", Config(record_punctuation=True), [("variantSpelling", ",", "∅")]),
+    ("no wind came: sails hung", "no wind came; sails hung", Config(record_punctuation=True), [("variantSpelling", ":", ";")]),
     ("le bon été", "le bon e\u0301te\u0301", Config(normalizer=DIPLOMATIC), []),
     ("", "all of it", Config(), [("insertion", "", "all of it")]),
     ("all of it", None, Config(), [("deletion", "all of it", "")]),
@@ -37,7 +37,7 @@ def test_pairs(spark, config):
 
 
 def test_places_confidence_and_anchor(spark):
-    w = witnesses(spark, "the old grey wolf ran swiftly home", "the young wolf ran very swiftly back home")
+    w = witnesses(spark, "her own dark boat came slowly near", "her new boat came quite slowly over near")
     v = collate.variations(w).orderBy("v_no").collect()
     assert [(x.variation_type, x.insertion_anchor) for x in v] == [("substitution", None), ("insertion", 4), ("insertion", 5)]
     assert v[0].base_location.cite == "p.1 · line 1 · words 2–3" and (v[0].base_location.char_from, v[0].base_location.char_to) == (4, 12)
@@ -45,15 +45,15 @@ def test_places_confidence_and_anchor(spark):
 
 
 def test_edit_inside_a_move_is_marked(spark):
-    a = "they were tired and the road had been long indeed. the lamps were lit along the quay by a friend."
-    b = "the lamps were lit along the quay by a friend. they were weary and the road had been long indeed."
+    a = "we felt ragged because our march from camp took days. some boys sang loudly beneath that tower near noon."
+    b = "some boys sang loudly beneath that tower near noon. we felt worn because our march from camp took days."
     v = collate.variations(witnesses(spark, a, b)).collect()
     assert sorted((x.variation_type, x.within_transposition) for x in v) == [("substitution", True), ("transposition", False)]
 
 
 def test_recurring_word_is_only_likely(spark):
-    v = collate.variations(witnesses(spark, "the author wrote well and the author was famous end", "the wrote well author and the author was famous end")).collect()
-    assert [(x.variation_type, x.base_reading, x.confidence) for x in v] == [("transposition", "author", "likely")]
+    v = collate.variations(witnesses(spark, "her captain steered north and her captain grew silent then", "her steered north captain and her captain grew silent then")).collect()
+    assert [(x.variation_type, x.base_reading, x.confidence) for x in v] == [("transposition", "captain", "likely")]
 
 
 def test_lexicon_pairs_translations(spark):
@@ -82,10 +82,10 @@ def test_tallies_keep_equal_pairs(spark):
 @pytest.fixture(scope="module")
 def merged(spark):
     texts = {
-        "shared": ["the colour of the sky", "the hue of the sky", "the hue of the sky"],
-        "added": ["alpha beta", "alpha inserted beta", "alpha beta"],
-        "peer": ["I saw rose", "I saw the red rose", "I saw a red rose"],
-        "moved": ["she opened the door at last", "at last she opened the door"],
+        "shared": ["the edge of that reef", "the rim of that reef", "the rim of that reef"],
+        "added": ["rope sail", "rope new sail", "rope sail"],
+        "peer": ["we met sailor", "we met that wet sailor", "we met one wet sailor"],
+        "moved": ["they reached our island by dusk", "by dusk they reached our island"],
     }
     w = spark.createDataFrame([(k, "ABC"[i], i, t) for k, ts in texts.items() for i, t in enumerate(ts)], sources.SCHEMA)
     return w, graph.base_anchored(w), graph.peer(w, Config(strategy=PEER_MSA))
@@ -97,16 +97,16 @@ def _variants(readings, work):
 
 def test_base_anchored_graph(merged):
     _, (readings, moves), _ = merged
-    assert _variants(readings, "shared") == [(1, None, {"colour": "A", "hue": "BC"})]
-    assert _variants(readings, "added") == [(-1, 0, {"inserted": "B", "∅": "AC"})]
+    assert _variants(readings, "shared") == [(1, None, {"edge": "A", "rim": "BC"})]
+    assert _variants(readings, "added") == [(-1, 0, {"new": "B", "∅": "AC"})]
     assert _variants(readings, "moved") == []
     assert [(m.src, m.dst, m.siglum, m.confidence) for m in moves.collect() if m.work_id == "moved"] == [(3, None, "B", "certain")]
 
 
 def test_peer_graph(merged):
     _, _, (readings, moves) = merged
-    assert _variants(readings, "shared") == [(1, None, {"colour": "A", "hue": "BC"})]
-    assert _variants(readings, "peer") == [(-1, 1, {"a": "C", "the": "B", "∅": "A"}), (-1, 1, {"red": "BC", "∅": "A"})]
+    assert _variants(readings, "shared") == [(1, None, {"edge": "A", "rim": "BC"})]
+    assert _variants(readings, "peer") == [(-1, 1, {"one": "C", "that": "B", "∅": "A"}), (-1, 1, {"wet": "BC", "∅": "A"})]
     assert [(m.siglum, m.confidence) for m in moves.collect() if m.work_id == "moved"] == [("B", "certain")]
 
 
@@ -114,10 +114,34 @@ def test_apparatus_and_synopsis(merged):
     w, (readings, _), _ = merged
     g = graph.project(readings)
     lines = {r.work_id: r.line for r in render.apparatus_text(render.apparatus(g, graph._base(w).select("work_id", "base"))).where("work_id <> 'peer'").collect()}
-    assert lines == {"shared": "1 colour] hue B C", "added": "0 ∅] inserted B"}
+    assert lines == {"shared": "1 edge] rim B C", "added": "0 ∅] new B"}
     order = w.groupBy("work_id").agg({"siglum": "collect_list"}).withColumnRenamed("collect_list(siglum)", "sigla").selectExpr("work_id", "array_sort(sigla) AS sigla")
     cells = [[c.reading for c in r.cells] for r in render.synopsis(g, order).where("work_id = 'added'").orderBy("node_no").collect()]
-    assert cells == [["alpha"] * 3, ["∅", "inserted", "∅"], ["beta"] * 3]
+    assert cells == [["rope"] * 3, ["∅", "new", "∅"], ["sail"] * 3]
+
+
+def test_works_dealt_over_tasks_give_the_same(spark):
+    texts = [f"the {w} ship came home at dusk" for w in "old new red tall slow lost grey lame".split()]
+    w = spark.createDataFrame([(k, f"S{i}", i if k == "large" else i % 3, t) for k, n in (("large", 8), ("ties", 5), ("small", 2), ("one", 1)) for i, t in enumerate(texts[:n])], sources.SCHEMA)
+    for against in (collate.PREVIOUS, collate.BASE):
+        whole, dealt = (sorted(map(repr, collate.variations(w, against=against, per_task=n).collect())) for n in (1000, 2))
+        assert whole == dealt and len(whole) == 7 + 4 + 1
+    nodes = lambda n: sorted(map(repr, graph.base_anchored(w, variation=collate.variations(w, against=collate.BASE, put=True, per_task=n))[0].collect()))
+    assert nodes(1000) == nodes(3)
+
+
+def test_pairs_of_a_long_order(spark, monkeypatch):
+    monkeypatch.setattr(collate, "STEP", 2)
+    w = spark.createDataFrame([("w", f"S{i:02}", i, "x") for i in (0, 1, 2, 5, 6, 11, 12, 13)] + [("v", "A", None, "x"), ("v", "B", 0, "x")], sources.SCHEMA)
+    found = sorted((r.work_id, r.base, r.compared) for r in collate.successive_pairs(w).collect())
+    assert found == [("v", "A", "B")] + [("w", f"S{a:02}", f"S{b:02}") for a, b in ((0, 1), (1, 2), (2, 5), (5, 6), (6, 11), (11, 12), (12, 13))]
+
+
+def test_large_lexicon_is_joined(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("mer", "mer"), ("sea", "mer")], "form string, pivot string")
+    w = witnesses(spark, "regarda mer", "regarda sea")
+    monkeypatch.setattr(collate, "FORMS", 1)
+    assert collate.variations(w, Config(), lexicon).collect() == []
 
 
 def test_empty_table(spark):

@@ -1,6 +1,7 @@
 """Alignment kernels against plain dynamic programming and fixed examples."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -39,6 +40,16 @@ def test_alignment_takes_the_textbook_path(a, b, scores):
     assert k.needleman_wunsch(a, b, scores) == plain(a, b, scores)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcd", max_size=30), st.text("abcd", max_size=30), st.integers(1, 200))
+def test_blocks_filled_again_give_the_same_path(a, b, cells):
+    held, k.LIMITS = k.LIMITS, replace(k.LIMITS, short_cells=0, held_cells=cells)
+    try:
+        assert k.needleman_wunsch(a, b) == plain(a, b)
+    finally:
+        k.LIMITS = held
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc", max_size=14), st.text("abc", max_size=14))
 def test_wide_band_is_exact(a, b):

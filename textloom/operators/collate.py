@@ -146,7 +146,7 @@ def variations(witness: DataFrame, config: Config = Config(), lexicon: DataFrame
                     at = pairing.comparable(y)
                     yield (*[r["work_id"], r["siglum"]], *[None] * 13, list(zip(at, [y.normalized[i] for i in at], [y.surface[i] for i in at])))
                 continue
-            known = sent.value if sent.value is not None else (before["pivots"] or {}) | (r["pivots"] or {})
+            known = sent.value if sent.value is not None else dict([*(before["pivots"] or ()), *(r["pivots"] or ())])
             flag = lambda name, own: bool(before[name] or r[name]) if by_row else own
             found = pairing.variations(x, y, config, known, flag("record_accidentals", config.record_accidentals), flag("record_punctuation", config.record_punctuation))
             for n, v in enumerate(found, 1):

@@ -58,7 +58,7 @@ def base_anchored(witness: DataFrame, config: Config = Config(), lexicon: DataFr
     base = _base(witness)
     rank = witness.select("work_id", "siglum", F.col("ordinal").alias("rank"))
     read = changes(variation).join(rank, ["work_id", "siglum"]).groupBy("work_id", "pos", "normalized").agg(F.min_by("surface", "rank").alias("surface"), F.array_sort(F.collect_set("siglum")).alias("sigla"))
-    at = read.groupBy("work_id", "pos").agg(F.collect_list(F.struct("normalized", "surface", "sigla")).alias("others"))
+    at = read.groupBy("work_id", "pos").agg(F.array_sort(F.collect_list(F.struct("normalized", "surface", "sigla"))).alias("others"))
     told = spine(variation).join(at, ["work_id", "pos"], "left").join(base, "work_id")
     unlike = F.filter("others", lambda o: o["normalized"] != F.col("normalized"))
     agree = F.array_except("ids", F.flatten(F.transform(unlike, lambda o: o["sigla"])))
@@ -255,9 +255,9 @@ def peer(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | Non
                 if consensus is not None:
                     yield from told(work, consensus)
                 work, consensus = r["work_id"], Consensus(r["siglum"], t, config, dict(sent.value or {}))
-                consensus.pivots |= r.get("pivots") or {}
+                consensus.pivots |= dict(r.get("pivots") or ())
             else:
-                consensus.pivots |= r.get("pivots") or {}
+                consensus.pivots |= dict(r.get("pivots") or ())
                 consensus.add(r["siglum"], t)
         if consensus is not None:
             yield from told(work, consensus)
