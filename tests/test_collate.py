@@ -1,10 +1,12 @@
 """Pairwise collation and graphs on small texts."""
 
+from collections import Counter
+
 import pytest
 
 from tests.helpers import witnesses
 from textloom.config import DIPLOMATIC, GB_US, PEER_MSA, Config
-from textloom.operators import collate, graph, render
+from textloom.operators import collate, graph, render, viewer
 from textloom.sources import witnesses as sources
 
 CASES = [
@@ -147,3 +149,15 @@ def test_large_lexicon_is_joined(spark, monkeypatch):
 def test_empty_table(spark):
     none = spark.createDataFrame([], sources.SCHEMA)
     assert collate.variations(none).collect() == [] and graph.variant_graph(none).collect() == []
+
+
+def test_graph_summary_counts_spine_variants_insertions_and_moves(merged):
+    nodes, moves = merged[1]
+    told = {r.work_id: tuple(r)[1:] for r in viewer.graph_counts(nodes, moves).collect()}
+    moved = Counter(r.work_id for r in moves.collect())
+    by_work = {}
+    for n in nodes.collect():
+        spine, variant, inserted = by_work.get(n.work_id, (0, 0, 0))
+        by_work[n.work_id] = spine + (n.base_position >= 0), variant + (len(n.readings) > 1), inserted + (n.base_position < 0)
+    assert told == {work: (*x, moved[work]) for work, x in by_work.items()}
+    assert sum(x[2] for x in told.values()) > 0 and all(x[0] > 0 for x in told.values())

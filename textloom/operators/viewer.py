@@ -30,7 +30,7 @@ def sizes(witness: DataFrame, normalizer: Normalizer = SUBSTANTIVE, pagination:
 
 def graph_counts(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     """(work_id, spine_length, variant_nodes, inserted_nodes, move_edges)."""
-    shape = nodes.groupBy("work_id").agg(F.count_if("base_position >= 0").alias("spine_length"), F.count_if(F.size("readings") > 1).alias("variant_nodes"), F.count_if("base_position < 0").alias("inserted_nodes"))
+    shape = nodes.groupBy("work_id").agg(F.count_if(F.col("base_position") >= 0).alias("spine_length"), F.count_if(F.size("readings") > 1).alias("variant_nodes"), F.count_if(F.col("base_position") < 0).alias("inserted_nodes"))
     return shape.join(moves.groupBy("work_id").agg(F.count(F.lit(1)).alias("move_edges")), "work_id", "left").na.fill(0, ["move_edges"])
 
 
