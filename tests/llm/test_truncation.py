@@ -92,3 +92,15 @@ def test_bands_meet_for_copies():
 
 def test_empty(spark):
     assert T.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_bands_of_one_text_end_early_and_numbers_stay(spark):
+    r = random.Random(12)
+    verse = "\n".join(sentence(r)[:-1] for _ in range(6))
+    alone = "Nine copper kettles whistled while tired sailors counted every broken lantern beside that frozen northern harbour gate"
+    rows = [(1, verse, "a", "verse", "x"), (2, verse, "b", "verse", "x"), (3, verse + " until the ships came home", "a", "verse", "x"), (4, alone, "a", "prose", "x"), (5, alone, "b", "prose", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    h = {x.h: x.doc_id for x in docs.selectExpr("doc_id", "xxhash64(text) AS h").where("doc_id NOT IN (2, 5)").collect()}
+    held = T.shared_bands(T.endings(docs)).collect()
+    assert {h[x.h] for x in held} == {1, 3} and {h[x.h] for x in held if x.asks} == {1, 3} and all(x.tail >= 0 for x in held)
+    assert {x.h for x in T.copies(docs, T.endings(docs)).collect()} == {k for k, v in h.items() if v == 1}

@@ -16,6 +16,7 @@ each report; a document or item given twice counts once; extra columns are dropp
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ SHORTEST = 6  # words of an item that is looked for whole
 BLOCK_CHARS = 4_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
+_ASCII_WORD = re.compile("[a-z0-9]+")
 _MARK = regex.compile(r"\p{Mn}+")
 
 
@@ -40,7 +42,9 @@ def words(text: str | None) -> list[str]:
     """Runs of letters or digits, without case and accents."""
     if not text:
         return []
-    return _WORD.findall(text.lower() if text.isascii() else _MARK.sub("", unicodedata.normalize("NFD", text)).lower())
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    return _WORD.findall(_MARK.sub("", unicodedata.normalize("NFD", text)).lower())
 
 
 def myers(pattern: list, text: list) -> int:

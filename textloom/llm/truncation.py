@@ -28,7 +28,7 @@ from itertools import islice
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_rows, cut, read_table, spread
@@ -36,11 +36,12 @@ from textloom.llm.leak import words
 
 SHINGLE = 5
 SIMILAR = 0.8
-BLOCK = 16  # mean words that a block goes on after its least
+BLOCK = 16  # mean words that a block goes on after its least, a power of two
 LEAST = 5  # words of a block
 CLOSE = 12  # words at the end of a text that are looked for in its copies
 SENT_IDS = 200_000  # texts that are picked out of the table without exchanging it; more are joined
 REMEMBER = 200_000  # texts of a task that are known to have been seen
+REMEMBER_CHARS = 1_000_000  # of texts of a task whose words are kept
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
 TAIL = 400  # characters in which a trace, closing marks or an abbreviation at the end are looked for
@@ -52,6 +53,7 @@ SPIKE = 8.0  # how much more frequent than its neighbours a cutting length is
 _TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
 _WORD = regex.compile(r"[\p{L}\p{M}]")
 _TRACE = regex.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|\p{L}*trunc\p{L}*)\]|\((?:…|\.\.\.)\)|<\p{L}*trunc\p{L}*>))$", regex.I)
+_TRACE_ENDS = "….])>"
 _CLOSED = regex.compile(r"[.!?][\"'”’“»)\]]*(?:\s*[”“»])?$")
 _SENTENCE = regex.compile(r"(?<=[.!?][\"'”’“»)\]]{0,3})\s+(?=\S)")
 _SHORT = regex.compile(r"(?:^|[^\p{L}\p{M}])([\p{L}\p{M}]{1,4})\.$")
@@ -81,6 +83,11 @@ def shape(line: str) -> str:
     return " ".join(result)
 
 
+def trace(body: str):
+    """The match of a trace of a cut at the end of ``body``, which has no blanks there."""
+    return _TRACE.search(body) if body[-1:] and body[-1] in _TRACE_ENDS else None
+
+
 def is_verse(lines: list[str]) -> bool:
     """Several short lines that all begin with a capital."""
     lines = [x.strip() for x in lines if x.strip()]
@@ -96,7 +103,7 @@ def ending(text: str | None) -> tuple:
     if text is None or not text.strip():
         return 0, 0, False, False, False, False, None, None, None, None, None, False
     body = text.rstrip()
-    m = _TRACE.search(body[-TAIL:])
+    m = trace(body[-TAIL:])
     traced = bool(m)
     attached = traced and not m.group()[0].isspace()
     if traced:
@@ -171,27 +178,27 @@ def endings(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         seen: set[int] = set()
         for r in rows:
-            bands = close = None
+            bands = tails = close = None
             end = ending(r["text"])
             if r["h"] not in seen:
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(r["h"])
-                bands = block_bands(r["text"])
+                bands, tails = _bands(r["text"])
                 close = closing_words(r["text"]) if end[2] else None
-            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *end, bands, close
+            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *end, bands, tails, close
 
     return arrow_rows(
         spread(docs.select("doc_id", "source", "doc_kind", F.xxhash64("text").alias("h"), "text")),
         run,
-        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<struct<band:long,tail:int>>, close string",
+        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<long>, tails array<int>, close string",
     )
 
 
 def closing_words(text: str) -> str:
     """The last words before a trace of a cut, in a line."""
     body = text.rstrip()
-    m = _TRACE.search(body[-TAIL:])
+    m = trace(body[-TAIL:])
     if m:
         body = body[: len(body) - len(m.group())]
     back = 150
@@ -217,72 +224,95 @@ def limits(ends: DataFrame, unit: str) -> DataFrame:
     return per.join(mean, F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
 
 
-@lru_cache(200_000)
-def _hash(word: str) -> int:
-    import xxhash
+class _Hashes(dict):
+    """The hashes of words, computed once while they are remembered."""
 
-    return xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
+        if len(self) >= REMEMBER:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
+
+_hashes = _Hashes()
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "little") | 1 for i in range(HASHES + SHINGLE)], np.uint64)
 _PLAIN = re.compile(r"[^\W_]+")
 
 
 def block_bands(text: str) -> list[tuple[int, int]]:
-    """(band, words after the block): two bands of two min-hash rows of each block.
+    """(band, words after the block): two bands of two min-hash rows of each block."""
+    bands, tails = _bands(text)
+    return [(int(b), int(tails[k // 2])) for k, b in enumerate(bands)]
+
+
+def _bands(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of a text's blocks, two of each, and how many words follow each block.
 
     A block ends after a word whose hash is 0 modulo ``BLOCK``, once it has ``LEAST`` words.
     """
-    w = np.array([_hash(x) for x in _PLAIN.findall(text.lower())], np.uint64)
+    found = _PLAIN.findall(text.lower())
+    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
     n = len(w)
     if n < LEAST:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     ends, lo = [], 0
-    for i in np.flatnonzero(w % np.uint64(BLOCK) == 0).tolist() + [n - 1]:
+    for i in [*np.flatnonzero((w & np.uint64(BLOCK - 1)) == 0).tolist(), n - 1]:
         if i + 1 - lo >= LEAST:
             ends.append(i + 1)
             lo = i + 1
-    starts = [0, *ends[:-1]]
-    h = sum((w[k : n - SHINGLE + 1 + k] * _SEEDS[HASHES + k] for k in range(1, SHINGLE)), w[: n - SHINGLE + 1] * _SEEDS[HASHES])
+    h = np.zeros(n - SHINGLE + 2, np.uint64)  # one more, so that the last block may end there
+    for k in range(SHINGLE):
+        h[:-1] += w[k : n - SHINGLE + 1 + k] * _SEEDS[HASHES + k]
     h ^= h >> np.uint64(29)
-    rows = []
-    for s in _SEEDS[:HASHES]:
-        x = h * s
-        x ^= x >> np.uint64(31)
-        rows.append([int(x[a : b - SHINGLE + 1].min()) for a, b in zip(starts, ends)])
-    result = []
-    for k, end in enumerate(ends):
-        for r in range(0, HASHES, 2):
-            value = (rows[r][k] * 0x9E3779B97F4A7C15 + rows[r + 1][k] + r) & ((1 << 64) - 1)
-            result.append((value - (1 << 63), n - end))
-    return result
+    x = h * _SEEDS[:HASHES, None]
+    x ^= x >> np.uint64(31)
+    at = np.empty(2 * len(ends), np.intp)  # from a block's first shingle to before its first that leaves it
+    at[0], at[2::2], at[1::2] = 0, ends[:-1], ends
+    at[1::2] -= SHINGLE - 1
+    rows = np.minimum.reduceat(x, at, axis=1)[:, ::2]
+    values = rows[0::2] * np.uint64(0x9E3779B97F4A7C15) + rows[1::2] + np.arange(0, HASHES, 2, dtype=np.uint64)[:, None]
+    return (values.T.ravel() ^ np.uint64(1 << 63)).view(np.int64), n - np.array(ends, np.int32)
 
 
 def prepared(text: str) -> tuple[str, int]:
     """(the words of a text in a line, how many of them stand before a trace of a cut)."""
     found = words(text)
     body = text.rstrip()
-    m = _TRACE.search(body)
+    m = trace(body)
     return " ".join(found), len(words(body[: m.start()])) if m else len(found)
 
 
 def goes_on(text: str, other: str) -> bool:
     """Whether ``other`` is a near-copy of ``text`` that continues, within the sentence, where ``text`` ends."""
-    return _goes_on(*prepared(text), prepared(other)[0], other)
+    line = prepared(other)[0]
+    return _goes_on(*_own(text), line, set(shingles(line.split())), other)
+
 
+def shingles(found: list[str]) -> list[tuple]:
+    return list(zip(*(found[k:] for k in range(SHINGLE))))
 
-def _goes_on(line: str, own: int, other_line: str, other: str) -> bool:
+
+def _own(text: str) -> tuple[list[str], list[tuple]]:
+    """The words of a text before a trace of a cut, and their shingles."""
+    line, own = prepared(text)
     a = line.split()[:own]
-    found = ahead(a[-CLOSE:], other_line) if len(a) > SHINGLE else None
-    if found is None:
-        return False
-    held = other_line.split()
-    held = {tuple(held[k : k + SHINGLE]) for k in range(len(held) - SHINGLE + 1)}
-    grams = [tuple(a[k : k + SHINGLE]) for k in range(len(a) - SHINGLE + 1)]
-    if sum(g in held for g in grams) < SIMILAR * len(grams):
+    return a, shingles(a)
+
+
+def _goes_on(a: list[str], grams: list[tuple], other_line: str, held: set[tuple], other: str) -> bool:
+    if len(a) <= SHINGLE or sum(map(held.__contains__, grams)) < SIMILAR * len(grams):
         return False
-    completes, index = found
-    return completes or _continues(other, index)
+    found = ahead(a[-CLOSE:], other_line)
+    return found is not None and (found[0] or _continues(other, found[1]))
+
+
+@lru_cache(50_000)
+def _closing_shingles(close: str) -> tuple[list[str], frozenset]:
+    """The words of a text's end and their shingles."""
+    a = close.split()
+    return a, frozenset(shingles(a))
 
 
 def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
@@ -321,38 +351,67 @@ def _continues(text: str, index: int) -> bool:
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
+def shared_bands(ends: DataFrame) -> DataFrame:
+    """(band, h, tail, asks): the bands that an open text has and another text too, with all their holders.
+
+    One exchange of numbers; a band that one text holds ends here.
+    """
+    each = ends.where("bands IS NOT NULL").select("h", F.col("close").isNotNull().alias("asks"), "tails", F.posexplode("bands").alias("k", "band"))
+    held = each.select("band", "h", F.get("tails", F.expr("k DIV 2")).alias("tail"), "asks")
+    of_band = Window.partitionBy("band")
+    met = held.withColumn("_lo", F.min("h").over(of_band)).withColumn("_hi", F.max("h").over(of_band)).withColumn("_asked", F.max("asks").over(of_band))
+    return met.where("_asked AND _lo <> _hi").select("band", "h", "tail", "asks")
+
+
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """(h): open texts, by their hash, of which a verified near-copy goes on where they end."""
-    band = ends.where("bands IS NOT NULL").select("h", "close", F.explode("bands").alias("b")).select("h", "close", "b.band", "b.tail")
-    asking = band.where("close IS NOT NULL").groupBy("band", "close").agg(F.min("tail").alias("tail"))
-    holding = band.select("band", F.col("h").alias("other"), F.col("tail").alias("other_tail"))
+    band = cut(shared_bands(ends))
+    closing = ends.where("close IS NOT NULL").select("h", "close").distinct()
+    asking = band.where("asks").join(closing, "h").groupBy("band", "close").agg(F.min("tail").alias("tail"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    holding = band.groupBy("band", F.col("h").alias("other")).agg(F.max("tail").alias("other_tail"))
     longer = F.col("other_tail") > F.col("tail") * SIMILAR  # what was left out of the copy may be made up for by what follows
-    met = cut(asking.join(holding, "band").where(longer).groupBy("other").agg(F.collect_set("close").alias("closes")))
+    another = (F.col("lo") != F.col("other")) | (F.col("hi") != F.col("other"))
+    met = cut(asking.join(holding, "band").where(longer & another).groupBy("other").agg(F.collect_set("close").alias("closes")))
 
     def look(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
             line = prepared(r["text"])[0]
+            held = set(shingles(line.split()))
             for close in r["closes"]:
-                if line.endswith(close):  # ends there too
+                a, grams = _closing_shingles(close)
+                if held.isdisjoint(grams) or line.endswith(close):  # of another text, or ends there too
                     continue
-                found = ahead(close.split(), line)
+                found = ahead(a, line)
                 if found is not None and (found[0] or _continues(r["text"], found[1])):
                     yield close, r["h"]
 
     held = _picked(docs, met.select(F.col("other").alias("h"))).join(met.withColumnRenamed("other", "h"), "h")
     inside = cut(arrow_rows(held.select("h", "text", "closes"), look, "close string, other long"))
-    wanted = cut(ends.where("close IS NOT NULL").select("h", "close").distinct().join(inside, "close").where("h <> other").select("h", "other").distinct())
+    wanted = cut(closing.join(inside, "close").where("h <> other").select("h", "other").distinct())
     text = cut(_picked(docs, wanted.select("h").union(wanted.select("other")).distinct()))
     both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         done: set[int] = set()
+        own: dict[int, tuple] = {}
+        kept, last, line, held = 0, None, "", set()
         for r in rows:
-            if r["h"] not in done and goes_on(r["text"], r["other_text"]):
+            if r["h"] in done:
+                continue
+            if r["other"] != last:  # rows of one copy come one after the other
+                last, line = r["other"], prepared(r["other_text"])[0]
+                held = set(shingles(line.split()))
+            if r["h"] not in own:
+                kept += len(r["text"])
+                if kept > REMEMBER_CHARS:
+                    own.clear()
+                    kept = len(r["text"])
+                own[r["h"]] = _own(r["text"])
+            if _goes_on(*own[r["h"]], line, held, r["other_text"]):
                 done.add(r["h"])
                 yield (r["h"],)
 
-    return arrow_rows(both.select("h", "text", "other_text"), run, "h long").distinct()
+    return arrow_rows(both.select("h", "text", "other", "other_text"), run, "h long").distinct()
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -377,7 +436,7 @@ def judge(docs: DataFrame) -> DataFrame:
     by_chars, by_bytes = limits(ends, "chars"), limits(ends, "bytes")
     open_ends = (
         ends.where("open OR traced OR word LIKE '%.'")
-        .drop("bands", "close")
+        .drop("bands", "tails", "close")
         .join(counts.withColumnRenamed("n", "uses").hint("shuffle_merge"), "word", "left")  # tables that grow with the corpus are never sent
         .join(counts.select(F.col("word").alias("pair"), F.col("closing").alias("pair_closing")).hint("shuffle_merge"), "pair", "left")
         .join(marks, "closing_line", "left")
