@@ -68,6 +68,18 @@ def test_damaged_words_stay_out_of_the_dictionary(spark, rows):
     assert restorer.restore(damaged)[::2] == ("Der während Tür grüne Maß fehlt", True)
 
 
+def test_dictionaries_count_every_text(spark, rows, monkeypatch):
+    long = " ".join(["Fennistère garda la clé"] * 30_000)  # more characters than a sample would take of one text
+    spoilt = [(i, "Der Tür fehlt", "de", "x") for i in range(300, 340)] + [(400, "Der T¸r fehlt", "de", "x"), (401, "Der T¸r fehlt", " DE ", "x"), (401, "Der T¸r fehlt", " DE ", "x")]
+    df = spark.createDataFrame([*rows, (200, long, "fr", "x"), (201, long, "fr", "x"), (201, long, "fr", "x"), (500, None, "fr", "x"), (None, "Der Tür", "de", "x"), *spoilt], "witness_id long, text string, lang string, extra string")
+    held = {w for d in E.dictionaries(df, "witness_id") for w in d.decode("utf-16-le").split(" ")}
+    assert "Fennistère" in held and "T¸r" not in held
+    sent = {tuple(r) for r in E.clean_counts(df, "witness_id").collect()}
+    assert ("fr", "Fennistère", 2) in sent and ("de", "Tür", 41) in sent and ("de", None, 41 + 6) in sent and ("fr", None, 2 + 6) in sent
+    monkeypatch.setattr(E, "SENT_WORDS", 0)
+    assert sent == {tuple(r) for r in E.clean_counts(df, "witness_id").collect()}
+
+
 def test_table(spark, rows):
     bad = broken(CLEAN["fr"], "utf-8", "western")
     df = spark.createDataFrame([*rows, (100, bad, None, "x"), (100, bad, None, "x"), (101, None, "fr", None), (102, "", "und", None)], "witness_id long, text string, lang string, chains string")

@@ -7,9 +7,8 @@ chooses a chain for each stretch so that compressed size plus the price of enter
 pays, the words stay as they are. Replacement signs and C1 controls are garbled whatever the outcome, as their own
 signs can be lost.
 
-The dictionaries hold the words of a bounded sample (about ``SAMPLE`` texts and at most ``SAMPLE_CHARS`` characters, by
-hash; those that look clean, of every language label with a share of ``LEAST_SHARE`` of them), most frequent last; that is the only
-sampled part, every text is examined whole. A word that stands in a dictionary as it is costs one match, so its other decodings needn't be tried unless a
+The dictionaries hold the words that stand in the most clean texts, counted over all texts of every language label with a
+share of ``LEAST_SHARE`` of the clean ones, most frequent last, as many as ``DICTIONARY_BYTES`` hold; nothing is sampled. A word that stands in a dictionary as it is costs one match, so its other decodings needn't be tried unless a
 neighbour's pay.
 
 Defined results: null and empty texts are never garbled; a repeated delivery counts once; equal costs keep the text
@@ -20,20 +19,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_rows, read_table, spread
+from textloom.llm.common import arrow_rows, cut, read_table, spread
 from textloom.llm.unify import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, INVISIBLE, TO_CYRILLIC, TO_CYRILLIC_FROM
 
-SAMPLE = 6000  # texts
-SAMPLE_CHARS = 60_000_000  # and their characters together
-LEAST_SHARE = 0.002  # of the clean texts of the sample that a language label needs for a dictionary of its own
+SENT_WORDS = 200_000  # damaged words, or repeated keys, that are told to every task; more are joined
+LEAST_SHARE = 0.002  # of the clean texts that a language label needs for a dictionary of its own
 DICTIONARY_BYTES = 220_000
 
 ENTER_UTF8 = 10  # bits: a byte string that is valid UTF-8 by chance is rare
@@ -45,7 +43,7 @@ SWITCH = 10  # bits for another language
 ALIEN = 16  # bits for a sign that the language's texts don't hold
 MIXED = 20  # bits for a word in two scripts
 NEVER = 1 << 20
-FAR = 10  # times as frequent as a word of the sample is the word that it was before its damage
+FAR = 10  # times as frequent as a word is the word that it was before its damage
 CONTROL = 24  # bits for a sign that no text holds
 DISGUISED = 6  # bits for a word whose signs only look like the ones that belong there
 
@@ -299,63 +297,112 @@ class Restorer:
 _DAMAGED = re.compile("[\x80-\x9f�√≈∂∆∏∫◊─-▟]|[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]|[ÂÃÐÑ][^\\w\\s'’-]|[à-ÿÀ-ß]{3}|[РС][^\\w\\s.,!?;:»”“…)—-]")
 
 
-def _decodes_to_frequent(word: str, n: int, counts: Counter) -> bool:
-    """Whether one step makes of ``word``, met ``n`` times, a word of three letters that is ``FAR`` times as frequent."""
-    if word.isascii():
-        return False
-    found = (t.strip(_EDGES) for options in (candidates(word), remaps(word)) for chain, t in options.items() if len(chain) == 1)
-    return any(counts[t] >= FAR * n and sum(map(str.isalpha, t)) >= 3 for t in found)
+def _once(texts: DataFrame, key: str) -> DataFrame:
+    """(k, lang, text) of every text, repeated deliveries once; only those that are repeated are exchanged."""
+    held = texts.where(F.col("text").isNotNull()).select(F.coalesce(F.col(key), F.xxhash64("text")).alias("k"), F.lower(F.trim("lang")).alias("lang"), "text")
+    again = cut(held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    again = F.broadcast(again) if again.count() <= SENT_WORDS else again.hint("shuffle_merge")
+    repeated = held.join(again, "k", "left_semi").groupBy("k").agg(F.min(F.struct("lang", "text")).alias("t")).select("k", "t.lang", "t.text")
+    return held.join(again, "k", "left_anti").union(repeated).where("lang <> '' AND lang <> 'und'")
 
 
-def sampled(texts: DataFrame, key: str, sample: int, most: int) -> list[tuple]:
-    """(language, text) of about ``sample`` texts of at most ``most`` characters together, the least by the hash of the key.
+def _words(text: str) -> set[str]:
+    return {w.strip(_EDGES) for w in _SPACE.split(text)}
 
-    Repeated deliveries count once; a text of more than a hundredth of ``most`` isn't a sample of anything.
+
+def _counted(texts: DataFrame, told: Callable[[dict], set[str] | None]) -> DataFrame:
+    """(lang, w, n): in how many texts of a language a word stands, w null: how many texts; ``told`` gives a text's words, None for a text that doesn't count."""
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for i, r in enumerate(rows):
+            held = told(r)
+            if held is not None:
+                counts[r["lang"]].update(held)
+                counts[r["lang"]][None] += 1
+            if i % 512 == 511 and sum(map(len, counts.values())) > 300_000:
+                yield from ((lang, w, n) for lang, c in counts.items() for w, n in c.items())
+                counts.clear()
+        yield from ((lang, w, n) for lang, c in counts.items() for w, n in c.items())
+
+    return arrow_rows(texts, run, "lang string, w string, n long")
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("lang", "w").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _damaged(counts: DataFrame) -> DataFrame:
+    """(lang, w): words of which one step makes a word of three letters that is ``FAR`` times as frequent."""
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        for r in rows:
+            found = {t.strip(_EDGES) for options in (candidates(r["w"]), remaps(r["w"])) for chain, t in options.items() if len(chain) == 1}
+            yield from ((r["lang"], r["w"], r["n"], t) for t in found if sum(map(str.isalpha, t)) >= 3)
+
+    outside = arrow_rows(counts.where(F.col("w").rlike(r"[^\x00-\x7f]")), run, "lang string, w string, n long, t string")
+    frequent = counts.where(F.col("n") >= FAR).select("lang", F.col("w").alias("t"), F.col("n").alias("far"))
+    return outside.join(frequent, ["lang", "t"]).where(F.col("far") >= FAR * F.col("n")).select("lang", "w").distinct()
+
+
+def clean_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(lang, w, n) over all clean texts: those that don't look damaged, without a word that decodes to a far more frequent one.
+
+    All texts that don't look damaged are counted, then those with such a word are taken off. Up to ``SENT_WORDS`` such
+    words are sent to every task, more are joined.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    held = texts.where(F.col("text").isNotNull()).select(F.col(key).alias("k"), place.alias("h"), F.lower(F.trim("lang")).alias("lang"), "text", F.char_length("text").alias("n"))
-    share = min(1.0, sample / max(1, held.count()))
-    within = held.where((F.col("h") < int(share * (1 << 30)) + 1) & (F.col("n") <= most // 100))
-    last = total = 0
-    for r in within.groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(2 * sample).collect():  # two numbers a text
-        total += r["n"]
-        if total > most:
-            break
-        last = r["h"]
-    return sorted({tuple(r) for r in within.where(F.col("h") <= last).groupBy("k").agg(F.min(F.struct("lang", "text")).alias("t")).select("k", "t.lang", "t.text").collect()}, key=str)
-
-
-def dictionaries(texts: DataFrame, key: str, sample: int = SAMPLE, most: int = SAMPLE_CHARS) -> list[bytes]:
-    """One raw-content dictionary for each language label that holds ``LEAST_SHARE`` of the clean texts of a sample (``sampled``).
+    source = spread(_once(texts, key))
+    first = cut(_summed(_counted(source, lambda r: None if _DAMAGED.search(r["text"]) else _words(r["text"]))))
+    damaged = cut(_damaged(first))
+    if damaged.count() <= SENT_WORDS:
+        by_lang: dict[str, set[str]] = defaultdict(set)
+        for r in damaged.collect():
+            by_lang[r["lang"]].add(r["w"])
+        sent = texts.sparkSession.sparkContext.broadcast(dict(by_lang))
+
+        def told(r: dict) -> set[str] | None:
+            text, listed = r["text"], sent.value.get(r["lang"])
+            if not listed or text.isascii():
+                return None
+            held = _words(text)
+            return None if listed.isdisjoint(held) or _DAMAGED.search(text) else held
+
+        spoilt = _counted(source, told)
+    else:
+
+        def outside(rows: Iterator[dict]) -> Iterator[tuple]:
+            for r in rows:
+                if not r["text"].isascii() and not _DAMAGED.search(r["text"]):
+                    yield from ((r["k"], r["lang"], w) for w in _words(r["text"]) if not w.isascii())
+
+        keys = arrow_rows(source, outside, "k long, lang string, w string").join(damaged.hint("shuffle_merge"), ["lang", "w"]).select("k").distinct()
+        spoilt = _counted(source.join(keys.hint("shuffle_merge"), "k", "left_semi"), lambda r: _words(r["text"]))
+    return cut(_summed(first.union(spoilt.select("lang", "w", -F.col("n")))))
+
+
+def dictionaries(texts: DataFrame, key: str) -> list[bytes]:
+    """One raw-content dictionary for each language label that holds ``LEAST_SHARE`` of the clean texts, from the counts of all of them.
 
     Texts that look damaged (signs no language uses
     inside words, capitals after small letters) aren't used, nor are those with a word that decodes to a far more
     frequent one.
     """
-    clean: dict[str, list[set[str]]] = {}
-    for _, lang, text in sampled(texts, key, sample, most):
-        if not lang:
-            continue
-        if lang != "und" and not _DAMAGED.search(text):
-            clean.setdefault(lang, []).append({w.strip(_EDGES) for w in _SPACE.split(text)})
-    counts: dict[str, Counter] = {}
-    texts_of: Counter = Counter()
-    for lang, held_words in clean.items():
-        first = Counter(w for x in held_words for w in x)
-        damaged = {w for w, n in first.items() if _decodes_to_frequent(w, n, first)}
-        kept_words = [x for x in held_words if damaged.isdisjoint(x)]
-        counts[lang] = Counter(w for x in kept_words for w in x)
-        texts_of[lang] = len(kept_words)
+    counts = clean_counts(texts, key)
+    number = counts.where("w IS NULL")
+    least = LEAST_SHARE * (number.agg(F.sum("n")).first()[0] or 0)
+    labels = [r["lang"] for r in number.where(F.col("n") >= least).orderBy(F.desc("n"), "lang").collect()]  # at most 1 / LEAST_SHARE
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    most = DICTIONARY_BYTES // 4  # words that a dictionary can hold, a sign and a blank each
+    listed = counts.where(F.col("w").isNotNull() & (F.col("w") != "") & (F.col("n") >= 2) & F.col("lang").isin(labels))
+    listed = cut(listed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most))
     result = []
-    least = LEAST_SHARE * sum(texts_of.values())
-    for label, _ in sorted((x for x in texts_of.items() if x[1] >= least), key=lambda x: (-x[1], x[0])):
+    for label in labels:
         kept, size = [], 0
-        for w, n in sorted(counts[label].items(), key=lambda x: (-x[1], x[0])):
-            b = f" {w}".encode("utf-16-le", "surrogatepass")
-            if n < 2 or not w or size + len(b) > DICTIONARY_BYTES:
-                continue
-            kept.append(b)
-            size += len(b)
+        for r in listed.where(F.col("lang") == label).orderBy("at").collect():
+            b = f" {r['w']}".encode("utf-16-le", "surrogatepass")
+            if size + len(b) <= DICTIONARY_BYTES:
+                kept.append(b)
+                size += len(b)
         result.append(b"".join(reversed(kept)) + b" \0")
     return result
 
