@@ -88,3 +88,14 @@ def test_long_documents_take_the_diagonal():
     score = np.full((B.SPANS, n, n), -20.0)
     score[0][np.arange(n), np.arange(n)] = 12.0
     assert B.decode(score, n, n) == [(i, i) for i in range(n)]
+
+
+def test_damaged_words_are_read_with_the_words_of_all_texts(spark, tmp_path):
+    plain = "Fennistère fidèlement préféra l’étrangère mystérieusement"
+    damaged = "".join(chr(b) if b < 128 else bytes([b]).decode("mac_roman") for b in plain.encode("cp1252"))
+    rows = [(i, 50, i, f"x{i}", " ".join([plain] * 12_000), "fr") for i in (10, 11)]  # more characters than a sample would take of one text
+    rows += [(1, 1, 0, "fr-1", damaged + ".", "fr"), (2, 1, 1, "en-1", "A cat.", "en")]
+    write(tmp_path, spark, "witness", rows, "witness_id long, case_id long, ordinal int, siglum string, text string, lang string")
+    write(tmp_path, spark, "case_meta", [(1, "general"), (50, None)], "case_id long, lexicon_name string")
+    found = B.document_pairs(spark, str(tmp_path)).collect()
+    assert [r.fr for r in found] == [B.sentence_words(plain + ".")]
