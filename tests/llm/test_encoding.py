@@ -1,5 +1,7 @@
 """Encoding repair: round trips of known damage, clean texts, edge cases."""
 
+import time
+
 import pytest
 
 from textloom.llm import encoding as E
@@ -90,3 +92,32 @@ def test_table(spark, rows):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "witness_id long, text string, lang string")
     assert E.restore(df).collect() == []
+
+
+def test_long_words_take_time_in_proportion_to_their_length():
+    text = "a" * 60_000 + " cafÃ© cafÃ© déjà cafÃ©\r\n\n" + "b" * 60_000
+    restorer = E.Restorer(["café déjà vu ".encode("utf-16-le") * 20])
+    began = time.process_time()
+    restored, _, garbled = restorer.restore(text)
+    assert time.process_time() - began < 2
+    assert (restored, garbled) == (text.replace("Ã©", "é"), True)
+
+
+def test_signs_of_damage_are_looked_for_once_a_word():
+    assert E._words("(the end),\n\n the\tgrey\rend") == {"", "the", "end", "grey"}  # blanks aren't words
+    for word in ("a\x92b", "grEy", "Ã© ", "naÃïë", "Р°"):
+        assert E._words(f"the {word} end") is None
+
+
+def test_hard_signs_make_a_text_garbled_each_time():
+    restorer = E.Restorer([])
+    assert [restorer.restore(f"the grey\x81 end {i}")[2] for i in range(3)] == [True] * 3
+    assert not restorer.restore("the grey é end")[2]
+
+
+def test_words_are_judged_alike_when_few_are_remembered():
+    texts = [f"le cafÃ© numéro {i} déjà vu à la cafÃ© fidÃ¨le étrangère" for i in range(20)]
+    d = ["café déjà fidèle étrangère à numéro ".encode("utf-16-le") * 20]
+    few, many = E.Restorer(d, remember=3), E.Restorer(d)
+    assert [few.restore(x) for x in texts] == [many.restore(x) for x in texts]
+    assert len(few.plain) <= 3

@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,12 +70,16 @@ _OUTSIDE = re.compile(r"[^\x00-\x7f]")
 _HARD = re.compile(r"[\x80-\x84\x86-\x9f�]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 _LATIN, _OTHER, _GREEK = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ͱ-ӿ]"), re.compile(r"[Ͱ-Ͽ]")
-_OUTSIDE_WORD = re.compile(r"[^ \n\r\t\f\x80-\U0010ffff]*[^\x00-\x7f][^ \n\r\t\f]*")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _INNER = re.compile("[-'’‘“”„«»…—]+")
 _SPACE = re.compile(r"([ \n\r\t\f]+)")
 
 
+def _split(text: str) -> list[str]:
+    """The words of a text in their order, and empty ones where blanks follow each other."""
+    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").replace("\f", " ").split(" ")
+
+
 @lru_cache(None)
 def _decoder(codec: str) -> tuple[str, ...]:
     """The character of each byte; bytes that the code page leaves free stand for themselves."""
@@ -180,6 +185,7 @@ class Restorer:
             else:
                 self.languages.append((zstandard.ZstdCompressor(compression_params=parameters), known))
         self.options = lru_cache(remember)(self._options)
+        self.size = lru_cache(remember)(self._size)  # damage of many kinds leads back to the same words
         self.vocabulary = {x.lower() for d in dictionaries for w in d.decode("utf-16-le").split(" ") for x in _INNER.split(w.strip(_EDGES)) if x.isalpha()} | {""}
         self.plain: set[str] = set()
         self.remember = remember
@@ -189,16 +195,18 @@ class Restorer:
 
         Where the latter alone cost more than ``most``, compression is spared and the cost is ``NEVER``.
         """
-        data = f" {word} ".encode("utf-16-le", "surrogatepass")  # every sign of the same width
         mixed = MIXED if _MIXED.search(word) else 0
         outside = _OUTSIDE.findall(word)
         mixed += CONTROL * len(_HARD.findall(word))
         result = []
-        for c, known in self.languages:
+        for k, (_, known) in enumerate(self.languages):
             extra = mixed + ALIEN * sum(x not in known for x in outside)
-            result.append(extra + 4 * len(c.compress(data)) if extra <= most else NEVER)
+            result.append(extra + 4 * self.size(k, word) if extra <= most else NEVER)
         return tuple(result)
 
+    def _size(self, k: int, word: str) -> int:
+        return len(self.languages[k][0].compress(f" {word} ".encode("utf-16-le", "surrogatepass")))  # every sign of the same width
+
     def _options(self, word: str) -> tuple[tuple[int, ...], dict[tuple, tuple[tuple[int, ...], str]]]:
         """Costs of the word as it stands, and for each chain its costs and result (only chains that may pay)."""
         own = self.bits(word)
@@ -219,22 +227,30 @@ class Restorer:
                 scored[chain] = (cost if letters else tuple(max(a, b) for a, b in zip(cost, own)), text)
         return own, scored
 
+    def _pass(self, word: str) -> None:
+        """Remember that ``word`` says nothing about damage, wherever it stands."""
+        if len(self.plain) >= self.remember:
+            self.plain.clear()
+        self.plain.add(word)
+
     def restore(self, text: str | None) -> tuple[str | None, list[str], bool]:
         if not text or text.isascii():
             return text, [], False
-        hard = bool(_HARD.search(text))
+        hard = False
         gain: Counter = Counter()  # the most that a chain could save in this text
-        for word in _OUTSIDE_WORD.findall(text):
-            if word in self.plain:
+        for word in filterfalse(self.plain.__contains__, _split(text)):
+            if word.isascii():
+                self._pass(word)
                 continue
+            spoilt = bool(_HARD.search(word))
+            hard |= spoilt
             core = word.strip(_EDGES)
             if all(x.lower() in self.vocabulary for x in _INNER.split(core)):  # matches in a dictionary, the least that any decoding could cost
-                if len(self.plain) < self.remember:
-                    self.plain.add(word)
+                self._pass(word)
                 continue
             own, scored = self.options(core)
-            if not scored and len(self.plain) < self.remember:
-                self.plain.add(word)
+            if not scored and not spoilt:
+                self._pass(word)
             least = min(own)
             for c, (cost, _) in scored.items():
                 gain[c] += max(0, max(o - x for o, x in zip(own, cost)), least - min(cost))
@@ -251,32 +267,32 @@ class Restorer:
             options.append((own, {c: (cost, parts[i][:lo] + t + parts[i][lo + len(core) :]) for c, (cost, t) in scored.items()}))
         n = len(self.languages)
         chains = self._undominated(chains, options)
-        states = [(c, k) for c in (None, *chains) for k in range(n)]
-        costs = {s: 0 if s[0] is None else enter(s[0]) for s in states}
-        trail: list[dict] = []
+        every = (None, *chains)  # state number i * n + k: chain i, language k
+        price = [SWITCH + (LEAVE if c is None else enter(c)) for c in every]
+        costs = [[0 if c is None else enter(c)] * n for c in every]
+        trail: list[list[int]] = []
         for own, scored in options:
-            overall = min(costs, key=lambda s: (costs[s], s[0] is not None))
-            base = costs[overall]
-            now, came = {}, {}
-            for c in (None, *chains):
-                within = min(((c, k) for k in range(n)), key=costs.__getitem__)
-                entering = base + SWITCH + (LEAVE if c is None else enter(c))
-                switching = costs[within] + SWITCH
-                cost = own if c is None else scored[c][0] if c in scored else None
-                for k in range(n):
-                    s = (c, k)
-                    before, came[s] = costs[s], s
-                    if switching < before:
-                        before, came[s] = switching, within
-                    if entering < before:
-                        before, came[s] = entering, overall
-                    now[s] = before + (own[k] + UNDECODABLE if cost is None else cost[k])
+            least = [min(row) for row in costs]
+            base = min(least)
+            overall = least.index(base)  # of equals the first, so words stay as they are
+            overall = overall * n + costs[overall].index(base)
+            undecodable = [x + UNDECODABLE for x in own]
+            now, came = [], []
+            for i, c in enumerate(every):
+                row = costs[i]
+                other, at_other = least[i] + SWITCH, i * n + row.index(least[i])
+                if base + price[i] < other:
+                    other, at_other = base + price[i], overall
+                cost = own if c is None else scored[c][0] if c in scored else undecodable
+                now.append([(other if other < x else x) + y for x, y in zip(row, cost)])
+                came.extend([at_other if other < x else i * n + k for k, x in enumerate(row)])
             costs = now
             trail.append(came)
-        state = min(costs, key=lambda s: (costs[s], s[0] is not None))
+        flat = [x for row in costs for x in row]
+        state = flat.index(min(flat))
         used: Counter = Counter()
         for k in range(len(at) - 1, -1, -1):
-            chain = state[0]
+            chain = every[state // n]
             if chain is not None and chain in options[k][1]:
                 parts[at[k]] = options[k][1][chain][1]
                 used[chain] += 1
@@ -309,24 +325,22 @@ def _once(texts: DataFrame, key: str) -> DataFrame:
 
 
 class _Cores(dict):
-    """Words without their edges, made once while they are remembered."""
+    """Words without their edges, None for one that looks damaged; made once while they are remembered."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> str | None:
         if len(self) >= 100_000:
             self.clear()
-        self[word] = core = word.strip(_EDGES)
+        self[word] = core = None if any(x.search(word) for x in _DAMAGED) else word.strip(_EDGES)
         return core
 
 
 _cores = _Cores()
 
 
-def _words(text: str) -> set[str]:
-    return set(map(_cores.__getitem__, _SPACE.split(text)))
-
-
-def _looks_damaged(text: str) -> bool:
-    return any(x.search(text) for x in _DAMAGED)
+def _words(text: str) -> set[str] | None:
+    """The words of a text without their edges; None if it looks damaged, which a word alone tells, as no sign of damage holds a blank."""
+    held = set(map(_cores.__getitem__, set(_split(text))))
+    return None if None in held else held
 
 
 def _counted(texts: DataFrame, told: Callable[[dict], set[str] | None]) -> DataFrame:
@@ -371,7 +385,7 @@ def clean_counts(texts: DataFrame, key: str) -> DataFrame:
     words are sent to every task, more are joined.
     """
     source = spread(_once(texts, key))
-    first = cut(_summed(_counted(source, lambda r: None if _looks_damaged(r["text"]) else _words(r["text"]))))
+    first = cut(_summed(_counted(source, lambda r: _words(r["text"]))))
     damaged = cut(_damaged(first))
     if damaged.count() <= SENT_WORDS:
         by_lang: dict[str, set[str]] = defaultdict(set)
@@ -384,15 +398,15 @@ def clean_counts(texts: DataFrame, key: str) -> DataFrame:
             if not listed or text.isascii():
                 return None
             held = _words(text)
-            return None if listed.isdisjoint(held) or _looks_damaged(text) else held
+            return None if held is None or listed.isdisjoint(held) else held
 
         spoilt = _counted(source, told)
     else:
 
         def outside(rows: Iterator[dict]) -> Iterator[tuple]:
             for r in rows:
-                if not r["text"].isascii() and not _looks_damaged(r["text"]):
-                    yield from ((r["k"], r["lang"], w) for w in _words(r["text"]) if not w.isascii())
+                if not r["text"].isascii():
+                    yield from ((r["k"], r["lang"], w) for w in _words(r["text"]) or () if not w.isascii())
 
         keys = arrow_rows(source, outside, "k long, lang string, w string").join(damaged.hint("shuffle_merge"), ["lang", "w"]).select("k").distinct()
         spoilt = _counted(source.join(keys.hint("shuffle_merge"), "k", "left_semi"), lambda r: _words(r["text"]))
@@ -436,15 +450,16 @@ def restorer_of(dictionaries: list[bytes]) -> Restorer:
     return _restorer(tuple(dictionaries))
 
 
-def restore(df: DataFrame, key: str = "witness_id") -> DataFrame:
-    """(key, garbled, restored, chains) of every row with a text."""
+def restore(df: DataFrame, key: str = "witness_id", every: bool = True) -> DataFrame:
+    """(key, garbled, restored, chains) of every row with a text, or only of the garbled ones."""
     trained = df.sparkSession.sparkContext.broadcast(dictionaries(df, key))  # at most DICTIONARY_BYTES / LEAST_SHARE, some 100 MB; four languages take less than 1 MB
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         restorer = restorer_of(trained.value)
         for r in rows:
             text, chains, garbled = restorer.restore(r["t"])
-            yield r["k"], garbled, text, chains
+            if every or garbled:
+                yield r["k"], garbled, text, chains
 
     source = spread(df.where(F.col("text").isNotNull()).select(F.col(key).alias("k"), F.col("text").alias("t")))
     return arrow_rows(source, run, f"{key} long, garbled boolean, restored string, chains array<string>", flush=512)
@@ -452,11 +467,11 @@ def restore(df: DataFrame, key: str = "witness_id") -> DataFrame:
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected witnesses with the text they had before."""
-    return restore(read_table(spark, sf_dir, "witness")).where("garbled").select("witness_id", "restored", "chains").dropDuplicates(["witness_id"])
+    return restore(read_table(spark, sf_dir, "witness"), every=False).select("witness_id", "restored", "chains").dropDuplicates(["witness_id"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore(read_table(spark, sf_dir, "witness")).where("garbled").select("witness_id").distinct()
+    return restore(read_table(spark, sf_dir, "witness"), every=False).select("witness_id").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored}
