@@ -99,3 +99,45 @@ def test_damaged_words_are_read_with_the_words_of_all_texts(spark, tmp_path):
     write(tmp_path, spark, "case_meta", [(1, "general"), (50, None)], "case_id long, lexicon_name string")
     found = B.document_pairs(spark, str(tmp_path)).collect()
     assert [r.fr for r in found] == [B.sentence_words(plain + ".")]
+
+
+def test_sentences_keep_their_words_as_lines(spark):
+    sents = [[], ["le", "soir"], [], ["l", "été"], []]
+    row = spark.createDataFrame([(sents, []), ([[]], sents)], "fr array<array<string>>, en array<array<string>>").select(B._as_lines("fr"), B._as_lines("en")).collect()
+    assert [[B._of_lines(x) for x in r] for r in row] == [[sents, []], [[[]], sents]]
+
+
+def test_tables_as_a_whole_give_the_odds_of_single_words():
+    fr, en = [["le", "soir", "anna"], ["la", "mer"], []], [["the", "evening", "anna"], ["sea", "zzz"]]
+    table = [("le", "the", 0.6), ("soir", "evening", 0.8), ("soir", "the", 0.1), ("mer", "ocean", 0.4), ("autre", "sea", 0.9)]
+    lexicon, background = [("mer", 1), ("sea", 1), ("soir", 2), ("evening", 2)], [("the", 0.2), ("evening", 0.01)]
+    row = dict(zip(("fr", "en"), ("".join(" ".join(s) + "\n" for s in x) for x in (fr, en))))
+    single, whole = (B.Local(table, lexicon, background, 1e-4, kind).odds(row) for kind in (None, B.Whole))
+    assert (single.t == whole.t).all() and single.t[1, 1] == 0.8 and single.t[3, 4] == B.LEXICON and single.t[2, 2] == B.SAME
+    assert B.align_pair(single) == B.align_pair(whole) == [(0, 0), (1, 1)]
+
+
+def test_decoding_takes_the_first_of_equal_spans():
+    r = np.random.default_rng(1)
+    for n, m in ((1, 4), (2, 3), (7, 9), (130, 12)):
+        score = r.integers(0, 4, (B.SPANS, n, m)) * 4.0
+        jump, best, trail = B._jumps(n), np.full(n + 1, -np.inf), []
+        best[0] = 0.0
+        for j in range(m):
+            reach = best[:, None] + jump
+            came = reach.argmax(0)
+            now, length = list(best), [0] * (n + 1)
+            for at in range(1, n + 1):
+                for k in range(min(B.SPANS, at)):
+                    gain = reach[came[at - k - 1], at - k - 1] + score[k, at - k - 1, j] - B.NULL - B.SPAN_PRICE * k
+                    if gain > now[at]:
+                        now[at], length[at] = gain, k + 1
+            best = np.array(now)
+            trail.append((length, came))
+        at, expected = int(best.argmax()), [None] * m
+        for j in range(m - 1, -1, -1):
+            length, came = trail[j]
+            if length[at]:
+                lo = at - length[at]
+                expected[j], at = (lo, at - 1), int(came[lo])
+        assert B.decode(score, n, m) == expected

@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_rows, cut, read_table, spread
@@ -35,6 +35,7 @@ from textloom.llm.leak import words
 ROUNDS = 2
 BAND = 0.2  # of the text's length around the diagonal, for the first counts
 SENT_ROWS = 300_000  # of all tables together; some 30 MB
+WHOLE_CELLS = 2_000_000  # of a matrix of all words, 16 MB a task; of larger tables each pair looks up its own words
 PARTNERS = 24  # translations kept of a word
 LEXICON = 0.5  # translation probability within a lexicon group
 SAME = 0.7  # of a form by itself
@@ -72,6 +73,15 @@ def sentence_words(text: str | None, restorer=None) -> list[list[str]]:
     return result
 
 
+def _as_lines(column: str) -> Column:
+    """The words of sentences as one string, a line for each sentence, which costs a task less to read than nested lists."""
+    return F.array_join(F.transform(column, lambda s: F.concat(F.array_join(s, " "), F.lit("\n"))), "").alias(column)
+
+
+def _of_lines(text: str) -> list[list[str]]:
+    return [s.split(" ") if s else [] for s in text.split("\n")[:-1]]
+
+
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, a, b, fr, en): every French and English witness of a bilingual case, as words of sentences."""
     from textloom.llm.encoding import dictionaries
@@ -117,8 +127,8 @@ class Sums:
 
     def flush(self) -> Iterator[tuple]:
         f, e = list(self.f), list(self.e)
-        for i, j in zip(*np.nonzero(self.sums > self.least)):
-            yield f[i], e[j], float(self.sums[i, j])
+        i, j = np.nonzero(self.sums > self.least)
+        yield from zip(map(f.__getitem__, i.tolist()), map(e.__getitem__, j.tolist()), self.sums[i, j].tolist())
         self.__init__(self.most, self.least)
 
 
@@ -128,7 +138,7 @@ def first_counts(pairs: DataFrame) -> DataFrame:
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         held = Sums()
         for r in rows:
-            fr, en = r["fr"], r["en"]
+            fr, en = _of_lines(r["fr"]), _of_lines(r["en"])
             if not fr or not en:
                 continue
             f = {w: k for k, w in enumerate(dict.fromkeys(w for s in fr for w in s))}
@@ -147,7 +157,7 @@ def first_counts(pairs: DataFrame) -> DataFrame:
             yield from held.add([*f, None], [*e, None], n)
         yield from held.flush()
 
-    return _summed(arrow_rows(pairs.select("fr", "en"), run, "f string, e string, n double"))
+    return _summed(arrow_rows(pairs.select(_as_lines("fr"), _as_lines("en")), run, "f string, e string, n double"))
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -206,25 +216,44 @@ def over_pairs(pairs: DataFrame, t: DataFrame, background: DataFrame, lex: DataF
         sent = pairs.sparkSession.sparkContext.broadcast([[tuple(r) for r in x.collect()] for x in tables])
 
         def run(rows: Iterator[dict]) -> Iterator[tuple]:
-            return work(rows, Local(*sent.value, least).odds)
+            return work(rows, Local(*sent.value, least, Whole).odds)
 
-        return arrow_rows(pairs.select("fr_id", "en_id", "fr", "en"), run, schema)
+        return arrow_rows(pairs.select("fr_id", "en_id", _as_lines("fr"), _as_lines("en")), run, schema)
 
     def run_joined(rows: Iterator[dict]) -> Iterator[tuple]:
         return work(rows, lambda r: Local(*[[tuple(x.values()) for x in r[c] or ()] for c in ("translations", "lexicon", "background")], least).odds(r))
 
-    return arrow_rows(with_tables(pairs, *(tables[0], tables[2], tables[1])).select("fr_id", "en_id", "fr", "en", "translations", "lexicon", "background"), run_joined, schema)
+    return arrow_rows(with_tables(pairs, *(tables[0], tables[2], tables[1])).select("fr_id", "en_id", _as_lines("fr"), _as_lines("en"), "translations", "lexicon", "background"), run_joined, schema)
+
+
+class Whole:
+    """A translation table as one matrix, from which a pair of documents takes the rows and columns of its words."""
+
+    def __init__(self, table: dict):
+        self.f = {w: k for k, w in enumerate(table)}
+        self.e = {w: k for k, w in enumerate(dict.fromkeys(v for row in table.values() for v in row))}
+        self.t = np.zeros((len(self.e) + 1, len(self.f) + 1))  # the last row and column stand for words without an entry
+        for w, k in self.f.items():
+            for v, x in table[w].items():
+                self.t[self.e[v], k] = x
+
+    @classmethod
+    def fits(cls, table: dict) -> bool:
+        return (len(table) + 1) * (len({v for row in table.values() for v in row}) + 1) <= WHOLE_CELLS
+
+    def of(self, f: dict, e: dict) -> np.ndarray:
+        return self.t[np.ix_([self.e.get(w, -1) for w in e], [self.f.get(w, -1) for w in f])]
 
 
 class Odds:
     """The vocabulary of one pair of documents with its translations, and what follows for its sentences."""
 
-    def __init__(self, fr: list[list[str]], en: list[list[str]], table: dict, groups: dict, background: dict, least: float):
+    def __init__(self, fr: list[list[str]], en: list[list[str]], table: dict, groups: dict, background: dict, least: float, whole: Whole | None = None):
         self.f = {w: k for k, w in enumerate(dict.fromkeys(w for s in fr for w in s))}
         self.e = {w: k for k, w in enumerate(dict.fromkeys(w for s in en for w in s))}
-        self.t = np.zeros((len(self.e), len(self.f)))
+        self.t = np.zeros((len(self.e), len(self.f))) if whole is None else whole.of(self.f, self.e)
         for w, k in self.f.items():
-            for v, x in table.get(w, {}).items():
+            for v, x in table.get(w, {}).items() if whole is None else ():
                 if v in self.e:
                     self.t[self.e[v], k] = x
             for g in groups.get(w, ()):
@@ -254,8 +283,7 @@ class Odds:
 
 def _indicator(sents: list[list[str]], ids: dict[str, int]) -> np.ndarray:
     out = np.zeros((len(sents), len(ids)))
-    for i, s in enumerate(sents):
-        out[i, [ids[w] for w in s]] = 1.0
+    out[np.repeat(np.arange(len(sents)), [len(s) for s in sents]), [ids[w] for s in sents for w in s]] = 1.0
     return out
 
 
@@ -302,6 +330,12 @@ def decode(score: np.ndarray, n: int, m: int) -> list[tuple[int, int] | None]:
     best = np.full(n + 1, -np.inf)
     best[0] = 0.0
     trail = []
+    spans = min(SPANS, n)
+    price = SPAN_PRICE * np.arange(spans)[:, None]
+    from_ = np.arange(n + 1)[None, :] - np.arange(1, spans + 1)[:, None]  # [span length - 1, place behind it] -> its first sentence
+    inside = from_ >= 0
+    gains = np.where(inside[:, :, None], score[np.arange(spans)[:, None], from_], -np.inf).transpose(2, 0, 1).copy()
+    options = np.empty((spans + 1, n + 1))  # null keeps the place, and comes first
     for j in range(m):
         if jump is None:
             into, came = _reached(best, n)
@@ -309,14 +343,10 @@ def decode(score: np.ndarray, n: int, m: int) -> list[tuple[int, int] | None]:
             reach = best[:, None] + jump
             came = reach.argmax(0)
             into = reach[came, cols]
-        now, length = best.copy(), np.zeros(n + 1, np.int8)  # null keeps the place; length 0 stands for it
-        for k in range(min(SPANS, n)):
-            gain = into[: n - k] + score[k, : n - k, j] - NULL - SPAN_PRICE * k
-            ends = slice(k + 1, n + 1)
-            better = gain > now[ends]
-            now[ends] = np.where(better, gain, now[ends])
-            length[ends] = np.where(better, k + 1, length[ends])
-        best = now
+        options[0] = best
+        options[1:] = into[from_] + gains[j] - NULL - price
+        length = options.argmax(0).astype(np.int8)  # of equals the first
+        best = options.max(0)
         trail.append((length, came))
     at = int(best.argmax())
     result: list[tuple[int, int] | None] = [None] * m
@@ -357,7 +387,7 @@ def align_pair(odds: Odds) -> list[tuple[int, int]]:
 class Local:
     """What a task needs to know of the tables; filled from a broadcast, or per pair of documents from joined columns."""
 
-    def __init__(self, table: list, lexicon: list, background: list, least: float):
+    def __init__(self, table: list, lexicon: list, background: list, least: float, whole: type[Whole] | None = None):
         self.table: dict = defaultdict(dict)
         for f, e, x in table:
             self.table[f][e] = x
@@ -367,9 +397,10 @@ class Local:
             self.groups[grp].append(form)
         self.background = dict(background)
         self.least = least
+        self.whole = whole(self.table) if whole and whole.fits(self.table) else None  # else word by word, with the same results
 
     def odds(self, r: dict) -> Odds:
-        return Odds(r["fr"], r["en"], self.table, self.groups, self.background, self.least)
+        return Odds(_of_lines(r["fr"]), _of_lines(r["en"]), self.table, self.groups, self.background, self.least, self.whole)
 
 
 def expected_counts(pairs: DataFrame, t: DataFrame, background: DataFrame, lex: DataFrame) -> DataFrame:
