@@ -104,3 +104,19 @@ def test_bands_of_one_text_end_early_and_numbers_stay(spark):
     held = T.shared_bands(T.endings(docs)).collect()
     assert {h[x.h] for x in held} == {1, 3} and {h[x.h] for x in held if x.asks} == {1, 3} and all(x.tail >= 0 for x in held)
     assert {x.h for x in T.copies(docs, T.endings(docs)).collect()} == {k for k, v in h.items() if v == 1}
+
+
+def test_a_full_stop_alone_is_not_looked_at_as_a_trace(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def search(self, body):
+            self.calls += 1
+            return self.pattern.search(body)
+
+    counted = Counted(T._TRACE)
+    monkeypatch.setattr(T, "_TRACE", counted)
+    assert all(T.trace(x) is None for x in ("the end.", "", "the end", "the end..", "."))
+    assert counted.calls == 0
+    assert [T.trace(x).group() for x in ("the …", "the ....", "the [...]", "the (…)", "the <truncated>", "the [trunc]")] == [" …", " ....", " [...]", " (…)", " <truncated>", " [trunc]"]

@@ -53,7 +53,7 @@ SPIKE = 8.0  # how much more frequent than its neighbours a cutting length is
 _TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
 _WORD = regex.compile(r"[\p{L}\p{M}]")
 _TRACE = regex.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|\p{L}*trunc\p{L}*)\]|\((?:…|\.\.\.)\)|<\p{L}*trunc\p{L}*>))$", regex.I)
-_TRACE_ENDS = "….])>"
+_TRACE_ENDS = ("…", "...", "]", ")", ">")  # a full stop alone, as most texts have it, is none
 _CLOSED = regex.compile(r"[.!?][\"'”’“»)\]]*(?:\s*[”“»])?$")
 _SENTENCE = regex.compile(r"(?<=[.!?][\"'”’“»)\]]{0,3})\s+(?=\S)")
 _SHORT = regex.compile(r"(?:^|[^\p{L}\p{M}])([\p{L}\p{M}]{1,4})\.$")
@@ -85,7 +85,7 @@ def shape(line: str) -> str:
 
 def trace(body: str):
     """The match of a trace of a cut at the end of ``body``, which has no blanks there."""
-    return _TRACE.search(body) if body[-1:] and body[-1] in _TRACE_ENDS else None
+    return _TRACE.search(body) if body.endswith(_TRACE_ENDS) else None
 
 
 def is_verse(lines: list[str]) -> bool:
