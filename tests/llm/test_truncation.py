@@ -1,10 +1,12 @@
 """Truncation: endings, cutting lengths, near-copies and whole tables."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from textloom.llm import truncation as T
+from textloom.llm.leak import words
 
 NOUNS = "stone river castle garden bell market anchor forest palace window".split()
 VERBS = "watched crossed guarded reached praised".split()
@@ -120,3 +122,69 @@ def test_a_full_stop_alone_is_not_looked_at_as_a_trace(monkeypatch):
     assert all(T.trace(x) is None for x in ("the end.", "", "the end", "the end..", "."))
     assert counted.calls == 0
     assert [T.trace(x).group() for x in ("the …", "the ....", "the [...]", "the (…)", "the <truncated>", "the [trunc]")] == [" …", " ....", " [...]", " (…)", " <truncated>", " [trunc]"]
+
+
+ODD = "aB Σσς'.’-_é́̈İẞﬁ½²Ⅷ٣你。 \n\t\x1c!?:·Ⓐ가[]…0—"
+
+
+def odd_texts(n):
+    r = random.Random(7)
+    return ["", " ", "ΟΔΟΣ'Α ΟΔΟΣ", "the end—and\u00a0the"] + ["".join(r.choice(ODD) for _ in range(r.randrange(60))) for _ in range(n)]
+
+
+def test_words_are_read_once_for_all_their_uses(monkeypatch):
+    read = []
+    monkeypatch.setattr(T, "words", lambda text: read.append(text) or words(text))
+    monkeypatch.setattr(T, "_folded", T._Remembered(lambda chunk: "".join(f"{w} " for w in T.words(chunk))))
+    text = "L’été, the stone bridge; " * 500
+    assert T.prepared(text) == (" ".join(words(text)), 2500)
+    assert sorted(read) == ["L’été", "bridge", "stone", "the"]
+
+
+def test_words_by_chunks_are_the_words_of_the_text():
+    for t in odd_texts(3000):
+        assert T.words_line(t) == " ".join(words(t)), t
+        plain = T._PLAIN.findall(t.lower())
+        assert b"".join(map(T._plain.__getitem__, T._encoded(t.lower()).translate(T._GAPS).split())) == T._hashed(plain), t
+
+
+def test_bands_of_many_texts_at_once_are_those_of_each():
+    r = random.Random(8)
+    texts = ["", "too short", *(" ".join(sentence(r) for _ in range(r.randrange(1, 30))) for _ in range(40)), *odd_texts(40)]
+    together = T._bands(texts)
+    assert len(together) == len(texts) and T._bands([]) == [] and any(len(b) for b, _ in together)
+    for t, (bands, tails) in zip(texts, together):
+        alone, follow = T._bands([t])[0]
+        assert bands.tolist() == alone.tolist() and tails.tolist() == follow.tolist() and len(bands) == 2 * len(tails)
+
+
+def test_an_end_is_found_by_hashes_where_its_words_are():
+    r = random.Random(10)
+    for _ in range(2000):
+        base = [r.choice("the old man sat in ca cab cabin by the sea and sang".split()) for _ in range(30)]
+        close = base[8:20]
+        for _ in range(r.randrange(3)):
+            close[r.randrange(12)] = r.choice(base)
+        a, grams, each = T._closing_shingles(" ".join(close))
+        held = set(T._shingle_hashes(" ".join(base)))
+        assert {k for k, x in enumerate(grams) if x in held} == {k for k, x in enumerate(T.shingles(a)) if x in set(T.shingles(base))}
+        if not held.isdisjoint(each):
+            assert T.ahead(a, " ".join(base), max(k for k, x in enumerate(grams) if x in held)) == T.ahead(a, " ".join(base))
+    assert T._closing_shingles("") == ([], [], frozenset())
+
+
+def test_the_word_after_is_looked_at_in_its_chunks():
+    text = "One (two) three. Four\nfive, l’été six — seven" + " and so on" * 50
+    goes_on = [T._continues(text, i) for i in range(12)]
+    assert goes_on == [False, True, True, False, False, True, True, True, True, True, True, True]
+    assert len(T._around(text, 100)[0]) < 10 and not T._continues(text, 1000)
+
+
+def test_counts_of_words(spark):
+    texts = [t for t in odd_texts(300) if t.strip()] + ["the l’été; the porte-plume d'or the", "end_of the"]
+    counts = Counter()
+    for t in texts:
+        counts.update(T._TOKEN.findall(t.lower())[:-1])
+    rows = T.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    found = {x.word: x.n for x in rows if x.n}
+    assert {w: n for w, n in found.items() if not w.endswith(".")} == {w: n for w, n in counts.items() if T._encoded(w).translate(T._TOKEN_GAPS).strip()}

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice, repeat
 
 import numpy as np
 import regex
@@ -42,6 +44,9 @@ CLOSE = 12  # words at the end of a text that are looked for in its copies
 SENT_IDS = 200_000  # texts that are picked out of the table without exchanging it; more are joined
 REMEMBER = 200_000  # texts of a task that are known to have been seen
 REMEMBER_CHARS = 1_000_000  # of texts of a task whose words are kept
+REMEMBER_BYTES = 64  # of a chunk that is remembered; longer ones are read each time
+COUNTED_CHARS = 30_000_000  # of texts whose words a task counts before it tells the counts
+BATCH_CHARS = 65_536  # of texts whose bands are made at once
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
 TAIL = 400  # characters in which a trace, closing marks or an abbreviation at the end are looked for
@@ -60,6 +65,45 @@ _SHORT = regex.compile(r"(?:^|[^\p{L}\p{M}])([\p{L}\p{M}]{1,4})\.$")
 _LETTER = re.compile(r"[^\W\d_]")
 _STOP = re.compile("[.!?]")
 _OPENING = "“„«([‘'\""
+_PLAIN = re.compile(r"[^\W_]+")
+# ASCII that words can't hold, read as blanks: what stands between blanks is a chunk, and has its words whatever is around it
+_GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_TOKEN_GAPS = bytes(c if c >= 128 or chr(c).isalnum() or chr(c) in "_-'" else 32 for c in range(256))
+
+
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _decoded(chunk: bytes) -> str:
+    return chunk.decode("utf-8", "surrogatepass")
+
+
+class _Remembered(dict):
+    """What ``of`` says of chunks, computed once while they are remembered."""
+
+    def __init__(self, of: Callable[[str], object]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, chunk: bytes) -> object:
+        value = self.of(_decoded(chunk))
+        if len(chunk) <= REMEMBER_BYTES:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[chunk] = value
+        return value
+
+
+def _hashed(found: list[str]) -> bytes:
+    import xxhash
+
+    return b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, sys.byteorder) for w in found)
+
+
+_plain = _Remembered(lambda chunk: _hashed(_PLAIN.findall(chunk)))
+_folded = _Remembered(lambda chunk: "".join(f"{w} " for w in words(chunk)))
+_folded_hashes = _Remembered(lambda word: _hashed([word]))
 
 
 def tokens(text: str) -> list[str]:
@@ -130,16 +174,22 @@ def ending(text: str | None) -> tuple:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, closing): uses of each word but the last of a text, and how many of them close a sentence.
 
-    Two words that close a sentence together are counted as such (``n`` is null), and so is a word with a full stop
+    A chunk is counted as it stands and its words once for all its uses; ASCII marks aren't counted. Two words that close a sentence together are counted as such (``n`` is null), and so is a word with a full stop
     (``l.``), which closes unless a number or small letter follows.
     """
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        chunks: Counter = Counter()
         uses: Counter = Counter()
         closing: Counter = Counter()
+        chars = 0
         for r in rows:
-            uses.update(_TOKEN.findall(r["text"].lower())[:-1])
             text = r["text"]
+            lower = text.lower()
+            chunks.update(_encoded(lower).translate(_TOKEN_GAPS).split())
+            for t in _TOKEN.findall("".join(lower.rsplit(None, 1)[-1:]))[-1:]:
+                uses[t] -= 1
+            chars += len(text)
             for i in [m.start() for m in _STOP.finditer(text)]:
                 back = 80
                 parts = text[max(0, i - back) : i].rsplit(None, 2)
@@ -155,17 +205,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if text[i] == "." and len(last) <= 4 and (after := text[i + 1 : i + 4].lstrip()[:1]):
                     uses[last + "."] += 1
                     closing[last + "."] += not (after.isnumeric() or after.islower())
-            if len(uses) + len(closing) > 300_000:
-                yield from _both(uses, closing)
-        yield from _both(uses, closing)
+            if len(chunks) + len(uses) + len(closing) > 300_000 or chars > COUNTED_CHARS:
+                yield from _both(chunks, uses, closing)
+                chars = 0
+        yield from _both(chunks, uses, closing)
 
     counted = arrow_rows(spread(docs.select("text")), run, "word string, n long, closing long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("closing").alias("closing"))
 
 
-def _both(uses: Counter, closing: Counter) -> Iterator[tuple]:
+def _both(chunks: Counter, uses: Counter, closing: Counter) -> Iterator[tuple]:
+    for chunk, n in chunks.items():
+        for t in _TOKEN.findall(_decoded(chunk)):
+            uses[t] += n
+    chunks.clear()
     for w, n in uses.items():
-        yield w, n, closing.pop(w, 0)
+        if n > 0:
+            yield w, n, closing.pop(w, 0)
     for w, c in closing.items():
         yield w, None, c
     uses.clear()
@@ -177,16 +233,28 @@ def endings(docs: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         seen: set[int] = set()
+        held: list[tuple] = []
+        texts: list[str] = []
+        chars = 0
         for r in rows:
-            bands = tails = close = None
             end = ending(r["text"])
-            if r["h"] not in seen:
+            new = r["h"] not in seen
+            if new:
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(r["h"])
-                bands, tails = _bands(r["text"])
-                close = closing_words(r["text"]) if end[2] else None
-            yield r["doc_id"], r["source"], r["doc_kind"], r["h"], *end, bands, tails, close
+                texts.append(r["text"])
+                chars += len(r["text"])
+            held.append((new, (r["doc_id"], r["source"], r["doc_kind"], r["h"], *end), closing_words(r["text"]) if new and end[2] else None))
+            if chars > BATCH_CHARS or len(held) >= 4096:
+                yield from banded(held, texts)
+                held, texts, chars = [], [], 0
+        yield from banded(held, texts)
+
+    def banded(held: list[tuple], texts: list[str]) -> Iterator[tuple]:
+        found = iter(_bands(texts))
+        for new, row, close in held:
+            yield *row, *(next(found) if new else (None, None)), close
 
     return arrow_rows(
         spread(docs.select("doc_id", "source", "doc_kind", F.xxhash64("text").alias("h"), "text")),
@@ -224,69 +292,73 @@ def limits(ends: DataFrame, unit: str) -> DataFrame:
     return per.join(mean, F.col("source").eqNullSafe(F.col("limit_source"))).where((F.col("ends") >= 3) & (spike | small)).select("limit_source", F.col(unit).alias(f"limit_{unit}"))
 
 
-class _Hashes(dict):
-    """The hashes of words, computed once while they are remembered."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "little") | 1 for i in range(HASHES + SHINGLE)], np.uint64)
-_PLAIN = re.compile(r"[^\W_]+")
 
 
 def block_bands(text: str) -> list[tuple[int, int]]:
     """(band, words after the block): two bands of two min-hash rows of each block."""
-    bands, tails = _bands(text)
+    bands, tails = _bands([text])[0]
     return [(int(b), int(tails[k // 2])) for k, b in enumerate(bands)]
 
 
-def _bands(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bands of a text's blocks, two of each, and how many words follow each block.
+def _words_mixed(w: np.ndarray) -> np.ndarray:
+    """A hash of each shingle of the words with the hashes ``w``, and a 0 behind them."""
+    h = np.zeros(max(0, len(w) - SHINGLE + 1) + 1, np.uint64)
+    for k in range(SHINGLE):
+        h[:-1] += w[k : len(h) - 1 + k] * _SEEDS[HASHES + k]
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _bands(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bands of each text's blocks, two of each, and how many words follow each block.
 
     A block ends after a word whose hash is 0 modulo ``BLOCK``, once it has ``LEAST`` words.
     """
-    found = _PLAIN.findall(text.lower())
-    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    n = len(w)
-    if n < LEAST:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    ends, lo = [], 0
-    for i in [*np.flatnonzero((w & np.uint64(BLOCK - 1)) == 0).tolist(), n - 1]:
-        if i + 1 - lo >= LEAST:
-            ends.append(i + 1)
-            lo = i + 1
-    h = np.zeros(n - SHINGLE + 2, np.uint64)  # one more, so that the last block may end there
-    for k in range(SHINGLE):
-        h[:-1] += w[k : n - SHINGLE + 1 + k] * _SEEDS[HASHES + k]
-    h ^= h >> np.uint64(29)
-    x = h * _SEEDS[:HASHES, None]
+    data = [b"".join(map(_plain.__getitem__, _encoded(t.lower()).translate(_GAPS).split())) for t in texts]
+    w = np.frombuffer(b"".join(data), np.uint64) if any(data) else np.empty(0, np.uint64)
+    at: list[int] = []  # from a block's first shingle to before its first that leaves it; blocks don't go over texts
+    tails: list[int] = []
+    of_text = [0]  # number of blocks up to each text
+    to, places = 0, np.flatnonzero((w & np.uint64(BLOCK - 1)) == 0)
+    first = 0
+    for last in np.searchsorted(places, np.cumsum([len(d) // 8 for d in data])).tolist():
+        lo, to = to, to + len(data[len(of_text) - 1]) // 8
+        for i in [*places[first:last].tolist(), to - 1]:
+            if i + 1 - lo >= LEAST:
+                at += lo, i + 2 - SHINGLE
+                tails.append(to - i - 1)
+                lo = i + 1
+        of_text.append(len(tails))
+        first = last
+    if not at:
+        return [(np.empty(0, np.int64), np.empty(0, np.int32)) for _ in texts]
+    x = _words_mixed(w) * _SEEDS[:HASHES, None]
     x ^= x >> np.uint64(31)
-    at = np.empty(2 * len(ends), np.intp)  # from a block's first shingle to before its first that leaves it
-    at[0], at[2::2], at[1::2] = 0, ends[:-1], ends
-    at[1::2] -= SHINGLE - 1
     rows = np.minimum.reduceat(x, at, axis=1)[:, ::2]
     values = rows[0::2] * np.uint64(0x9E3779B97F4A7C15) + rows[1::2] + np.arange(0, HASHES, 2, dtype=np.uint64)[:, None]
-    return (values.T.ravel() ^ np.uint64(1 << 63)).view(np.int64), n - np.array(ends, np.int32)
+    bands, follow = (values.T.ravel() ^ np.uint64(1 << 63)).view(np.int64), np.array(tails, np.int32)
+    return [(bands[2 * a : 2 * b], follow[a:b]) for a, b in zip(of_text, of_text[1:])]
+
+
+def words_line(text: str) -> str:
+    """The words of a text, as ``words`` finds them, in a line."""
+    if "Σ" in text:  # its small letter depends on what is around it
+        return " ".join(words(text))
+    return "".join(map(_folded.__getitem__, _encoded(text).translate(_GAPS).split()))[:-1]
 
 
 def prepared(text: str) -> tuple[str, int]:
     """(the words of a text in a line, how many of them stand before a trace of a cut)."""
-    found = words(text)
+    line = words_line(text)
     body = text.rstrip()
     m = trace(body)
-    return " ".join(found), len(words(body[: m.start()])) if m else len(found)
+    return line, len(words(body[: m.start()])) if m else line.count(" ") + bool(line)
 
 
 def goes_on(text: str, other: str) -> bool:
     """Whether ``other`` is a near-copy of ``text`` that continues, within the sentence, where ``text`` ends."""
-    line = prepared(other)[0]
+    line = words_line(other)
     return _goes_on(*_own(text), line, set(shingles(line.split())), other)
 
 
@@ -308,20 +380,27 @@ def _goes_on(a: list[str], grams: list[tuple], other_line: str, held: set[tuple]
     return found is not None and (found[0] or _continues(other, found[1]))
 
 
+def _shingle_hashes(line: str) -> list[int]:
+    """Hashes of the shingles of a line's words, in order: equal shingles have equal hashes."""
+    data = b"".join(map(_folded_hashes.__getitem__, _encoded(line).split()))
+    return _words_mixed(np.frombuffer(data, np.uint64))[:-1].tolist() if data else []
+
+
 @lru_cache(50_000)
-def _closing_shingles(close: str) -> tuple[list[str], frozenset]:
-    """The words of a text's end and their shingles."""
-    a = close.split()
-    return a, frozenset(shingles(a))
+def _closing_shingles(close: str) -> tuple[list[str], list[int], frozenset]:
+    """The words of a text's end and their shingles' hashes."""
+    grams = _shingle_hashes(close)
+    return close.split(), grams, frozenset(grams)
 
 
-def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
+def ahead(close: list[str], other_line: str, most: int | None = None) -> tuple[bool, int] | None:
     """What follows in a copy where a text ends with the words ``close``: whether it completes the last word, and its number there.
 
     None if the copy ends there too, or holds no shingle of these words, or reads otherwise after the last one it holds.
+    ``most`` is the number of a shingle after which the copy is known to hold none.
     """
     b = f" {other_line} "
-    for i in range(len(close) - SHINGLE, -1, -1):
+    for i in range(len(close) - SHINGLE if most is None else most, -1, -1):
         gram = f" {' '.join(close[i : i + SHINGLE])} "
         at = b.rfind(gram)
         if at >= 0:
@@ -332,6 +411,8 @@ def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
     rest_b = b[at + len(gram) :].split(None, len(rest_a) + 8)[: len(rest_a) + 8]
     if not rest_b:
         return None
+    if rest_a and not any(w.startswith(rest_a[-1]) for w in rest_b):  # its last word is neither there nor completed
+        return None
     blocks = SequenceMatcher(None, rest_a, rest_b, False).get_matching_blocks() if rest_a else []
     done_a = max((m.a + m.size for m in blocks if m.size), default=0)
     done_b = max((m.b + m.size for m in blocks if m.size), default=0)
@@ -343,6 +424,7 @@ def ahead(close: list[str], other_line: str) -> tuple[bool, int] | None:
 
 def _continues(text: str, index: int) -> bool:
     """Whether the word number ``index`` of ``text`` goes on with the sentence of the word before it."""
+    text, index = _around(text, index)
     plain = text if text.isascii() else regex.sub(r"\p{Mn}+", "", unicodedata.normalize("NFD", text))
     found = list(islice(regex.finditer(r"[\p{L}\p{Nd}]+", plain), max(0, index - 1), index + 1))
     if len(found) < 2:
@@ -351,6 +433,17 @@ def _continues(text: str, index: int) -> bool:
     return not any(x in between for x in ".!?") and "\n" not in between.strip(" ")
 
 
+def _around(text: str, index: int) -> tuple[str, int]:
+    """The chunks of ``text`` from that of the word before number ``index`` to that of this word, and its number there."""
+    data = _encoded(text)
+    chunks = data.translate(_GAPS).split(b" ")
+    held = list(accumulate(map(str.count, map(_folded.__getitem__, chunks), repeat(" "))))  # words up to each chunk
+    first, last = bisect_right(held, max(0, index - 1)), bisect_right(held, index)
+    start = sum(map(len, chunks[:first])) + first
+    size = sum(map(len, chunks[first : last + 1])) + last - first
+    return _decoded(data[start : start + size]), index - (held[first - 1] if first else 0)
+
+
 def shared_bands(ends: DataFrame) -> DataFrame:
     """(band, h, tail, asks): the bands that an open text has and another text too, with all their holders.
 
@@ -375,17 +468,18 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
     def look(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
-            line = prepared(r["text"])[0]
-            held = set(shingles(line.split()))
-            for close in r["closes"]:
-                a, grams = _closing_shingles(close)
-                if held.isdisjoint(grams) or line.endswith(close):  # of another text, or ends there too
+            line = words_line(r["text"])
+            held = set(_shingle_hashes(line))
+            for close in r["closes"].split("\n"):
+                a, grams, each = _closing_shingles(close)
+                if held.isdisjoint(each) or line.endswith(close):  # of another text, or ends there too
                     continue
-                found = ahead(a, line)
+                found = ahead(a, line, max(k for k, x in enumerate(grams) if x in held))
                 if found is not None and (found[0] or _continues(r["text"], found[1])):
                     yield close, r["h"]
 
-    held = _picked(docs, met.select(F.col("other").alias("h"))).join(met.withColumnRenamed("other", "h"), "h")
+    lines = met.select(F.col("other").alias("h"), F.concat_ws("\n", "closes").alias("closes"))  # Python reads one string sooner than many
+    held = _picked(docs, met.select(F.col("other").alias("h"))).join(lines, "h")
     inside = cut(arrow_rows(held.select("h", "text", "closes"), look, "close string, other long"))
     wanted = cut(closing.join(inside, "close").where("h <> other").select("h", "other").distinct())
     text = cut(_picked(docs, wanted.select("h").union(wanted.select("other")).distinct()))
@@ -399,7 +493,7 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
             if r["h"] in done:
                 continue
             if r["other"] != last:  # rows of one copy come one after the other
-                last, line = r["other"], prepared(r["other_text"])[0]
+                last, line = r["other"], words_line(r["other_text"])
                 held = set(shingles(line.split()))
             if r["h"] not in own:
                 kept += len(r["text"])
