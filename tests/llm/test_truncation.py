@@ -160,17 +160,27 @@ def test_bands_of_many_texts_at_once_are_those_of_each():
 
 def test_an_end_is_found_by_hashes_where_its_words_are():
     r = random.Random(10)
+    known = T._Closes()
     for _ in range(2000):
         base = [r.choice("the old man sat in ca cab cabin by the sea and sang".split()) for _ in range(30)]
         close = base[8:20]
         for _ in range(r.randrange(3)):
             close[r.randrange(12)] = r.choice(base)
-        a, grams, each = T._closing_shingles(" ".join(close))
-        held = set(T._shingle_hashes(" ".join(base)))
+        known.read({" ".join(close), ""})
+        a, grams, each = known[" ".join(close)]
+        held = set(T._shingle_hashes(["too short", " ".join(base), "", "other words that come after these"])[1])
         assert {k for k, x in enumerate(grams) if x in held} == {k for k, x in enumerate(T.shingles(a)) if x in set(T.shingles(base))}
         if not held.isdisjoint(each):
             assert T.ahead(a, " ".join(base), max(k for k, x in enumerate(grams) if x in held)) == T.ahead(a, " ".join(base))
-    assert T._closing_shingles("") == ([], [], frozenset())
+    assert known[""] == ([], [], frozenset()) and T._shingle_hashes([]) == [] and T._shingle_hashes(["", "a b"]) == [[], []]
+
+
+def test_ends_with_a_stop_are_closed():
+    r = random.Random(11)
+    for _ in range(5000):
+        t = "".join(r.choice("ab É.!?\"'”’“»)] \n…") for _ in range(r.randrange(12))).rstrip()
+        assert T.is_closed(t) == bool(T._CLOSED.search(t)), t
+        assert bool(T._SHORT.search(t[-T.SHORT_END :])) == bool(T._SHORT.search(t)), t
 
 
 def test_the_word_after_is_looked_at_in_its_chunks():

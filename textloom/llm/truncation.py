@@ -25,7 +25,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 from itertools import accumulate, islice, repeat
 
 import numpy as np
@@ -44,12 +43,14 @@ CLOSE = 12  # words at the end of a text that are looked for in its copies
 SENT_IDS = 200_000  # texts that are picked out of the table without exchanging it; more are joined
 REMEMBER = 200_000  # texts of a task that are known to have been seen
 REMEMBER_CHARS = 1_000_000  # of texts of a task whose words are kept
+REMEMBER_CLOSES = 50_000  # of a task whose words are kept
 REMEMBER_BYTES = 64  # of a chunk that is remembered; longer ones are read each time
 COUNTED_CHARS = 30_000_000  # of texts whose words a task counts before it tells the counts
 BATCH_CHARS = 65_536  # of texts whose bands are made at once
 HASHES = 4  # two bands of two rows
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
-TAIL = 400  # characters in which a trace, closing marks or an abbreviation at the end are looked for
+TAIL = 400  # characters in which a trace or closing marks at the end are looked for
+SHORT_END = 6  # characters of an abbreviation of four letters, its stop and what is before it
 KNOWN = 2  # least number of other uses of a word of the corpus
 SHAPE_SHARE = 0.004  # least share of texts that close with the same shape
 MARK_SHARE = 0.0005  # least share of texts, of different lengths, that close with the same short line
@@ -60,6 +61,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}]")
 _TRACE = regex.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|\p{L}*trunc\p{L}*)\]|\((?:…|\.\.\.)\)|<\p{L}*trunc\p{L}*>))$", regex.I)
 _TRACE_ENDS = ("…", "...", "]", ")", ">")  # a full stop alone, as most texts have it, is none
 _CLOSED = regex.compile(r"[.!?][\"'”’“»)\]]*(?:\s*[”“»])?$")
+_CLOSERS = tuple("\"'”’“»)]")
 _SENTENCE = regex.compile(r"(?<=[.!?][\"'”’“»)\]]{0,3})\s+(?=\S)")
 _SHORT = regex.compile(r"(?:^|[^\p{L}\p{M}])([\p{L}\p{M}]{1,4})\.$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -132,6 +134,11 @@ def trace(body: str):
     return _TRACE.search(body) if body.endswith(_TRACE_ENDS) else None
 
 
+def is_closed(body: str) -> bool:
+    """Whether ``body``, which has no blanks at its end, ends with a stop and closing marks; most end with the stop."""
+    return body.endswith((".", "!", "?")) or body.endswith(_CLOSERS) and bool(_CLOSED.search(body[-TAIL:]))
+
+
 def is_verse(lines: list[str]) -> bool:
     """Several short lines that all begin with a capital."""
     lines = [x.strip() for x in lines if x.strip()]
@@ -139,7 +146,7 @@ def is_verse(lines: list[str]) -> bool:
         return False
     opening = [m.group() for x in lines if (m := _LETTER.search(x))]
     inner = lines[:-1]
-    return len(opening) > 1 and all(c.isupper() for c in opening) and sum(bool(_CLOSED.search(x)) for x in inner) < 0.9 * len(inner) + 0.5
+    return len(opening) > 1 and all(c.isupper() for c in opening) and sum(map(is_closed, inner)) < 0.9 * len(inner) + 0.5
 
 
 def ending(text: str | None) -> tuple:
@@ -154,8 +161,8 @@ def ending(text: str | None) -> tuple:
         body = body[: len(body) - len(m.group())].rstrip()
     held = text.rstrip()  # a fixed-width field may be padded
     chars, size = len(held), len(held) if held.isascii() else len(held.encode("utf-8", "surrogatepass"))
-    closed = bool(_CLOSED.search(body[-TAIL:]))
-    if closed and not traced and not _SHORT.search(body[-TAIL:]):
+    closed = is_closed(body)
+    if closed and not traced and not _SHORT.search(body[-SHORT_END:]):
         return chars, size, False, False, False, False, None, None, None, None, None, False
     last_line = body[body.rfind("\n") + 1 :]
     closing_line = last_line.strip() if "\n" in body and len(last_line) <= 40 else None
@@ -163,7 +170,7 @@ def ending(text: str | None) -> tuple:
     found = tokens(sentence)
     last = found[-1] if found else ""
     word = last.lower() if last and _WORD.search(last) else None
-    if closed and last == "." and (m := _SHORT.search(body[-TAIL:])):
+    if closed and last == "." and (m := _SHORT.search(body[-SHORT_END:])):
         word = m.group(1).lower() + "."
     opened = last_line.count("(") > last_line.count(")") or last_line.count("“") > last_line.count("”") + last_line.count("„")
     before = found[-2].lower() if word and len(found) > 1 and _WORD.search(found[-2]) else None
@@ -174,8 +181,9 @@ def ending(text: str | None) -> tuple:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, closing): uses of each word but the last of a text, and how many of them close a sentence.
 
-    A chunk is counted as it stands and its words once for all its uses; ASCII marks aren't counted. Two words that close a sentence together are counted as such (``n`` is null), and so is a word with a full stop
-    (``l.``), which closes unless a number or small letter follows.
+    Two words that close a sentence together are counted as such (``n`` is null), and so is a word with a full stop
+    (``l.``), which closes unless a number or small letter follows. A chunk is counted as it stands, and its words once
+    for all its uses; ASCII marks aren't counted.
     """
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -190,6 +198,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for t in _TOKEN.findall("".join(lower.rsplit(None, 1)[-1:]))[-1:]:
                 uses[t] -= 1
             chars += len(text)
+            closed: list[str] = []
             for i in [m.start() for m in _STOP.finditer(text)]:
                 back = 80
                 parts = text[max(0, i - back) : i].rsplit(None, 2)
@@ -199,12 +208,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if not parts or not parts[-1][-1].isalnum():
                     continue
                 last = parts[-1].lstrip(_OPENING).lower()
-                closing[last] += 1
+                closed.append(last)
                 if len(parts) > 1 and parts[-2][-1].isalnum():
-                    closing[f"{parts[-2].lstrip(_OPENING).lower()} {last}"] += 1
+                    closed.append(f"{parts[-2].lstrip(_OPENING).lower()} {last}")
                 if text[i] == "." and len(last) <= 4 and (after := text[i + 1 : i + 4].lstrip()[:1]):
                     uses[last + "."] += 1
-                    closing[last + "."] += not (after.isnumeric() or after.islower())
+                    if not (after.isnumeric() or after.islower()):
+                        closed.append(last + ".")
+            closing.update(closed)
             if len(chunks) + len(uses) + len(closing) > 300_000 or chars > COUNTED_CHARS:
                 yield from _both(chunks, uses, closing)
                 chars = 0
@@ -380,17 +391,23 @@ def _goes_on(a: list[str], grams: list[tuple], other_line: str, held: set[tuple]
     return found is not None and (found[0] or _continues(other, found[1]))
 
 
-def _shingle_hashes(line: str) -> list[int]:
-    """Hashes of the shingles of a line's words, in order: equal shingles have equal hashes."""
-    data = b"".join(map(_folded_hashes.__getitem__, _encoded(line).split()))
-    return _words_mixed(np.frombuffer(data, np.uint64))[:-1].tolist() if data else []
+def _shingle_hashes(lines: list[str]) -> list[list[int]]:
+    """Hashes of the shingles of each line's words, in order: equal shingles have equal hashes."""
+    data = [b"".join(map(_folded_hashes.__getitem__, _encoded(line).split())) for line in lines]
+    each = _words_mixed(np.frombuffer(b"".join(data), np.uint64)).tolist() if any(data) else []
+    starts = accumulate((len(d) // 8 for d in data), initial=0)
+    return [each[lo : max(lo, lo + len(d) // 8 - SHINGLE + 1)] for lo, d in zip(starts, data)]
 
 
-@lru_cache(50_000)
-def _closing_shingles(close: str) -> tuple[list[str], list[int], frozenset]:
-    """The words of a text's end and their shingles' hashes."""
-    grams = _shingle_hashes(close)
-    return close.split(), grams, frozenset(grams)
+class _Closes(dict):
+    """By the last words of a text, in a line: these words, their shingles' hashes in order and as a set."""
+
+    def read(self, closes: set[str]) -> None:
+        """Learn the lines ``closes``."""
+        if len(self) + len(closes) > REMEMBER_CLOSES:
+            self.clear()
+        new = [c for c in closes if c not in self]
+        self.update((c, (c.split(), grams, frozenset(grams))) for c, grams in zip(new, _shingle_hashes(new)))
 
 
 def ahead(close: list[str], other_line: str, most: int | None = None) -> tuple[bool, int] | None:
@@ -467,16 +484,29 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     met = cut(asking.join(holding, "band").where(longer & another).groupBy("other").agg(F.collect_set("close").alias("closes")))
 
     def look(rows: Iterator[dict]) -> Iterator[tuple]:
+        known = _Closes()
+        batch: list[tuple] = []
+        chars = 0
         for r in rows:
-            line = words_line(r["text"])
-            held = set(_shingle_hashes(line))
-            for close in r["closes"].split("\n"):
-                a, grams, each = _closing_shingles(close)
+            batch.append((r["h"], r["text"], r["closes"].split("\n")))
+            chars += len(r["text"]) + len(r["closes"])
+            if chars > BATCH_CHARS:
+                yield from looked(batch, known)
+                batch, chars = [], 0
+        yield from looked(batch, known)
+
+    def looked(batch: list[tuple], known: _Closes) -> Iterator[tuple]:
+        known.read({c for _, _, closes in batch for c in closes})
+        lines = [words_line(text) for _, text, _ in batch]
+        for (h, text, closes), line, hashes in zip(batch, lines, _shingle_hashes(lines)):
+            held = set(hashes)
+            for close in closes:
+                a, grams, each = known[close]
                 if held.isdisjoint(each) or line.endswith(close):  # of another text, or ends there too
                     continue
                 found = ahead(a, line, max(k for k, x in enumerate(grams) if x in held))
-                if found is not None and (found[0] or _continues(r["text"], found[1])):
-                    yield close, r["h"]
+                if found is not None and (found[0] or _continues(text, found[1])):
+                    yield close, h
 
     lines = met.select(F.col("other").alias("h"), F.concat_ws("\n", "closes").alias("closes"))  # Python reads one string sooner than many
     held = _picked(docs, met.select(F.col("other").alias("h"))).join(lines, "h")
