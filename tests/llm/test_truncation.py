@@ -198,3 +198,43 @@ def test_counts_of_words(spark):
     rows = T.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     found = {x.word: x.n for x in rows if x.n}
     assert {w: n for w, n in found.items() if not w.endswith(".")} == {w: n for w, n in counts.items() if T._encoded(w).translate(T._TOKEN_GAPS).strip()}
+
+
+def test_sketches_lack_no_more_than_a_copy_may():
+    r = random.Random(13)
+    told = 0
+    for k in range(400):
+        base = [r.choice("the old man sat in ca cab cabin by sea and sang loud while ship came home".split()) + str(r.randrange(9)) for _ in range(r.randrange(3, 120))]
+        other = list(base)
+        for _ in range(r.randrange(6)):
+            other[r.randrange(len(other))] = r.choice(base)
+        text, copy = " ".join(base) + r.choice(["", " …", " <truncated>", " ΟΔΟΣ"]), " ".join(["so", "it", "is", *other, "and", "on"])
+        (_, own, lacks), (held, _, none) = T._sketches([text, copy], [True, False])
+        a, grams = T._own(text)
+        missing = sum(int(x & ~y).bit_count() for x, y in zip(own.view("uint64").tolist(), held.view("uint64").tolist()))
+        holds = sum(map(set(T.shingles(words(copy))).__contains__, grams))
+        assert none is None and len(own) == T.SKETCH // 64
+        if len(a) > T.SHINGLE and holds >= T.SIMILAR * len(grams):
+            assert missing <= lacks
+            told += 1
+    assert told > 50 and T._sketches([], []) == []
+
+
+def test_pairs_of_a_hot_band_are_told_apart_before_they_are_written(spark, monkeypatch):
+    r = random.Random(14)
+    verse = "\n".join(sentence(r)[:-1] for _ in range(8))
+    rows = [(i, " ".join(sentence(r) for _ in range(12)) + " " + verse + " " + " ".join(sentence(r) for _ in range(6)) + " The grey", "a", "prose", "x") for i in range(30)]
+    whole = " ".join(sentence(r) for _ in range(8)) + " " + verse + " " + " ".join(sentence(r) for _ in range(6))
+    rows += [(100, whole + " The grey castle", "a", "prose", "x"), (101, whole + " The grey castle guarded the old bell", "a", "prose", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    h = {x.h: x.doc_id for x in docs.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    ends = T.endings(docs)
+    band = T.shared_bands(ends)
+    met = band.where("asks").select("band", "h").join(band.select("band", band.h.alias("other")), "band").where("h <> other").select("h", "other").distinct().count()
+    ask = {x.c: h[x.h] for x in ends.where("close IS NOT NULL").selectExpr("h", "xxhash64(close) AS c").collect()}
+    once = {(x.c, x.other) for x in T._candidates(ends).collect()}
+    assert met >= 30 * 29 and len(once) < 30 and (100, 101) in {(ask[c], h[o]) for c, o in once}
+    monkeypatch.setattr(T, "TILE", 3)
+    monkeypatch.setattr(T, "PASS", 1)
+    assert {(x.c, x.other) for x in T._candidates(ends).collect()} == once
+    assert 100 in {h[x.h] for x in T.copies(docs, ends).collect()}

@@ -73,3 +73,13 @@ def test_functions(spark):
 def test_synthetic_pairs(spark):
     w = texts.synthetic(spark, 2, 50, 0.5, 0.2).collect()
     assert len(w) == 4 and all(len(r.text.split()) == 50 for r in w)
+
+
+def test_what_was_exchanged_for_a_table_is_removed_with_it(spark):
+    from textloom.session import cut, discard
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    table = cut(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert not files() - before and table.count() == 1000
+    discard(table)

@@ -2,8 +2,8 @@
 
 Method. (1) Near-copies: every text is cut into blocks at content-defined places, the five-word shingles of each block
 are min-hashed, and blocks meet in bands. The end of a text that ends open, its last ``CLOSE`` words, is looked for in every
-holder of one of its bands that can go on longer, once for all texts with that end; a copy that holds none of its
-shingles doesn't tell where the text ends. Where one is found that goes on in the same sentence, the two texts are
+holder of one of its bands that can go on longer and whose sketch, a bit for each hash of a shingle, lacks no more than
+a copy may, once for all texts with that end; a copy that holds none of its shingles doesn't tell where the text ends. Where one is found that goes on in the same sentence, the two texts are
 aligned and the copy is verified at 0.8 of the text's shingles. Equal texts are one text in this search.
 (2) Texts without such a copy are scored by closing-word terminality: how often the last word closes a sentence
 anywhere in the corpus, whether it is a word of the corpus at all, whether the closing line has a shape that closes
@@ -25,14 +25,16 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import accumulate, islice, repeat
+from math import ceil
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_rows, cut, read_table, spread
+from textloom.llm.common import arrow_rows, cut, discard, read_table, spread
 from textloom.llm.leak import words
 
 SHINGLE = 5
@@ -48,6 +50,9 @@ REMEMBER_BYTES = 64  # of a chunk that is remembered; longer ones are read each
 COUNTED_CHARS = 30_000_000  # of texts whose words a task counts before it tells the counts
 BATCH_CHARS = 65_536  # of texts whose bands are made at once
 HASHES = 4  # two bands of two rows
+SKETCH = 1024  # bits for the shingles of a text
+TILE = 4000  # ends, and texts, of a band that meet in one place
+PASS = 3  # holders of bands, for each text, whose sketches are exchanged at once
 TERMINAL = 0.02  # least share of closing uses of a word that may end a text without a stop
 TAIL = 400  # characters in which a trace or closing marks at the end are looked for
 SHORT_END = 6  # characters of an abbreviation of four letters, its stop and what is before it
@@ -105,6 +110,7 @@ def _hashed(found: list[str]) -> bytes:
 
 _plain = _Remembered(lambda chunk: _hashed(_PLAIN.findall(chunk)))
 _folded = _Remembered(lambda chunk: "".join(f"{w} " for w in words(chunk)))
+_worded = _Remembered(lambda chunk: _hashed(words(chunk)))
 _folded_hashes = _Remembered(lambda word: _hashed([word]))
 
 
@@ -240,7 +246,7 @@ def _both(chunks: Counter, uses: Counter, closing: Counter) -> Iterator[tuple]:
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """How every text ends, the last words of open ones, and its bands; a text met again in a task has its bands once."""
+    """How every text ends, the last words of open ones, its bands and sketch; a text met again in a task has these once."""
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         seen: set[int] = set()
@@ -263,14 +269,15 @@ def endings(docs: DataFrame) -> DataFrame:
         yield from banded(held, texts)
 
     def banded(held: list[tuple], texts: list[str]) -> Iterator[tuple]:
-        found = iter(_bands(texts))
+        found = zip(_bands(texts), _sketches(texts, [close is not None for new, _, close in held if new]))
         for new, row, close in held:
-            yield *row, *(next(found) if new else (None, None)), close
+            bands, sketch = next(found) if new else ((None, None), (None, None, None))
+            yield *row, *bands, close, *sketch
 
     return arrow_rows(
         spread(docs.select("doc_id", "source", "doc_kind", F.xxhash64("text").alias("h"), "text")),
         run,
-        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<long>, tails array<int>, close string",
+        "doc_id long, source string, doc_kind string, h long, chars int, bytes int, open boolean, traced boolean, attached boolean, verse boolean, word string, pair string, mark string, shape string, closing_line string, opened boolean, bands array<long>, tails array<int>, close string, sketch array<long>, own_sketch array<long>, lacks int",
     )
 
 
@@ -399,6 +406,31 @@ def _shingle_hashes(lines: list[str]) -> list[list[int]]:
     return [each[lo : max(lo, lo + len(d) // 8 - SHINGLE + 1)] for lo, d in zip(starts, data)]
 
 
+def _sketches(texts: list[str], opens: list[bool]) -> list[tuple[np.ndarray, np.ndarray | None, int | None]]:
+    """Of each text the bits that its shingles set and, if it ends open, those of its words before a trace and how many of these a copy may lack.
+
+    Each of these bits that a copy's shingles don't set tells of another shingle that the copy doesn't hold.
+    """
+    data = [_hashed(words(t)) if "Σ" in t else b"".join(map(_worded.__getitem__, _encoded(t).translate(_GAPS).split())) for t in texts]
+    at = _words_mixed(np.frombuffer(b"".join(data), np.uint64)) & np.uint64(SKETCH - 1)
+    bits = np.zeros((2 * len(texts), SKETCH), np.uint8)
+    lacks: list[int | None] = []
+    lo = 0
+    for k, (text, d, is_open) in enumerate(zip(texts, data, opens)):
+        n = own = len(d) // 8
+        bits[2 * k, at[lo : max(lo, lo + n - SHINGLE + 1)]] = 1
+        if is_open:
+            body = text.rstrip()
+            m = trace(body)
+            own = len(words(body[: m.start()])) if m else n
+            bits[2 * k + 1, at[lo : max(lo, lo + own - SHINGLE + 1)]] = 1
+        grams = own - SHINGLE + 1
+        lacks.append((grams - ceil(SIMILAR * grams) if own > SHINGLE else -1) if is_open else None)
+        lo += n
+    packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return [(packed[2 * k], packed[2 * k + 1] if is_open else None, lacks[k]) for k, is_open in enumerate(opens)]
+
+
 class _Closes(dict):
     """By the last words of a text, in a line: these words, their shingles' hashes in order and as a set."""
 
@@ -475,13 +507,11 @@ def shared_bands(ends: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """(h): open texts, by their hash, of which a verified near-copy goes on where they end."""
-    band = cut(shared_bands(ends))
     closing = ends.where("close IS NOT NULL").select("h", "close").distinct()
-    asking = band.where("asks").join(closing, "h").groupBy("band", "close").agg(F.min("tail").alias("tail"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    holding = band.groupBy("band", F.col("h").alias("other")).agg(F.max("tail").alias("other_tail"))
-    longer = F.col("other_tail") > F.col("tail") * SIMILAR  # what was left out of the copy may be made up for by what follows
-    another = (F.col("lo") != F.col("other")) | (F.col("hi") != F.col("other"))
-    met = cut(asking.join(holding, "band").where(longer & another).groupBy("other").agg(F.collect_set("close").alias("closes")))
+    pairs = _candidates(ends)
+    closes = closing.select(F.xxhash64("close").alias("c"), "close").distinct()
+    met = cut(pairs.join(closes, "c").groupBy("other").agg(F.collect_set("close").alias("closes")))
+    discard(pairs)
 
     def look(rows: Iterator[dict]) -> Iterator[tuple]:
         known = _Closes()
@@ -511,7 +541,9 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
     lines = met.select(F.col("other").alias("h"), F.concat_ws("\n", "closes").alias("closes"))  # Python reads one string sooner than many
     held = _picked(docs, met.select(F.col("other").alias("h"))).join(lines, "h")
     inside = cut(arrow_rows(held.select("h", "text", "closes"), look, "close string, other long"))
+    discard(met)
     wanted = cut(closing.join(inside, "close").where("h <> other").select("h", "other").distinct())
+    discard(inside)
     text = cut(_picked(docs, wanted.select("h").union(wanted.select("other")).distinct()))
     both = wanted.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("other_text")), "other")
 
@@ -535,7 +567,51 @@ def copies(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 done.add(r["h"])
                 yield (r["h"],)
 
-    return arrow_rows(both.select("h", "text", "other", "other_text"), run, "h long").distinct()
+    found = cut(arrow_rows(both.select("h", "text", "other", "other_text"), run, "h long").distinct())
+    discard(wanted)
+    discard(text)
+    return found
+
+
+def _candidates(ends: DataFrame) -> DataFrame:
+    """(c, other): the hash of each end and the texts it is looked for in, as a table.
+
+    They share a band, the text goes on longer, and its sketch lacks no more bits than a copy may of the bits that all
+    texts with that end set. Bands, sketches and numbers meet; no end is written for a pair that a sketch tells apart, so what is written
+    doesn't grow with the holders of a band times its ends. These are dealt over a grid, ``TILE`` a side, and over passes.
+    """
+    of_band = Window.partitionBy("band")
+    each = shared_bands(ends).groupBy("band", "h").agg(F.min("tail").alias("tail"), F.max("tail").alias("other_tail"), F.max("asks").alias("asks"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    band = cut(each.withColumn("asked_tiles", tiles(F.count_if("asks").over(of_band))).withColumn("held_tiles", tiles(F.count(F.lit(1)).over(of_band))))
+    texts = cut(ends.where("sketch IS NOT NULL").select("h", "sketch").dropDuplicates(["h"]))
+    words_of = range(SKETCH // 64)
+    bits = lambda column, name: [F.coalesce(F.get(column, F.lit(k)), F.lit(0)).alias(f"{name}{k}") for k in words_of]
+    own = ends.where("own_sketch IS NOT NULL").select("h", F.xxhash64("close").alias("c"), "lacks", *bits("own_sketch", "a"))
+    of_close = own.groupBy("c").agg(F.max("lacks").alias("lacks"), *[F.bit_and(f"a{k}").alias(f"a{k}") for k in words_of])
+    asked = cut(own.select("h", "c").distinct().join(of_close, "c"))
+    numbers = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
+    place = ["band", "asked_tile", "held_tile"]
+    longer = F.col("other_tail") > F.col("tail") * SIMILAR  # what was left out of the copy may be made up for by what follows
+    another = (F.col("lo") != F.col("other")) | (F.col("hi") != F.col("other"))
+    missing = sum((F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(f"b{k}"))) for k in words_of), F.lit(0))
+    passes = max(1, ceil(band.count() / max(1, PASS * texts.count())))
+    found = []
+    for p in range(passes):
+        some = band.where(F.pmod(F.xxhash64("band"), F.lit(passes)) == p)
+        asking = some.where("asks").join(asked, "h").withColumn("asked_tile", F.pmod("c", "asked_tiles")).withColumn("held_tile", numbers(F.col("held_tiles")))
+        first = [F.first("lacks").alias("lacks"), *[F.coalesce(F.first(f"a{k}"), F.lit(0)).alias(f"a{k}") for k in words_of]]
+        asking = asking.repartition(*place).groupBy(*place, "c").agg(F.min("tail").alias("tail"), F.min("h").alias("lo"), F.max("h").alias("hi"), *first)
+        holding = some.join(texts, "h").select("band", F.col("h").alias("other"), "other_tail", F.pmod("h", "held_tiles").alias("held_tile"), numbers(F.col("asked_tiles")).alias("asked_tile"), *bits("sketch", "b"))
+        found.append(cut(asking.join(holding.hint("merge"), place).where(longer & another & (missing <= F.col("lacks"))).select("c", "other").distinct()))
+    for table in (band, texts, asked):
+        discard(table)
+    if passes == 1:
+        return found[0]
+    pairs = cut(reduce(DataFrame.union, found).distinct())
+    for table in found:
+        discard(table)
+    return pairs
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:

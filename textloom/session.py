@@ -51,6 +51,9 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
     sc = spark.sparkContext
@@ -70,11 +73,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage ends, executors may be lost.
 
-    Parquet takes a fraction of an RDD checkpoint's space. The tables of a process are removed when it ends.
+    Parquet takes a fraction of an RDD checkpoint's space. The tables of a process are removed when it ends. What was
+    exchanged to make a table is removed as soon as it is written, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     at = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
     if not _written:
         atexit.register(_remove)
     _written.append((spark, at))
