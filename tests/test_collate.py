@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import witnesses
 from textloom.config import DIPLOMATIC, GB_US, PEER_MSA, Config
@@ -161,3 +162,21 @@ def test_graph_summary_counts_spine_variants_insertions_and_moves(merged):
         by_work[n.work_id] = spine + (n.base_position >= 0), variant + (len(n.readings) > 1), inserted + (n.base_position < 0)
     assert told == {work: (*x, moved[work]) for work, x in by_work.items()}
     assert sum(x[2] for x in told.values()) > 0 and all(x[0] > 0 for x in told.values())
+
+
+def test_edges_of_bases_are_those_of_their_nodes_and_are_not_exchanged(spark):
+    w = witnesses(spark, "The old man sat by the sea, and sang of ships.", "By the sea the old man sat and sang of grey ships.", "The old man sat, and of ships sang by the sea.")
+    w = w.union(witnesses(spark, "one", "one two three", work="v")).union(witnesses(spark, "", "some words", work="u")).union(witnesses(spark, "alpha beta gamma delta epsilon zeta", "gamma delta epsilon zeta alpha beta", "zeta alpha beta gamma delta epsilon", work="t"))
+    variation = graph.cut(graph.variations(w, against=graph.BASE, put=True))
+    made = graph.base_edges(w, variation=variation)
+    nodes, moves = graph.base_anchored(w, variation=variation)
+    key = lambda rows: sorted(map(str, rows))
+    assert key(made.collect()) == key(graph.edges(nodes, moves, w).collect()) and made.where("is_move").count() > 1
+    assert made.dtypes == graph.edges(nodes, moves, w).dtypes
+    at = {(n.work_id, n.base_position): n.node_id for n in nodes.where("base_position >= 0").collect()}
+    asked = variation.where(F.col("variation_type") == graph.MOVE).select("work_id", "base_tokens").collect()
+    near = lambda work, lo, hi: [n for (x, p), n in at.items() if x == work and lo <= p < hi]
+    expected = [(m.work_id, max(near(m.work_id, 0, m.base_tokens.tok_from), default=-1), min(near(m.work_id, m.base_tokens.tok_to, 10**6), default=None)) for m in asked]
+    assert key(expected) == key((m.work_id, m.src, m.dst) for m in moves.collect())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate explode") < plan.index("Join")

@@ -81,25 +81,33 @@ def base_anchored(witness: DataFrame, config: Config = Config(), lexicon: DataFr
     number = F.coalesce("first", F.lit(0)) + F.row_number().over(order) - 1
     inserted = added.join(sizes, "work_id", "left").select("work_id", number.alias("node_id"), F.lit(-1).alias("base_position"), "inserted_after", F.when(F.size(rest) > 0, F.concat(both, absent)).otherwise(both).cast(READING).alias("readings"))
     nodes = on_base.union(inserted)
-    return nodes, _move_edges(nodes, variation)
+    return nodes, _move_edges(variation)
 
 
-def _move_edges(nodes: DataFrame, variation: DataFrame) -> DataFrame:
+def _places(variation: DataFrame) -> DataFrame:
+    """(work_id, at): where the nodes of each work's base stand, in their order; the node's number is its index."""
+    return variation.where("variation_type IS NULL").select("work_id", F.transform("put", lambda t: t["pos"]).alias("at"))
+
+
+def _move_edges(variation: DataFrame) -> DataFrame:
     """(work_id, src, dst, siglum, confidence): from the node before a moved block to the one after it.
 
-    A block at the start leaves from -1; one at the end goes to null.
+    A block at the start leaves from -1; one at the end goes to null. A work's nodes are one row here, never exchanged each.
     """
-    nodes = nodes.where("base_position >= 0")
-    moved = variation.where(F.col("variation_type") == MOVE).select("work_id", F.col("compared").alias("siglum"), "confidence", "v_no", F.col("base_tokens.tok_from").alias("lo"), F.col("base_tokens.tok_to").alias("hi"))
-    # backward and forward as-of joins, as running values over the union of both sides
-    none = lambda kind: F.lit(None).cast(kind)
-    axis = nodes.select("work_id", F.col("base_position").alias("x"), "node_id", none("string").alias("siglum"), none("string").alias("confidence"), none("int").alias("v_no"), F.lit(0).alias("side"))
-    asked = moved.select("work_id", (F.col("lo") - 1).alias("x"), none("int").alias("node_id"), "siglum", "confidence", "v_no", F.lit(1).alias("side")).union(moved.select("work_id", "hi", none("int"), "siglum", "confidence", "v_no", F.lit(2)))
-    every = axis.unionByName(asked)
-    back = Window.partitionBy("work_id").orderBy("x", F.when(F.col("side") == 0, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    forth = Window.partitionBy("work_id").orderBy(F.desc("x"), F.when(F.col("side") == 0, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    found = every.withColumn("src", F.coalesce(F.last("node_id", True).over(back), F.lit(-1))).withColumn("dst", F.last("node_id", True).over(forth)).where("side > 0")
-    return found.groupBy("work_id", "siglum", "v_no", "confidence").agg(F.max(F.when(F.col("side") == 1, F.col("src"))).alias("src"), F.max(F.when(F.col("side") == 2, F.col("dst"))).alias("dst")).select("work_id", "src", "dst", "siglum", "confidence")
+    moved = variation.where(F.col("variation_type") == MOVE).select(F.col("work_id").alias("_w"), F.col("compared").alias("siglum"), "confidence", F.col("base_tokens.tok_from").alias("lo"), F.col("base_tokens.tok_to").alias("hi"))
+    found = moved.join(_places(variation), F.col("_w").eqNullSafe(F.col("work_id")), "left")
+    before = lambda place: F.size(F.filter(F.coalesce("at", F.array().cast("array<int>")), lambda x: x < F.col(place)))
+    dst = F.when(before("hi") < F.size("at"), before("hi"))
+    return found.select(F.col("_w").alias("work_id"), (before("lo") - 1).alias("src"), dst.alias("dst"), "siglum", "confidence")
+
+
+def base_edges(witness: DataFrame, config: Config = Config(), lexicon: DataFrame | None = None, variation: DataFrame | None = None) -> DataFrame:
+    """What ``edges`` gives of ``base_anchored``, from the works' bases: an edge is made where it is written, and never exchanged or sorted."""
+    variation = cut(variations(witness, config, lexicon, BASE, put=True)) if variation is None else variation
+    line = _places(variation).where(F.size("at") > 1).join(_base(witness), "work_id")
+    spine = line.select("work_id", F.explode(F.sequence(F.lit(0), F.size("at") - 2)).alias("src"), "ids")
+    kept = spine.select("work_id", "src", (F.col("src") + 1).alias("dst"), F.lit(False).alias("is_move"), F.lit("certain").alias("confidence"), F.col("ids").alias("sigla"))
+    return kept.union(_moved(_move_edges(variation)))
 
 
 class Slot:
@@ -298,4 +306,8 @@ def edges(nodes: DataFrame, moves: DataFrame, witness: DataFrame) -> DataFrame:
     line = Window.partitionBy("work_id").orderBy("base_position")
     spine = nodes.select("work_id", F.col("node_id").alias("src"), F.lead("node_id").over(line).alias("dst")).where("dst IS NOT NULL").join(_base(witness), "work_id")
     kept = spine.select("work_id", "src", "dst", F.lit(False).alias("is_move"), F.lit("certain").alias("confidence"), F.col("ids").alias("sigla"))
-    return kept.union(moves.select("work_id", "src", "dst", F.lit(True), "confidence", F.array("siglum")))
+    return kept.union(_moved(moves))
+
+
+def _moved(moves: DataFrame) -> DataFrame:
+    return moves.select("work_id", "src", "dst", F.lit(True), "confidence", F.array("siglum"))

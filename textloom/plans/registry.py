@@ -242,8 +242,7 @@ def variant_graph(strategy: str) -> Query:
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    w = cases(spark, d)
-    return graph.edges(*graph.base_anchored(w), w)
+    return graph.base_edges(cases(spark, d))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
